@@ -35,7 +35,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     before = Window.orderBy("ratio", "grp").rowsBetween(Window.unboundedPreceding, -1)
     capped, gone = F.coalesce(F.sum("cap").over(before), F.lit(0.0)), F.coalesce(F.sum("w").over(before), F.lit(0.0))
     src = src.withColumn("level", (F.sum("source_size").over(every) - capped) / (F.sum("w").over(every) - gone))
-    share = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every)
+    share = F.first(F.when(F.col("level") <= F.col("ratio"), F.col("level")), True).over(Window.orderBy("ratio", "grp").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     src = src.withColumn("share", share)
     return src.select("grp", "source_size", F.least(F.col("cap"), F.col("share") * F.col("w")).alias("target"))
 
