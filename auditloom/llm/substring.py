@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import python_ready, written
 
-REACH, MIN_WORDS = 3, 20
+#: Neighbours on either side, words of a chunk (longer ones, as in runs of one word, are cut), words of a run.
+REACH, LONGEST, MIN_WORDS = 3, 16, 20
 _CHUNKS = "doc_id long, nth int, start int, bytes int, words int, digest long"
 
 
@@ -57,7 +58,9 @@ def cuts(data: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
         cut[k:] &= value[k:] < value[:-k]
         cut[:-k] &= value[:-k] <= value[k:]
     cut[0] = True
-    return starts, cut
+    nth = np.arange(len(starts))
+    since = nth - np.maximum.accumulate(np.where(cut, nth, 0))
+    return starts, since % LONGEST == 0
 
 
 def chunks(docs: DataFrame, reach: int = REACH) -> DataFrame:
