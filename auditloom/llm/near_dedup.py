@@ -11,7 +11,8 @@ on full sets.
 
 No posting list is expanded into all its pairs while links are many: first each class is joined to
 one hub of each of its tokens, by two hub orders. What is left are postings whose classes are in
-several components; there, and only there, all pairs across components are compared. So every link
+several components; there, and only there, all pairs across components are compared, less those that a parity sketch of
+the whole sets proves too different. So every link
 that could join two components is tested; links inside a component aren't needed.
 
 Edge cases: null and empty texts, and texts without words, have an empty set and are linked with
@@ -43,6 +44,8 @@ _UPPER = bytes(range(65, 91))
 _LOW = bytes.maketrans(_UPPER, _UPPER.lower())
 _MIX, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 NIBBLES = ["s0", "s1", "s2"]
+#: Words of 64 bits of the parity sketch of a whole set.
+PARITY = [f"o{i}" for i in range(16)]
 
 
 class _WordHashes(dict):
@@ -92,26 +95,36 @@ def nibbles(sig: np.ndarray) -> np.ndarray:
     return ((sig.astype(np.uint64) & np.uint64(15)).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-_KEYS = f"doc_id long, n_shingles long, set_key binary, sig array<int>, {', '.join(f'{s} long' for s in NIBBLES)}"
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 1,024 cells, is the number of hashes in it odd; 64 cells in a word.
+
+    Two sets' sketches differ in at most as many cells as the sets differ in elements, so cells give
+    a lower bound of the difference, never a wrong exclusion.
+    """
+    odd = np.bincount((hashes & np.uint64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+_KEYS = f"doc_id long, n_shingles long, set_key binary, sig array<int>, {', '.join(f'{s} long' for s in NIBBLES + PARITY)}"
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), sig and its nibbles for every row."""
+    """doc_id, n_shingles, set_key (null for an empty set), sig with its nibbles, and parities for every row."""
     python_ready(docs.sparkSession)
 
     def rows(batches):
         for b in batches:
-            n, keys, sigs, nibs = [], [], [], []
+            n, keys, sigs, words = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(text or b"", width)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(sig := signature(s) if len(s) else np.zeros(COORDS, np.int32))
-                nibs.append(nibbles(sig))
-            nib = np.array(nibs, np.int64).reshape(-1, len(NIBBLES))
+                words.append(np.concatenate([nibbles(sig), parities(s)]))
+            cols = np.array(words, np.int64).reshape(-1, len(NIBBLES + PARITY))
             flat = pa.array(np.array(sigs, np.int32).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, COORDS * len(n) + 1, COORDS, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists, *(pa.array(nib[:, i]) for i in range(len(NIBBLES)))], [x.split()[0] for x in _KEYS.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists, *(pa.array(cols[:, i]) for i in range(cols.shape[1]))], [x.split()[0] for x in _KEYS.split(", ")])
 
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id")
     return docs.select(doc, F.col("text").cast("binary").alias("raw")).mapInArrow(rows, _KEYS)
@@ -134,6 +147,12 @@ def _near(a: str, b: str) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (agreeing(a, b) >= MATCHES)
 
 
+def _may_link(a: str, b: str) -> Column:
+    """Exact bound: sets of sizes n and m are similar enough only if they differ in at most (n + m) (1 - s) / (1 + s) elements."""
+    differ = sum((F.bit_count(F.col(f"{a}.{o}").bitwiseXOR(F.col(f"{b}.{o}"))) for o in PARITY), F.lit(0))
+    return differ * (100 + PERCENT) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - PERCENT)
+
+
 def postings(classes: DataFrame) -> DataFrame:
     """token, p (cid, n, nibbles): each class under its rarest tokens, without tokens of one class."""
     token = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("value").cast("long"))
@@ -215,15 +234,16 @@ def _labelled(posts: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps.select(F.col("v").alias("cid"), "comp"), "cid", "left").select("token", "p", F.coalesce("comp", "cid").alias("comp"))
 
 
-def _cross(posts: DataFrame, comps: DataFrame) -> DataFrame:
+def _cross(posts: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: pairs of different components under a token. Rows outside a token's largest component meet all its rows."""
     rows = written(_labelled(posts, comps), "near-labelled")
     sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("token", "main")
-    rows = rows.join(mixed, "token")
+    point = classes.select("cid", F.struct("cid", "n", *NIBBLES, *PARITY).alias("p"))
+    rows = rows.join(mixed, "token").select("token", "comp", "main", F.col("p.cid").alias("cid")).join(point, "cid")
     rest = rows.filter("comp <> main").select("token", F.col("p").alias("x"), F.col("comp").alias("cx"))
     every = rows.select("token", F.col("p").alias("y"), F.col("comp").alias("cy"), "main")
-    meet = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x.cid") < F.col("y.cid"))) & _near("x", "y")
+    meet = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x.cid") < F.col("y.cid"))) & _near("x", "y") & _may_link("x", "y")
     pairs = rest.join(every, "token").filter(meet)
     return pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
@@ -232,8 +252,8 @@ def near_components(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     keys = written(signatures(docs, width), "near-keys")
     full = keys.filter("set_key is not null")
-    by_set = full.groupBy("set_key").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sig", *NIBBLES)).alias("c"))
-    classes = written(by_set.select("set_key", F.col("c.doc_id").alias("cid"), "c.n", "c.sig", *(f"c.{s}" for s in NIBBLES)), "near-classes")
+    by_set = full.groupBy("set_key").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sig", *NIBBLES, *PARITY)).alias("c"))
+    classes = written(by_set.select("set_key", F.col("c.doc_id").alias("cid"), "c.n", "c.sig", *(f"c.{s}" for s in NIBBLES + PARITY)), "near-classes")
     posts = written(postings(classes), "near-postings")
 
     wanted = posts.select(F.col("p.cid").alias("cid")).distinct()
@@ -249,7 +269,7 @@ def near_components(docs: DataFrame, width: int) -> DataFrame:
     apart = again.join(own[0], "a", "left").join(own[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     links = written(links.unionByName(verify(apart, texts, width)), "near-links")
     comps = written(components(links), "near-comps")
-    links = links.unionByName(written(verify(_cross(posts, comps), texts, width), "near-links"))
+    links = links.unionByName(written(verify(_cross(posts, comps, classes), texts, width), "near-links"))
     comps = written(components(links), "near-comps")
 
     label = classes.select("set_key", "cid").join(comps.withColumnRenamed("v", "cid"), "cid", "left").select("set_key", F.coalesce("comp", "cid").alias("component_id"))
