@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import comments, evaluate
+from . import claims, comments, decide, evaluate
 
-QUERIES = {**comments.QUERIES, **evaluate.QUERIES}
+QUERIES = {**comments.QUERIES, **evaluate.QUERIES, **claims.QUERIES, **decide.QUERIES}
