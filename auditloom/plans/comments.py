@@ -91,9 +91,11 @@ def a2_near_pairs(spark, sf_dir):
     return cm.near_pairs(tb.comments(spark, sf_dir)).withColumn("near_dup_rate", F.round("near_dup_rate", 6))
 
 
+# sets whose sizes differ too much can't be near, so these aren't intersected
 A2_BODY = """
-  SELECT thread, count(*) AS pairs, count(*) FILTER (WHERE k / (n + m - k) >= 0.75) AS near_pairs FROM (
-    SELECT a.thread, len(list_intersect(a.g, b.g)) AS k, len(a.g) AS n, len(b.g) AS m FROM g a JOIN g b ON a.thread = b.thread AND a.r < b.r) GROUP BY thread"""
+  SELECT thread, count(*) AS pairs, count(*) FILTER (WHERE j >= 0.75) AS near_pairs FROM (
+    SELECT a.thread, CASE WHEN least(len(a.g), len(b.g)) >= 0.75 * greatest(len(a.g), len(b.g)) THEN [k / (len(a.g) + len(b.g) - k) for k in [len(list_intersect(a.g, b.g))]][1] ELSE 0 END AS j
+    FROM g a JOIN g b ON a.thread = b.thread AND a.r < b.r) GROUP BY thread"""
 A2_G = f"""r AS (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY idx) - 1 AS r, count(*) OVER (PARTITION BY thread) AS n FROM c),
 g AS (SELECT thread, r, {tb.GRAMS_SQL} AS g FROM r WHERE n <= 120 OR r % (n // 120 + 1) = 0)"""
 A2_SQL = f"WITH {_C}, {A2_G}, p AS ({A2_BODY}) SELECT *, round(near_pairs / pairs, 6) AS near_dup_rate FROM p"

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import claims, comments, decide, evaluate
+from . import claims, comments, curate, decide, evaluate, vectors
 
-QUERIES = {**comments.QUERIES, **evaluate.QUERIES, **claims.QUERIES, **decide.QUERIES}
+QUERIES = {**comments.QUERIES, **evaluate.QUERIES, **claims.QUERIES, **decide.QUERIES, **curate.QUERIES, **vectors.QUERIES}

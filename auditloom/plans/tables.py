@@ -106,7 +106,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 MANIFEST_SQL = """
 manifest AS (
   SELECT CASE WHEN k % 997 = 0 THEN '' ELSE 's' || (k - (k % 499 = 1)::INT) END AS id, 'g' || c AS "group",
-         CASE WHEN k % 101 = 3 THEN NULL ELSE 'yes' END AS authorization,
+         CASE WHEN k % 101 = 3 THEN NULL ELSE 'yes' END AS "authorization",
          CASE WHEN k % 211 = 5 THEN 'other' ELSE ['smoke', 'train', 'calibration', 'blind'][c % 4 + 1] END AS split,
          ['real', 'generated', 'edited', 'claim'][k % 4 + 1] AS kind,
          ['ann', CASE WHEN k % 7 = 0 THEN ' ann ' ELSE 'bo' END] AS reviewers,
