@@ -59,9 +59,9 @@ class WordIds(dict):
     def __missing__(self, run: str) -> bytes:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        if self.word.fullmatch(run) and "Σ" not in run:
-            word = unicodedata.normalize("NFC", run).lower().encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        word = unicodedata.normalize("NFC", run).lower()
+        if self.word.fullmatch(word) and "Σ" not in run:
+            ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
             out = struct.pack(f"<{len(ids)}I", *ids)
         else:
             out = self.whole(run)
