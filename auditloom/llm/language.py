@@ -132,7 +132,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, kept: int = KEPT) -
                 for n in LENGTHS:
                     for i in range(0, len(text), STEP):
                         h, c = np.unique(grams(text[i : i + STEP], (n,)), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array([n] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["lang", "n", "gram", "c"])
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array([n] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["lang", "n", "gram", "c"])
 
     tallied = texts.mapInArrow(count, "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     top = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram")
