@@ -36,7 +36,7 @@ def test_unquantified_effects_only_without_numbers():
 
 
 def test_whole_names():
-    assert scan.bounded("用甲精华：好", "甲精华") and not scan.bounded("甲精华液", "甲精华") and not scan.bounded("x甲精华", "甲精华") and not scan.bounded("a", None)
+    assert scan.bounded("用，甲精华：好", "甲精华") and not scan.bounded("甲精华液", "甲精华") and not scan.bounded("x甲精华", "甲精华") and not scan.bounded("a", None)
 
 
 def test_denied_marker_is_no_hit():
