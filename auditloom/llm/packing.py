@@ -48,21 +48,26 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        import regex
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
         self.letters = byte_letters()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.word = regex.compile(r"\p{L}+")
 
     def __missing__(self, run: str) -> bytes:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        word = unicodedata.normalize("NFC", run).lower()
-        if self.word.fullmatch(word) and "Σ" not in run:
-            ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-            out = struct.pack(f"<{len(ids)}I", *ids)
+        word = run.lower() if run.isascii() else unicodedata.normalize("NFC", run).lower()
+        if "Σ" in run:  # its lower case depends on its place in Python, not in the tokenizer
+            out = self.whole(run)
+        elif word.isalpha():
+            if word != run:
+                out = self[word]
+            else:
+                ids = [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
+                out = struct.pack(f"<{len(ids)}I", *ids)
+        elif (head := word.rstrip(".,;:!?")).isalpha():
+            out = self[head] + self[word[len(head) :]]
         else:
             out = self.whole(run)
         self[run] = out
