@@ -238,11 +238,14 @@ def _cross(posts: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
     rows = written(_labelled(posts, comps), "near-labelled")
     sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("token", "main")
-    point = classes.select("cid", F.struct("cid", "n", *NIBBLES, *PARITY).alias("p"))
-    rows = rows.join(mixed, "token").select("token", "comp", "main", F.col("p.cid").alias("cid")).join(point, "cid")
+    rows = rows.join(mixed, "token").select("token", "comp", "main", F.col("p.cid").alias("cid"))
+    # a class has PREFIX tokens at most; a pair comes up under its smallest shared token only
+    own = rows.groupBy("cid").agg(F.collect_list("token").alias("ts"))
+    point = classes.join(own, "cid").select("cid", F.struct("cid", "n", "ts", *NIBBLES, *PARITY).alias("p"))
+    rows = rows.join(point, "cid")
     rest = rows.filter("comp <> main").select("token", F.col("p").alias("x"), F.col("comp").alias("cx"))
     every = rows.select("token", F.col("p").alias("y"), F.col("comp").alias("cy"), "main")
-    meet = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x.cid") < F.col("y.cid"))) & _near("x", "y") & _may_link("x", "y")
+    meet = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x.cid") < F.col("y.cid"))) & _near("x", "y") & _may_link("x", "y") & (F.array_min(F.array_intersect("x.ts", "y.ts")) == F.col("token"))
     pairs = rest.join(every, "token").filter(meet)
     return pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
