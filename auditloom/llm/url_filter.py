@@ -3,9 +3,12 @@
 Paths are split into segments. Level by level, each node of a host's tree decides which of its
 segments stay as branches: numbers and long hexadecimal segments are variable; a segment whose
 labelled share of bad pages is statistically like that of its siblings together joins the wildcard;
-one that differs stays. Pages then have a template of literal and wildcard segments. A template's
-purity is its share of bad labelled pages, smoothed towards the same template over the domain,
-that towards the domain, and that towards one half; templates of at least one half are rejected.
+one that differs stays, as does the only one with labels, since nothing says that others are like
+it; one without labels stays where it does on another host of the domain. Pages then have a template
+of literal and wildcard segments. A template's purity is its share of bad labelled pages, smoothed
+towards the same template over the domain, that towards the domain, and that towards one half. A
+template is rejected on labels only: its purity is over one half, and so is the lower confidence
+bound of its own bad share or of that over the domain. All else is allowed.
 Rules, where one fits, come first.
 
 Labels come as a column of the pages; the query takes the rules' own verdicts as labels, since the
@@ -22,7 +25,7 @@ from .common import ascii_lower, written
 
 #: (verdict, host, path) of the rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Levels of the tree (what lies deeper is one segment), standard errors that make branches differ, weight of the level above.
+#: Levels of the tree (what lies deeper is one segment), standard errors that make branches differ and bounds hold, weight of the level above.
 LEVELS, APART, PRIOR = 4, 2.0, 2.0
 
 
@@ -59,15 +62,25 @@ def templates(pages: DataFrame, levels: int = LEVELS) -> DataFrame:
         rest_lab, rest_bad = F.col("all_lab") - F.col("lab"), F.col("all_bad") - F.col("bad")
         here, there = (F.col("bad") + 0.5) / (F.col("lab") + 1), (rest_bad + 0.5) / (rest_lab + 1)
         error = F.sqrt(here * (1 - here) / (F.col("lab") + 1) + there * (1 - there) / (rest_lab + 1))
-        differs = (F.col("lab") > 0) & (rest_lab > 0) & (F.abs(here - there) > APART * error)
+        differs = (F.col("lab") > 0) & ((rest_lab == 0) | (F.abs(here - there) > APART * error))
         variable = F.col("seg").rlike(r"^[0-9]+$|^[0-9a-fA-F-]{8,}$")
-        kids = kids.select("host", "template", "seg", F.when(variable | ~differs, "*").otherwise(F.col("seg")).alias("branch"))
+        domain = F.substring_index("host", ".", -2).alias("domain")
+        kids = kids.select("host", domain, "template", "seg", ((F.col("lab") == 0) & ~variable).alias("open"), F.when(variable | ~differs, "*").otherwise(F.col("seg")).alias("branch"))
+        # where a host has no label for a segment, it stays a branch if it is one on another host of the domain
+        kept = kids.filter("branch = seg").select("domain", "template", "seg", F.lit(True).alias("kept")).distinct()
+        kids = kids.join(kept, ["domain", "template", "seg"], "left").select("host", "template", "seg", F.when(F.col("open") & F.col("kept"), F.col("seg")).otherwise(F.col("branch")).alias("branch"))
         paths = paths.join(kids, ["host", "template", "seg"], "left").withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch"))).drop("seg", "branch")
     return paths.select("host", "path", "template", "lab", "bad")
 
 
+def low_share(bad: Column, lab: Column) -> Column:
+    """Lower bound of the bad share (Wilson's, at APART standard errors); 0 without labels."""
+    p, z = bad / lab, APART * APART / lab
+    return F.when(lab > 0, (p + z / 2 - F.sqrt(z * (p * (1 - p) + z / 4))) / (1 + z)).otherwise(0.0)
+
+
 def judged(paths: DataFrame) -> DataFrame:
-    """host, path, purity for paths with template, lab, bad."""
+    """host, path, template, purity, reject for paths with template, lab, bad."""
     domain = F.substring_index("host", ".", -2)
     paths = paths.withColumn("domain", domain)
 
@@ -78,8 +91,10 @@ def judged(paths: DataFrame) -> DataFrame:
     wide = own.groupBy("domain", "template").agg(F.sum("l1").alias("l2"), F.sum("b1").alias("b2"))
     top = wide.groupBy("domain").agg(F.sum("l2").alias("l3"), F.sum("b2").alias("b3"))
     wide = wide.join(top, "domain").withColumn("p2", smoothed("b2", "l2", smoothed("b3", "l3", F.lit(0.5))))
-    own = own.join(wide.select("domain", "template", "p2"), ["domain", "template"]).withColumn("purity", smoothed("b1", "l1", F.col("p2")))
-    return paths.select("host", "path", "template").join(own.select("host", "template", "purity"), ["host", "template"]).select("host", "path", "template", "purity")
+    own = own.join(wide.select("domain", "template", "l2", "b2", "p2"), ["domain", "template"]).withColumn("purity", smoothed("b1", "l1", F.col("p2")))
+    sure = F.greatest(low_share(F.col("b1"), F.col("l1")), low_share(F.col("b2"), F.col("l2"))) > 0.5
+    own = own.select("host", "template", "purity", ((F.col("purity") > 0.5) & sure).alias("reject"))
+    return paths.select("host", "path", "template").join(own, ["host", "template"]).select("host", "path", "template", "purity", "reject")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> DataFrame:
@@ -97,5 +112,5 @@ def judge_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -
         seen = rows.join(labels.select("page_id", "bad"), "page_id", "left")
     scored = judged(templates(seen.select("host", "path", "bad")))
     out = rows.join(scored, ["host", "path"])
-    verdict = F.coalesce("said", F.when(F.col("purity") >= 0.5, "block").otherwise("allow"))
+    verdict = F.coalesce("said", F.when(F.col("reject"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -257,6 +257,17 @@ def test_bad_templates_are_rejected(spark):
     assert all((got[i]["verdict"] == "block") == bool(i % 2) for i in range(80)) and got[79]["template"] == "/ads/*"
 
 
+def test_pages_without_labelled_evidence_are_allowed(spark):
+    urls = ["http://a.example.net/en/1", "http://a.example.net/x", None, "no scheme", *[f"http://b.com/{x}/{i}" for i in range(9) for x in ("de", "en")], *[f"http://c.com/{x}/1" for x in ("de", "en", "es")]]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(got) == len(urls) and all((r["verdict"] == "block") == r["path"].startswith("/de/") for r in got)
+    # evidence of the domain's other hosts rejects an unlabelled host's page; one label alone does not
+    rows = [(i, f"http://h{i}.x.net/ads/{i}") for i in range(12)] + [(20, "http://h.y.net/ads/1"), (21, "http://h.y.net/ads/2")]
+    labels = spark.createDataFrame([(i, 1) for i in range(10)] + [(20, 1)], "page_id long, bad int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), labels=labels).collect()}
+    assert got[20] == got[21] == "allow" and all(got[i] == "block" for i in range(12))
+
+
 def test_language(spark):
     lexicon = {"en": "the of and to in that with was for on is by".split(), "de": "der und die nicht einer mit auch für über".split(), "fr": "le les des une être avec pour où".split()}
     rows = [(i, " ".join(rng.choices(lexicon[k := ("en", "de", "fr")[i % 3]], k=30)), None if i % 10 == 0 else k) for i in range(150)] + [(900, None, "en"), (901, "123 --", "en"), (902, "", None)]
