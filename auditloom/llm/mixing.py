@@ -2,9 +2,12 @@
 
 Targets: sources in code-point order, null last, weigh 5, 2, 1 and again; the mix is as large as
 the input, a source gives at most three times its size, and what it can't give goes to the others
-by weight. Schedule: slot j is the point frac(j / golden ratio), which falls into one source's part
-of the cumulative targets; a source's slots are ranked, and slot r takes block r mod n of the
-source's words in shuffled document order. Documents are cut at block edges.
+by weight. A source is cut into n blocks of equal tokens (within a word), of a size of its own, so
+that small sources have many too. Schedule: slot j is the point frac(j / golden ratio), which falls
+into one source's part of the cumulative targets, counted in blocks; a source's slots are ranked,
+and slot r takes block r mod n of the source's words in shuffled document order. Slots that would go
+beyond the target are left out, and the words still missing are taken from what comes next, so a
+source gives its target, rounded to a word. Documents are cut at block edges.
 
 Edge cases: null or empty texts have size 0 and are never taken; a source without words has target
 0; an empty table gives no row. Repeated rows count as rows of their own. Extra columns are ignored.
@@ -12,7 +15,7 @@ Edge cases: null or empty texts have size 0 and are never taken; a source withou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, n_words, root_buckets, running, written
@@ -20,6 +23,8 @@ from .common import WORD, n_words, root_buckets, running, written
 GOLDEN = 0.6180339887498949
 #: Slots that a source of mean size has at least, unless a block would be under one word; blocks of at most so many words.
 SLOTS, BLOCK = 2000, 4096
+#: Blocks that any source has at least, unless they would be under one word.
+LEAST_BLOCKS = 200
 #: Cells of the unit interval for the join of points and sources.
 CELLS = 4096
 
@@ -40,20 +45,46 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return src.select("grp", "source_size", F.least(F.col("cap"), F.col("share") * F.col("w")).alias("target"))
 
 
-def schedule(targets: DataFrame, block: int, slots: int) -> DataFrame:
-    """slot, grp, nth (rank in the source), block, epoch: which block each slot of the mix takes."""
+def with_blocks(targets: DataFrame, block: int) -> DataFrame:
+    """targets with blocks (how many a source has, each of block words at most) and goal (the target in whole words)."""
+    own = F.least(F.lit(block), F.ceil(F.col("source_size") / LEAST_BLOCKS))
+    return targets.withColumns({"blocks": F.ceil(F.col("source_size") / F.greatest(own, F.lit(1))), "goal": F.round("target").cast("long")})
+
+
+def edge(k: Column, size: Column, blocks: Column) -> Column:
+    """First word of block k: the size mod blocks first blocks have one word more than the others."""
+    return k * F.floor(size / blocks) + F.least(k, size % blocks)
+
+
+def block_at(at: Column, size: Column, blocks: Column) -> Column:
+    """The block that has the word at."""
+    each, longer = F.floor(size / blocks), size % blocks
+    return F.when(at < longer * (each + 1), F.floor(at / (each + 1))).otherwise(longer + F.floor((at - longer * (each + 1)) / each))
+
+
+def schedule(targets: DataFrame, slots: int) -> DataFrame:
+    """slot, grp, rank in the source, block, epoch, length in words: which block each slot of the mix takes, while its source's goal has room for it."""
     spark = targets.sparkSession
+    size, n = F.col("source_size"), F.col("blocks")
+    parts = targets.filter("target > 0").withColumn("part", F.col("target") / size * n)
     w = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("target").over(Window.partitionBy())
-    high = F.sum("target").over(w) / total
-    parts = targets.filter("target > 0").select("grp", "source_size", (high - F.col("target") / total).alias("low"), F.when(high > 1 - 1e-9, 2.0).otherwise(high).alias("high"))
+    total = F.sum("part").over(Window.partitionBy())
+    high = F.sum("part").over(w) / total
+    parts = parts.select("grp", "source_size", "blocks", "goal", (high - F.col("part") / total).alias("low"), F.when(high > 1 - 1e-9, 2.0).otherwise(high).alias("high"))
     parts = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.greatest(F.col("low"), F.lit(0.0)) * CELLS), F.floor(F.least(F.col("high"), F.lit(1.0)) * CELLS))))
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 1) * GOLDEN % 1.0).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
-    hit = points.join(parts, "cell").filter("u >= low and u < high").select("slot", "grp", "source_size")
+    hit = points.join(parts, "cell").filter("u >= low and u < high").select("slot", "grp", "source_size", "blocks", "goal")
     step = root_buckets(slots)
     ranked = running(hit.withColumn("bucket", F.floor(F.col("slot") / step)), ["grp"], "bucket", [F.col("slot")], F.lit(1))
-    n = F.ceil(F.col("source_size") / block)
-    return ranked.select("slot", "grp", F.col("start").alias("rank"), (F.col("start") % n).alias("block"), F.floor(F.col("start") / n).alias("epoch"))
+    ranked = ranked.select("slot", "grp", "source_size", "blocks", "goal", F.col("start").alias("rank"), (F.col("start") % n).alias("block"), F.floor(F.col("start") / n).alias("epoch"))
+    first, end = edge(F.col("block"), size, n), edge(F.col("block") + 1, size, n)
+    return ranked.filter(F.col("epoch") * size + end <= F.col("goal")).select("slot", "grp", "rank", "block", "epoch", (end - first).alias("length"))
+
+
+def words_before(at: Column) -> Column:
+    """How many words the row (start, size) gives to the first at words of its source, repeated without end."""
+    epochs = F.floor(at / F.greatest(F.col("source_size"), F.lit(1)))
+    return epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), at - epochs * F.col("source_size") - F.col("start")))
 
 
 def taken_words(docs: DataFrame, carry: bool = False, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 11) -> DataFrame:
@@ -65,18 +96,23 @@ def taken_words(docs: DataFrame, carry: bool = False, weights: tuple[int, ...] =
     targets = written(source_targets(sizes, weights, most), "mix-targets")
     sources, words, n = targets.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.lit(sizes.count())).first()
     block = max(1, min(BLOCK, words // (max(1, sources) * SLOTS)))
-    takes = schedule(targets, block, round(words / block)).filter(F.col("epoch") < most).groupBy("grp", "block").agg(F.count("*").alias("takes"))
+    targets = with_blocks(targets, block)
+    (slots,) = targets.filter("target > 0").agg(F.coalesce(F.ceil(F.sum(F.col("target") / F.col("source_size") * F.col("blocks"))), F.lit(0))).first()
+    takes = written(schedule(targets, slots).groupBy("grp", "block").agg(F.count("*").alias("takes"), F.sum("length").alias("words")), "mix-takes")
+    targets = targets.join(takes.groupBy("grp").agg(F.sum("words").alias("given")), "grp", "left").withColumn("given", F.coalesce("given", F.lit(0)))
 
     # Shuffled order of a source: by hash of doc_id; a second hash settles repeated ids.
     order = [F.col("_h"), F.col("doc_id"), F.col("size"), *([F.xxhash64("row.text")] if carry else [])]
     placed = rows.withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
     placed = running(placed.withColumn("_b", F.pmod("_h", F.lit(root_buckets(n)))), ["grp"], "_b", order, F.col("size"))
-    end = F.col("start") + F.col("size")
-    cut = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
-    part = F.least(end, (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    got = cut.select("grp", "_b", "nth", "block", part.alias("part")).join(takes, ["grp", "block"]).groupBy("grp", "_b", "nth").agg(F.sum(F.col("part") * F.col("takes")).alias("taken"))
-    out = placed.join(got, ["grp", "_b", "nth"], "left").join(targets, "grp")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(["row"] if carry else []))
+    placed = placed.join(targets, "grp")
+    size, blocks, end = F.col("source_size"), F.col("blocks"), F.col("start") + F.col("size")
+    cut = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(block_at(F.col("start"), size, blocks), block_at(end - 1, size, blocks))))
+    part = F.least(end, edge(F.col("block") + 1, size, blocks)) - F.greatest(F.col("start"), edge(F.col("block"), size, blocks))
+    got = cut.select("grp", "_b", "nth", "block", part.alias("part")).join(takes.select("grp", "block", "takes"), ["grp", "block"]).groupBy("grp", "_b", "nth").agg(F.sum(F.col("part") * F.col("takes")).alias("taken"))
+    missing = words_before(F.col("goal")) - words_before(F.col("given"))
+    out = placed.join(got, ["grp", "_b", "nth"], "left")
+    return out.select("doc_id", "size", "source_size", "target", (F.coalesce("taken", F.lit(0)) + missing).cast("long").alias("taken"), *(["row"] if carry else []))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -134,6 +134,19 @@ def test_mix(docs):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
 
 
+def test_small_sources_beside_a_huge_one_reach_their_targets(spark):
+    sizes = {"huge": [5000] * 2000, "a": [150, 250], "b": [7] * 3, "c": [1], "d": [900, 4000], "e": [0, 60]}
+    rows = [(100_000 * i + j, " ".join(["w"] * n), s) for i, (s, ns) in enumerate(sizes.items()) for j, n in enumerate(ns)]
+    taken = dict.fromkeys(sizes, 0)
+    targets = {}
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        s = list(sizes)[r["doc_id"] // 100_000]
+        taken[s] += r["taken"]
+        targets[s] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert targets["a"] == 1200 and all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
+
+
 def test_mixed_documents_take_the_same_words(docs):
     taken = docs.sparkSession.createDataFrame(mixing.mix(docs).collect()).groupBy("doc_id").agg(F.sum("taken").alias("t")).filter("t > 0")
     mixed = mixing.mixed_documents(docs)
