@@ -1,8 +1,9 @@
 """URL filter by path-template trees.
 
-Paths are split into segments. Level by level, each node of a host's tree decides which of its
-segments stay as branches: numbers and long hexadecimal segments are variable; a segment whose
-labelled share of bad pages is statistically like that of its siblings together joins the wildcard;
+Paths are split into segments; numbers and long hexadecimal segments are variable. Level by level,
+down to the last segment of the longest path, each node of a host's tree decides which of its
+segments stay as branches: variable ones are wildcards; a segment whose labelled share of bad pages
+is statistically like that of its siblings together joins the wildcard;
 one that differs stays, as does the only one with labels, since nothing says that others are like
 it; one without labels stays where it does on another host of the domain. Pages then have a template
 of literal and wildcard segments. A template's purity is its share of bad labelled pages, smoothed
@@ -18,6 +19,8 @@ repeated rows count each; extra columns are ignored; an empty table gives no row
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,8 @@ from .common import ascii_lower, written
 
 #: (verdict, host, path) of the rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Levels of the tree (what lies deeper is one segment), standard errors that make branches differ and bounds hold, weight of the level above.
-LEVELS, APART, PRIOR = 4, 2.0, 2.0
+#: Segments that are variable, standard errors that make branches differ and bounds hold, weight of the level above.
+VARIABLE, APART, PRIOR = r"^[0-9]+$|^[0-9a-fA-F-]{8,}$", 2.0, 2.0
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -47,30 +50,42 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def templates(pages: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """pages (host, path, bad: 1, 0 or null) with template."""
-    segments = F.split(F.regexp_replace("path", r"^/", ""), "/", levels)
-    rows = pages.withColumn("segs", segments).withColumn("template", F.lit(""))
-    # decisions are made on distinct paths with counts, so a host with very many pages is folded before each shuffle
-    paths = rows.groupBy("host", "path", "segs", "template").agg(F.count("bad").alias("lab"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
-    for i in range(levels):
+def shape(path: Column) -> Column:
+    """path without its first slash and with * for each variable segment."""
+    segments = F.split(F.regexp_replace(path, r"^/", ""), "/")
+    return F.array_join(F.transform(segments, lambda x: F.when(x.rlike(VARIABLE), "*").otherwise(x)), "/")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, shape, template, lab, bad for pages (host, shape, bad: 1, 0 or null)."""
+    # decisions are made on distinct shapes with counts, so a host with very many pages is folded before each shuffle
+    paths = pages.groupBy("host", "shape").agg(F.count("bad").alias("lab"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
+    paths = paths.withColumns({"segs": F.split("shape", "/"), "template": F.lit(""), "more": F.lit(True)})
+    out = ("host", "shape", "template", "lab", "bad")
+    done, i = [], 0
+    while True:
         paths = written(paths, "url-paths")  # a level reads the one before three times
+        done.append(paths.filter("not more").select(*out))
+        paths = paths.filter("more")
+        if i and paths.isEmpty():
+            break
         paths = paths.withColumn("seg", F.get("segs", F.lit(i)))
-        kids = paths.filter("seg is not null").groupBy("host", "template", "seg").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
+        kids = paths.groupBy("host", "template", "seg").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
         nodes = kids.groupBy("host", "template").agg(F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"))
         kids = kids.join(nodes, ["host", "template"])
         rest_lab, rest_bad = F.col("all_lab") - F.col("lab"), F.col("all_bad") - F.col("bad")
         here, there = (F.col("bad") + 0.5) / (F.col("lab") + 1), (rest_bad + 0.5) / (rest_lab + 1)
         error = F.sqrt(here * (1 - here) / (F.col("lab") + 1) + there * (1 - there) / (rest_lab + 1))
         differs = (F.col("lab") > 0) & ((rest_lab == 0) | (F.abs(here - there) > APART * error))
-        variable = F.col("seg").rlike(r"^[0-9]+$|^[0-9a-fA-F-]{8,}$")
+        variable = F.col("seg") == "*"
         domain = F.substring_index("host", ".", -2).alias("domain")
         kids = kids.select("host", domain, "template", "seg", ((F.col("lab") == 0) & ~variable).alias("open"), F.when(variable | ~differs, "*").otherwise(F.col("seg")).alias("branch"))
         # where a host has no label for a segment, it stays a branch if it is one on another host of the domain
-        kept = kids.filter("branch = seg").select("domain", "template", "seg", F.lit(True).alias("kept")).distinct()
+        kept = kids.filter("branch = seg and seg <> '*'").select("domain", "template", "seg", F.lit(True).alias("kept")).distinct()
         kids = kids.join(kept, ["domain", "template", "seg"], "left").select("host", "template", "seg", F.when(F.col("open") & F.col("kept"), F.col("seg")).otherwise(F.col("branch")).alias("branch"))
-        paths = paths.join(kids, ["host", "template", "seg"], "left").withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch"))).drop("seg", "branch")
-    return paths.select("host", "path", "template", "lab", "bad")
+        i += 1
+        paths = paths.join(kids, ["host", "template", "seg"]).withColumns({"template": F.concat("template", F.lit("/"), "branch"), "more": F.size("segs") > i}).select(*out, "segs", "more")
+    return reduce(DataFrame.union, done)
 
 
 def low_share(bad: Column, lab: Column) -> Column:
@@ -80,7 +95,7 @@ def low_share(bad: Column, lab: Column) -> Column:
 
 
 def judged(paths: DataFrame) -> DataFrame:
-    """host, path, template, purity, reject for paths with template, lab, bad."""
+    """host, shape, template, purity, reject for paths with template, lab, bad."""
     domain = F.substring_index("host", ".", -2)
     paths = paths.withColumn("domain", domain)
 
@@ -94,7 +109,7 @@ def judged(paths: DataFrame) -> DataFrame:
     own = own.join(wide.select("domain", "template", "l2", "b2", "p2"), ["domain", "template"]).withColumn("purity", smoothed("b1", "l1", F.col("p2")))
     sure = F.greatest(low_share(F.col("b1"), F.col("l1")), low_share(F.col("b2"), F.col("l2"))) > 0.5
     own = own.select("host", "template", "purity", ((F.col("purity") > 0.5) & sure).alias("reject"))
-    return paths.select("host", "path", "template").join(own, ["host", "template"]).select("host", "path", "template", "purity", "reject")
+    return paths.select("host", "shape", "template").join(own, ["host", "template"]).select("host", "shape", "template", "purity", "reject")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> DataFrame:
@@ -103,14 +118,14 @@ def judge_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -
     labels (page_id, bad: 0 or 1), one row a page, take the place of the rules' verdicts as labels.
     """
     host, path = parts(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), shape(path).alias("shape"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("said", said)
     if labels is None:
         seen = rows.withColumn("bad", F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0))
     else:
         seen = rows.join(labels.select("page_id", "bad"), "page_id", "left")
-    scored = judged(templates(seen.select("host", "path", "bad")))
-    out = rows.join(scored, ["host", "path"])
+    scored = judged(templates(seen.select("host", "shape", "bad")))
+    out = rows.join(scored, ["host", "shape"])
     verdict = F.coalesce("said", F.when(F.col("reject"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

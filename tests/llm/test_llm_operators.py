@@ -281,6 +281,13 @@ def test_pages_without_labelled_evidence_are_allowed(spark):
     assert got[20] == got[21] == "allow" and all(got[i] == "block" for i in range(12))
 
 
+def test_deep_paths_have_branches(spark):
+    rows = [(i, f"http://h.net/a/b/c/d/e/{'spam' if i % 2 else 'news'}/{i}" + "/x" * (i % 3)) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "page_id long, bad int")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), labels=labels).collect()}
+    assert len(got) == 80 and all((r["verdict"] == "block") == bool(i % 2) for i, r in got.items()) and got[79]["template"].split("/")[6:8] == ["spam", "*"]
+
+
 def test_language(spark):
     lexicon = {"en": "the of and to in that with was for on is by".split(), "de": "der und die nicht einer mit auch für über".split(), "fr": "le les des une être avec pour où".split()}
     rows = [(i, " ".join(rng.choices(lexicon[k := ("en", "de", "fr")[i % 3]], k=30)), None if i % 10 == 0 else k) for i in range(150)] + [(900, None, "en"), (901, "123 --", "en"), (902, "", None)]
