@@ -324,3 +324,16 @@ def test_pipeline_stages(spark, docs):
         d = stage(spark, d, "")
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert corpus_pipeline.STAGES[-1][1](spark, d, "").count() > 0
+
+
+def test_pipeline_dedup_stages_keep_the_right_rows(spark, docs):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    d = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    rows = [(r["doc_id"], r["text"]) for r in d.collect()]
+    lined = [(r["doc_id"], r["text"]) for r in stages["line_dedup"](spark, d, "").collect()]
+    assert sorted((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in lined) == sorted((i, h) for i, _, _, h in brute_lines(rows))
+    want = brute_components(rows, 5)
+    near = [(r["doc_id"], r["text"] or "") for r in stages["near_dedup"](spark, d, "").collect()]
+    assert sorted(near) == sorted((i, t or "") for i, t in rows if want[i][1] == i)
