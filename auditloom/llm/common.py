@@ -2,60 +2,55 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+from ..sources.io import new_path
+
 #: The white space of every contract: blank and the controls 9 to 13.
 WS_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch; documents can be long, so far fewer than Spark's 10,000.
 ARROW_ROWS = 512
+#: Rows of a few numbers that are broadcast at most; more are shuffled.
+BROADCAST_ROWS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters beyond ASCII that lower() changes are in these classes.
 _CASED = r"[^\x00-\x7F\p{Ll}\p{Lo}\p{Lm}\p{M}\p{P}\p{Z}\p{Sc}\p{Sk}\p{Sm}\p{Nd}\p{No}\p{C}]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one in /tmp."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "/tmp/checkpoints/auditloom"
+class Scratch:
+    """Tables in the shared folder, each computed once and safe from lost executors; clear() deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        path = new_path(self.spark, tag)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def clear(self, but: DataFrame) -> None:
+        """Deletes all tables but one, which must not depend on the others any more."""
+        context = self.spark.sparkContext
+        for df, path in self.paths.values():
+            if df is not but:
+                place = context._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = {}
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: it is computed once and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _ship(spark: SparkSession) -> None:
-    """Gives this package to the executors' Python, once a Spark context, as --py-files would."""
-    context = spark.sparkContext
-    if getattr(context, "_auditloom_sent", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    if root.is_dir():  # else the package came in an archive, so the executors have it
-        archive = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        context.addPyFile(str(archive))
-    context._auditloom_sent = True
+    return Scratch(df.sparkSession).write(df, tag)
 
 
 def python_ready(spark: SparkSession) -> None:
     """Before Python runs in tasks: the package is sent, and Arrow batches have fewer rows than Spark's default unless the user has set another number."""
-    _ship(spark)
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(ARROW_ROWS))

@@ -112,6 +112,28 @@ def test_near_components(spark, docs, width):
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["component_id"] == r["doc_id"])
 
 
+def test_near_rows_without_or_with_repeated_ids(spark):
+    one, two, three = words(60), words(60), words(60)
+    rows = [(None, one, 1, "k"), (None, two, 2, "k"), (7, one + " x", 3, "k"), (8, two + " x", 4, "k"), (5, three, 5, "k"), (5, words(70), 6, "k"), (4, three + " y", 7, "k"), (4, three + " y", 7, "k"), (None, three, 8, "k"), (None, words(30), 9, "k"), (None, None, 10, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cid int, set_key string")
+    got = {(r["mark"], r["doc_id"]): (r["component_id"], r["kept"]) for r in near_dedup.near_rows(docs, 2).collect()}
+    marks = [r[0] for r in docs.select(F.xxhash64("text")).collect()]
+    want = [(7, False), (8, False), (7, True), (8, True), (4, False), (5, True), (4, True), (4, True), (4, False), (None, True), (None, True)]
+    assert [got[m, r[0]] for m, r in zip(marks, rows, strict=True)] == want
+    out = near_dedup.deduped_documents(docs, 2)
+    assert out.columns == docs.columns and sorted(r["cid"] for r in out.collect()) == sorted(r[2] for r, w in zip(rows, want, strict=True) if w[1])
+
+
+def test_word_hashes_do_not_depend_on_the_step(monkeypatch):
+    text = (words(3000) + " " + "x" * 5000 + "\tAbc abc " + words(10)).encode()
+    whole = near_dedup.word_hashes(text)
+    assert len(whole) == len(text.split()) and whole[-11] == whole[-12]
+    monkeypatch.setattr(near_dedup, "STEP", 100)
+    near_dedup._step_powers.cache_clear()
+    assert (near_dedup.word_hashes(text) == whole).all() and len(near_dedup.word_hashes(b" \t")) == 0
+    near_dedup._step_powers.cache_clear()
+
+
 def test_parities_bound_the_difference():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(1 << 62, size=700, dtype=np.uint64))
