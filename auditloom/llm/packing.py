@@ -13,10 +13,13 @@ their own. An empty table gives no row. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import unicodedata
 import zlib
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import root_buckets, running, python_ready, written
 
 MAX_TOKENS, END_ID = 2048, 0
-#: Words whose ids a Python worker keeps; it starts anew beyond that.
-WORDS_KEPT = 400_000
+#: Words whose ids a task keeps; it starts anew beyond that.
+WORDS_KEPT = 250_000
 #: Ranks in a cell of the join of pieces and places; places that are broadcast at most, else both sides are shuffled.
 CELL, BROADCAST_ROWS = 1 << 16, 200_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,63 +43,73 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+_BEFORE_MARKS = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?])")
+#: How a tokenizer's file says that it lower-cases NFC text, drops white space, and cuts runs without it into words, digits and marks.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+@lru_cache(1)
+def tokenizer_of(path: str):
+    """The tokenizer, and does it treat words one by one, so that WordIds may take texts apart; one for each Python worker."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(Path(path).read_text())
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    by_words = [x["type"] for x in steps] == _NORMAL and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and steps[1]["pattern"] == {"Regex": "\\s+"} and cuts[0]["pattern"] == {"Regex": _SPLIT} and spec["model"].get("end_of_word_suffix") == "</w>"
+    return Tokenizer.from_file(path), by_words
+
+
 class WordIds(dict):
-    """From a run of characters without blank or line end to its ids, as little-endian 32-bit bytes.
+    """From a word to its ids, as little-endian 32-bit bytes.
 
-    The tokenizer treats such runs one by one, and most of a corpus is words met before.
+    The tokenizer treats runs of characters without blank or line end one by one, and most of a
+    corpus is words met before; a word before end marks, or with capitals, has the plain word's ids.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer
-
-        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.tokenizer, self.by_words = tokenizer_of(path)
         self.letters = byte_letters()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        word = run.lower() if run.isascii() else unicodedata.normalize("NFC", run).lower()
-        if "Σ" in run:  # its lower case depends on its place in Python, not in the tokenizer
-            out = self.whole(run)
-        elif word.isalpha():
-            if word != run:
-                out = self[word]
-            else:
-                ids = [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
-                out = struct.pack(f"<{len(ids)}I", *ids)
-        elif (head := word.rstrip(".,;:!?")).isalpha():
-            out = self[head] + self[word[len(head) :]]
+        if run.isalpha() and self.is_plain(run):
+            ids = [t.id for t in self.tokenizer.model.tokenize(run if run.isascii() else run.encode().decode("latin-1").translate(self.letters))]
+            out = struct.pack(f"<{len(ids)}I", *ids)
         else:
             out = self.whole(run)
+        if len(self) >= WORDS_KEPT:
+            self.clear()
         self[run] = out
         return out
 
+    @staticmethod
+    def is_plain(text: str) -> bool:
+        """Does the tokenizer's normaliser leave the text as it is."""
+        return text == text.lower() and (text.isascii() or "ς" not in text and unicodedata.is_normalized("NFC", text))
+
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.specials):
+        low = text.lower()
+        if not self.by_words or any(s in text or s in low for s in self.specials):
             return self.whole(text)
+        if "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
+            # fewer kinds of runs: no capitals, and end marks apart from words, where the tokenizer cuts too
+            text = _BEFORE_MARKS.sub(" ", low)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@lru_cache(1)
-def word_ids(path: str) -> WordIds:
-    """One for each Python worker."""
-    ids = WordIds(path)
-    ids[""] = b""
-    return ids
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
     python_ready(docs.sparkSession)
 
     def cut(batches):
-        words = word_ids(tokenizer_path)
+        words = WordIds(tokenizer_path)  # the task's, so that a worker keeps no words for later tasks
         end, step = struct.pack("<I", END_ID), 4 * max_tokens
         for b in batches:
             out = []

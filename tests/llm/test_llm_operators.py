@@ -254,10 +254,14 @@ def test_packing(docs):
 
 
 def test_word_ids_equal_the_tokenizer():
-    ids = packing.WordIds(tokenizer_path())
-    ids[""] = b""
-    for t in [*filter(None, TEXTS), "don't l'été 'reste $5,000 é ﬁn 中文  x y", "naïve​word ΟΔΟΣ İstanbul"]:
-        assert np.frombuffer(ids.ids(t), "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids
+    import public_tokenizers
+
+    texts = [*filter(None, TEXTS), "don't l'été 'reste $5,000 é ﬁn 中文  x y", "naïve​word ΟΔΟΣ İstanbul", "Ends. Here!? (so) ...", words(30) * 40]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):  # the second is no tokenizer of single words
+        ids = packing.WordIds(public_tokenizers.path(name))
+        assert ids.by_words == name.startswith("word")
+        for t in texts:
+            assert np.frombuffer(ids.ids(t), "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_capacities_bind():
