@@ -7,13 +7,14 @@ n-gram's cells returns all languages that contain it. A text's n-grams are count
 the largest corrected share decides.
 
 Training may take a bounded sample: per_language documents of each language, those of the smallest
-hash of doc_id. Edge cases: null text and texts without a letter are `und` with score 0; a text
+hash of doc_id; a doc_id with several texts gives one of them. Edge cases: null text and texts without a letter are `und` with score 0; a text
 too short for one n-gram counts its padded form; ties go to the first language in order. A table
 without labelled rows predicts `und` everywhere. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import python_ready
+from .common import BROADCAST_ROWS, python_ready
 
 #: n-gram lengths in characters, kept n-grams of a language and length, documents of a language in the sample.
 LENGTHS, KEPT, PER_LANGUAGE = (2, 3, 4), 3000, 1000
@@ -43,20 +44,25 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def grams(text: str, lengths: tuple[int, ...] = LENGTHS) -> np.ndarray:
-    """64-bit hashes of the n-grams of a lower-cased text, blanks around it, every run of non-letters one blank."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(_letters()[codes], codes, np.uint32(32)).astype(np.uint64)
-    blank = codes == 32
-    codes = codes[~(blank & np.r_[False, blank[:-1]])]
-    out, h = [], np.zeros(len(codes), np.uint64)
-    for n in range(1, max(lengths) + 1):
-        if len(codes) < n:
-            break
-        h = h[: len(codes) - n + 1] * _M1 + codes[n - 1 :] + np.uint64(1)
-        if n in lengths:
-            out.append(_mix(h + np.uint64(n)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def gram_parts(text: str, lengths: tuple[int, ...] = LENGTHS) -> Iterator[np.ndarray]:
+    """64-bit hashes of the n-grams of a lower-cased text, blanks around it, every run of non-letters one blank; a part for each STEP characters."""
+    most = max(lengths)
+    codes = np.array([32], np.uint64)
+    for i in range(0, len(text), STEP):
+        old = codes[1 - most :] if i else codes  # n-grams that reach into this part begin there
+        part = text[i : i + STEP].lower() + (" " if i + STEP >= len(text) else "")
+        new = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.concatenate([old, np.where(_letters()[new], new, np.uint32(32)).astype(np.uint64)])
+        blank = codes == 32
+        codes = codes[~(blank & np.r_[False, blank[:-1]])]
+        out, h = [], np.zeros(len(codes), np.uint64)
+        for n in range(1, most + 1):
+            if len(codes) < n:
+                break
+            h = h[: len(codes) - n + 1] * _M1 + codes[n - 1 :] + np.uint64(1)
+            if n in lengths:
+                out.append(_mix(h[max(0, len(old) - n + 1) :] + np.uint64(n)))
+        yield np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def _cells(h: np.ndarray) -> list[np.ndarray]:
@@ -101,8 +107,7 @@ class LanguageFilter:
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
         total, n = np.zeros(len(self.languages)), 0
-        for i in range(0, len(text), STEP):
-            h = grams(text[i : i + STEP])
+        for h in gram_parts(text):
             total += self.counts(h)
             n += len(h)
         true = np.clip((total - n * self.false_rate) / (1 - self.false_rate), 0, None)
@@ -111,27 +116,36 @@ class LanguageFilter:
 
 
 def _sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """lang, text of the per_language rows with the smallest hashes, in two steps so that no task sorts a whole language."""
-    rows = docs.filter("lang is not null and text is not null").select("lang", "doc_id", F.xxhash64("doc_id", F.lit(1)).alias("h"))
-    first = rows.withColumn("part", F.pmod("h", F.lit(64)))
-    near = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
-    few = first.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= per_language)
-    last = Window.partitionBy("lang").orderBy("h", "doc_id")
-    return few.withColumn("n", F.row_number().over(last)).filter(F.col("n") <= per_language).select("doc_id", "lang")
+    """lang, text of per_language documents at most of each language: those with the smallest hashes.
+
+    The number of a language's rows gives a bound under which about four times as many hashes lie, so a
+    task ranks a few thousand rows however many there are.
+    """
+    rows = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    if not counts:
+        return rows.select("lang", "text")
+    bounds = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 30, 1 + (per_language << 32) // n))))
+    ids = rows.select("lang", F.col("doc_id").alias("_id"), F.xxhash64("doc_id", F.lit(1)).alias("h"))
+    few = ids.filter(F.pmod("h", F.lit(1 << 30)) < bounds[F.col("lang")]).distinct()
+    near = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "_id")
+    few = few.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= per_language).select("_id", F.col("lang").alias("_lang"))
+    few = F.broadcast(few) if per_language * len(counts) <= BROADCAST_ROWS else few
+    chosen = rows.join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
+    return chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, kept: int = KEPT) -> LanguageFilter:
     """Fits the filter on labelled rows (doc_id, text, lang); brings kept n-grams of each length and language to the driver."""
     python_ready(docs.sparkSession)
-    chosen = _sample(docs, per_language).distinct()
-    texts = docs.filter("text is not null").join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    texts = _sample(docs, per_language)
 
     def count(batches):
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for n in LENGTHS:
-                    for i in range(0, len(text), STEP):
-                        h, c = np.unique(grams(text[i : i + STEP], (n,)), return_counts=True)
+                    for part in gram_parts(text, (n,)):
+                        h, c = np.unique(part, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array([n] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["lang", "n", "gram", "c"])
 
     tallied = texts.mapInArrow(count, "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))

@@ -335,4 +335,4 @@ def deduped_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     """docs with one document of each component, the one of the smallest doc_id."""
     gone = near_rows(docs, width).filter("not kept").select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (_mark() == F.col("_mark")), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_mark"]), "left_anti")

@@ -8,7 +8,8 @@ Adjoining chunks that also occur in other documents make a run; runs of at least
 are what repeats.
 
 Edge cases: null and empty texts have no chunk. Repeats inside one document alone don't count.
-Repeated rows of a doc_id are one document. Null doc_id counts as the smallest number. Extra
+Repeated rows of a doc_id are one document; a
+doc_id with several texts has the runs of each. Null doc_id counts as the smallest number. Extra
 columns are ignored; an empty table gives no row.
 """
 
@@ -24,7 +25,7 @@ from .common import python_ready, written
 
 #: Neighbours on either side, words of a chunk (longer ones, as in runs of one word, are cut), words of a run.
 REACH, LONGEST, MIN_WORDS = 3, 16, 20
-_CHUNKS = "doc_id long, nth int, start int, bytes int, words int, digest long"
+_CHUNKS = "doc_id long, mark long, nth int, start int, bytes int, words int, digest long"
 
 
 def gear_table() -> np.ndarray:
@@ -64,13 +65,13 @@ def cuts(data: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id, nth, start and bytes (in UTF-8), words, digest of every chunk."""
+    """doc_id, mark (hash of the text), nth, start and bytes (in UTF-8), words, digest of every chunk."""
     python_ready(docs.sparkSession)
 
     def rows(batches):
         for b in batches:
             parts = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, mark, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 starts, cut = cuts(np.frombuffer(text or b"", np.uint8), reach)
                 if not len(starts):
                     continue
@@ -78,13 +79,13 @@ def chunks(docs: DataFrame, reach: int = REACH) -> DataFrame:
                 begin = starts[first]
                 end = np.r_[begin[1:], len(text)]
                 own = [xxhash.xxh3_64_intdigest(text[i:j].rstrip()) for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
-                parts.append((np.full(len(begin), doc_id), np.arange(len(begin)), begin, end - begin, np.diff(np.r_[first, len(starts)]), np.array(own, np.uint64).view(np.int64)))
+                parts.append((np.full(len(begin), doc_id), np.full(len(begin), mark), np.arange(len(begin)), begin, end - begin, np.diff(np.r_[first, len(starts)]), np.array(own, np.uint64).view(np.int64)))
             if parts:
-                kinds = (np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)
+                kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts]).astype(k)) for i, k in enumerate(kinds)], [x.split()[0] for x in _CHUNKS.split(", ")])
 
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id")
-    return docs.select(doc, F.col("text").cast("binary").alias("raw")).mapInArrow(rows, _CHUNKS)
+    return docs.select(doc, F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("raw")).mapInArrow(rows, _CHUNKS)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
@@ -97,8 +98,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, reach: int =
     by = cells.groupBy("digest", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = by.filter("low <> high").select("digest", "words", "low")
     found = cells.join(shared, ["digest", "words"])
-    near = Window.partitionBy("doc_id").orderBy("nth", "start")
-    runs = found.select("doc_id", "nth", "start", "bytes", "words", "low", (F.col("nth") - F.dense_rank().over(near)).alias("run"))
-    out = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("bytes")) - F.min("start")).cast("long").alias("length"), F.sum("words").cast("long").alias("n_words"), F.count("*").alias("n_chunks"), F.mode("low").alias("keep_doc_id"))
+    # repeated rows have the same chunks
+    once = found.groupBy("doc_id", "mark", "nth").agg(*(F.first(c).alias(c) for c in ("start", "bytes", "words", "low")))
+    near = Window.partitionBy("doc_id", "mark").orderBy("nth")
+    runs = once.withColumn("run", F.col("nth") - F.row_number().over(near))
+    out = runs.groupBy("doc_id", "mark", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("bytes")) - F.min("start")).cast("long").alias("length"), F.sum("words").cast("long").alias("n_words"), F.count("*").alias("n_chunks"), F.mode("low").alias("keep_doc_id"))
     real = [F.when(F.col(c) != -(1 << 63), F.col(c)).alias(c) for c in ("doc_id", "keep_doc_id")]
     return out.filter(F.col("n_words") >= min_words).select(real[0], F.col("start").cast("long").alias("start"), "length", "n_words", "n_chunks", real[1], (F.col("doc_id") != F.col("keep_doc_id")).alias("dropped"))

@@ -115,7 +115,7 @@ def test_near_components(spark, docs, width):
 def test_near_rows_without_or_with_repeated_ids(spark):
     one, two, three = words(60), words(60), words(60)
     rows = [(None, one, 1, "k"), (None, two, 2, "k"), (7, one + " x", 3, "k"), (8, two + " x", 4, "k"), (5, three, 5, "k"), (5, words(70), 6, "k"), (4, three + " y", 7, "k"), (4, three + " y", 7, "k"), (None, three, 8, "k"), (None, words(30), 9, "k"), (None, None, 10, "k")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, cid int, set_key string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cid int, _doc string")
     got = {(r["mark"], r["doc_id"]): (r["component_id"], r["kept"]) for r in near_dedup.near_rows(docs, 2).collect()}
     marks = [r[0] for r in docs.select(F.xxhash64("text")).collect()]
     want = [(7, False), (8, False), (7, True), (8, True), (4, False), (5, True), (4, True), (4, True), (4, False), (None, True), (None, True)]
@@ -282,6 +282,41 @@ def test_repeated_passages(spark):
         assert text[r["doc_id"]].encode()[r["start"] : r["start"] + r["length"]].decode().split()[2:-2]
 
 
+def brute_runs(rows, least=20):
+    """Runs of adjoining chunks that another document also has, from the chunks of single texts."""
+    cells = {}
+    for i, t in set(rows):
+        raw = (t or "").encode()
+        starts, cut = substring.cuts(np.frombuffer(raw, np.uint8))
+        begin = [*starts[cut].tolist(), len(raw)] if len(starts) else []
+        cells[i, t] = [(a, b, raw[a:b].rstrip(), len(raw[a:b].split())) for a, b in zip(begin, begin[1:])]
+    where = {}
+    for (i, _), own in cells.items():
+        for *_, chunk, n in own:
+            where.setdefault((chunk, n), set()).add(-1 if i is None else i)
+    out = []
+    for (i, _), own in cells.items():
+        run = []
+        for a, b, chunk, n in [*own, (0, 0, None, 0)]:
+            if chunk is not None and len(where[chunk, n]) > 1:
+                run.append((a, b, n))
+            else:
+                if sum(x[2] for x in run) >= least:
+                    out.append((i, run[0][0], run[-1][1] - run[0][0], sum(x[2] for x in run), len(run)))
+                run = []
+    return sorted(out, key=str)
+
+
+def test_repeated_passages_against_brute_force(spark):
+    passage, short = words(45), words(16)
+    rows = [(1, f"{words(20)} {short}"), (2, f"{short} {words(30)}"), (1, f"{words(20)} {short}")]
+    rows += [(1, rows[0][1]), (3, f"{words(9)} {passage} {words(9)}"), (3, f"{words(19)} {passage}"), (None, passage), (4, passage.upper()), (5, "w " * 500), (6, "w " * 300), (7, ""), (8, None), (9, words(100_000) + passage)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, nth int, digest string").repartition(3)
+    got = [tuple(r)[:5] for r in substring.repeated_passages(docs).collect()]
+    assert sorted(got, key=str) == brute_runs(rows)
+    assert {r[0] for r in got} >= {3, None, 5, 6, 9} and not {2, 4, 7, 8} & {r[0] for r in got}
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.org/es/x", "https://EXAMPLE.org/en/12?x", "https://example.org/en/2", "http://x.com/fr/", "http://x.com/de/1#t", "http://notexample.org/es/", "http://org/", "http://x.net", None, "no scheme", "http://x.com/de/1", "ftp://h.com?q=/fr/"]
     got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
@@ -323,6 +358,43 @@ def test_language(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for i, r in got.items())
 
 
+def brute_grams(text):
+    flat = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    while "  " in flat:
+        flat = flat.replace("  ", " ")
+    return [flat[i : i + n] for n in language.LENGTHS for i in range(len(flat) - n + 1)]
+
+
+def test_grams_and_counts_against_brute_force(monkeypatch):
+    texts = ["Été, 12 fois", "a", "--", "ab  cd", words(60)]
+    known = {"x": set(brute_grams(texts[4])), "y": set(brute_grams(texts[0]))}
+
+    def hashes(grams):  # of single n-grams, by padding away
+        return {g: h for g, h in zip(grams, np.concatenate([np.concatenate(list(language.gram_parts(t, (n,)))) for t, n in [(u, n) for u in (texts[4], texts[0]) for n in language.LENGTHS]]).tolist(), strict=True)}
+
+    of = hashes(brute_grams(texts[4]) + brute_grams(texts[0]))
+    model = language.LanguageFilter.of([(k, np.uint64(of[g]).astype(np.int64)) for k, gs in known.items() for g in gs])
+    whole = {t: np.sort(np.concatenate(list(language.gram_parts(t)))) for t in texts}
+    for t, h in whole.items():
+        assert len(h) == len(brute_grams(t))
+        count = model.counts(h)
+        for k, i in (("x", 0), ("y", 1)):
+            true = sum(g in known[k] for g in brute_grams(t))
+            assert true <= count[i] <= true + 2 + 0.05 * len(h)  # no misses, few false positives
+    monkeypatch.setattr(language, "STEP", 7)
+    assert all((np.sort(np.concatenate(list(language.gram_parts(t)))) == h).all() for t, h in whole.items())
+
+
+def test_languages_of_odd_rows(spark):
+    rows = [(i, " ".join(rng.choices(("the of and to" if i % 2 else "der und die von").split(), k=40)), "en" if i % 2 else "de", 1, "q") for i in range(40)]
+    rows += [(None, rows[0][1], "de", 2, "q"), (1, rows[0][1], "de", 3, "q"), (1, rows[1][1], "en", 4, "q"), (99, rows[1][1] * 4000, None, 5, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, h int, _id string")
+    got = language.predict(docs, language.train(docs), ["h", "lang", "text"]).collect()
+    assert all(r["lang_pred"] == ("en" if "the" in r["text"] else "de") for r in got) and len(got) == len(rows)
+    kept = language.accepted_documents(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(rows, key=str)
+
+
 @pytest.mark.parametrize("kind", ["ppm", "bmp"])
 def test_media(docs, kind):
     got = media.media_columns(docs, kind).collect()
