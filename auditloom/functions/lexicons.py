@@ -45,6 +45,44 @@ NO_EDIT = ["无滤镜", "没滤镜", "未修图", "没修图", "无P图", "没P
 MARKER_NEGATIONS = ["并非", "并不是", "不是", "没有", "绝非", "非", "不", "没", "未", "不能", "不可", "并不", "不曾"]
 DIMENSIONS = {"days": r"([0-9]+(?:\.[0-9]+)?)[ \t\n]*(?:天|日)", "weeks": r"([0-9]+(?:\.[0-9]+)?)[ \t\n]*(?:周|个?星期)", "months": r"([0-9]+(?:\.[0-9]+)?)[ \t\n]*(?:个?月)", "percent": r"([0-9]+(?:\.[0-9]+)?)[ \t\n]*%", "price": r"([0-9]+(?:\.[0-9]+)?)[ \t\n]*(?:元|块|块钱|[rR][mM][bB]|¥)", "volume": r"([0-9]+(?:\.[0-9]+)?)[ \t\n]*(?:[mM][lL]|毫升|[gG]|克)"}
 
+# fixed values: ends of sentences, and what changes a claim's stance
+STOPS = "。！？!?；;\n"
+QUOTED = r"""「[^」]*」|“[^”]*”|"[^"]*\""""
+DENIALS = r"并非|并不|不是|不能|不可|不得|不具备|不具有|不保证|无法|没有|未见|不会|无|不|非"
+ACTIONS = r"宣称|提供|起到|用于|治疗|治愈|根治|预防|缓解"
+FALSE_TAIL = r"(?:说法|说辞|观点|宣称)(?:并不属实|不属实|不成立|不实|错误|虚假)"
+REPORTING = r"声称|宣称|写着|提到|引用|说法|评论|引述|禁止|禁用|辟谣|例如|比如"
+UNTRUE = r"不实|不成立|错误|不可信"
+DISCLOSED = r"(?:AI|人工智能|生成式)(?:生成|合成|绘制)?\s*(?:示意(?:图)?|效果图|模拟(?:图)?|演示(?:图)?)|(?:示意图|效果图)\s*[（(]?\s*(?:AI|人工智能)(?:生成)?"
+
+# fixed values: what a claim in copy says. Measures: metric, pattern, and which of its groups are what
+PRODUCT = r"产品(?:名称)?\s*[:：]\s*([^，,。；;\n]+)|【([^】]*(?:精华(?:液)?|面霜|眼霜|乳液|粉底(?:液)?|口红|唇釉|防晒霜|面膜|洁面乳|化妆水))】"
+PERIOD = r"([0-9]+(?:\.[0-9]+)?)\s*(天|日|周)"
+EDITION = r"(?<!\d)(?:20\d{2}版|第[一二三四五六七八九十\d]+代|新版|旧版)"
+SHADE = r"(?:色号|色號|#)\s*[:：#]?\s*([A-Za-z0-9]+)"
+PEOPLE = r"敏感肌|混油皮|混干皮|干皮|油皮|受试者|成年人"
+TERMS = r"即时|即刻|首次|连续使用|早晚|夜间|每[日天]|实验室|消费者自评|最高|平均|至少|至多"
+NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
+MEASURES = [
+    ("水分提升", r"(?:角质层)?(?:水分|含水量|含水率)\s*(?:提升|增加|提高)\s*" + NUMBER + r"\s*(%)", {"value": 1, "unit": 2}),
+    ("天然来源比例", NUMBER + r"\s*(%)\s*(?:为|的)?\s*天然来源", {"value": 1, "unit": 2}),
+    ("天然来源比例", r"天然来源(?:成分)?(?:比例|占比)?\s*(?:达|为|[:：])?\s*" + NUMBER + r"\s*(%)", {"value": 1, "unit": 2}),
+    ("斑点减少", r"(?:色斑|斑点)(?:面积|数量)?\s*(?:减少|下降|降低)\s*" + NUMBER + r"\s*(%)", {"value": 1, "unit": 2}),
+    ("保湿时长", r"保湿\s*(?:长达|持续)\s*" + NUMBER + r"\s*(小时|h|天|日)", {"value": 1, "unit": 2}),
+    ("保湿时长", NUMBER + r"\s*(小时|h)\s*(?:持久)?保湿", {"value": 1, "unit": 2}),
+    ("规格", r"(正装|赠品|小样|试用装)\s*(?:容量|净含量|规格)?\s*[:：]?\s*" + NUMBER + r"\s*(毫升|ml|克|g)", {"variant": 1, "value": 2, "unit": 3}),
+]
+#: For each measure, words of which a clause that it matches has one.
+MEASURE_WORDS = [("水分", "含水"), ("天然来源",), ("天然来源",), ("斑",), ("保湿",), ("保湿",), ("正装", "赠品", "小样", "试用装")]
+METRIC_HOURS = "保湿时长"
+UNIT_NAMES = {"毫升": "ml", "克": "g", "小时": "h", "日": "天"}
+WITHOUT_PERIOD = ["保湿时长", "规格", "天然来源比例"]
+PLAIN_EFFECT = r"治愈|治疗|根治|修复|美白|祛斑|抗皱|淡纹|保湿|控油|祛痘"
+BEFORE_AFTER = r"(?:真人|本人|实拍|实测|真实拍摄)[^，,。！？!?；;\n]{0,10}(?:前后对比|效果对比|功效对比|使用前后)|(?:前后对比|使用前后)[^，,。！？!?；;\n]{0,10}(?:实拍|真人|本人)"
+UNEDITED = r"原相机实拍|原图直出|未修图|无滤镜|实拍"
+#: A clause without any of these has no claim, in compatible form or not (the last class is of characters that the form makes ideographs).
+CLAIM_HINT = r"水分|含水量|含水率|天然来源|斑点|色斑|保湿|正装|赠品|小样|试用装|色号|色號|[#＃﹟]|治愈|治疗|根治|修复|美白|祛斑|抗皱|淡纹|控油|祛痘|前后对比|效果对比|功效对比|使用前后|实拍|原图直出|未修图|无滤镜|[⺀-⿟豈-﫿㈀-㏿]"
+
 # fixed values: source tracing
 OFFICIAL_LINE = r"(官方|品牌|旗舰|企业号|官方素材|素材库|beian|备案)"
 WATERMARKS = [r"@([^\s@，,。:：]{1,20})", r"([一-龥A-Za-z0-9_]{1,20})[的の]?(?:小红书|抖音|快手|微博|视频号)", r"^(?:来自)?(.*?)(?:的小红书|的抖音)$"]

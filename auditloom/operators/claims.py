@@ -1,6 +1,7 @@
 """Claims: rollups, laws, alignment of copy and image, conflicts, references.
 
-A claim row has the fields of scan.CLAIM, with keys doc (asset) and idx (its number in the document).
+A claim row has keys, idx (its place in the document's order), quote, start, end, product, version,
+days, population, conditions, metric, variant, value, shade, unit and stance.
 """
 
 from __future__ import annotations
@@ -14,9 +15,26 @@ from ..functions.shipping import ship
 
 
 def claim_table(texts: DataFrame, keys: list[str], text: str = "text", product: Column | None = None) -> DataFrame:
-    """Keys, idx and a claim's fields, for each claim of the texts."""
+    """Keys, idx (rises through the text, with gaps) and a claim's fields, for each claim of the texts.
+
+    Texts and clauses without a word that a claim needs end before any pattern is tried. Places of
+    matches are those in the clause's compatible form.
+    """
     ship(texts.sparkSession)
-    return texts.select(*keys, F.posexplode(scan.extracted(F.col(text), product)).alias("idx", "c")).select(*keys, "idx", "c.*")
+    given = F.lit(None).cast("string") if product is None else product
+    rows = texts.select(*keys, F.col(text).alias("_text"), given.alias("_given")).filter(F.col("_text").rlike(lx.CLAIM_HINT))
+    known = F.when(F.coalesce("_given", F.lit("")) != "", F.col("_given")).otherwise(scan.declared_product(F.col("_text")))
+    rows = rows.select(*keys, known.alias("_known"), F.explode(scan.found(F.col("_text"), scan.CLAIMS, lx.CLAIM_HINT, compatible=True)).alias("_m"))
+    m, quote, line = F.col("_m"), F.col("_m.quote"), F.col("_m.line")
+    said = scan.stated(m)
+    rows = rows.filter(said["real"])
+    fields = {
+        "idx": F.col("_m.nth").cast("long") * (1 << 20) + F.col("_m.entry") * (1 << 14) + F.col("_m.k"), "quote": scan.stripped(quote), "start": F.col("_m.start"), "end": F.col("_m.start") + F.length(quote),
+        "product": scan.product_of(quote, F.col("_known")), "version": scan.version_of(line), "days": F.when(said["timed"], scan.days_of(line)),
+        "population": scan.sorted_set(line, lx.PEOPLE), "conditions": scan.sorted_set(line, lx.TERMS),
+        **{c: said[c] for c in ("metric", "variant", "value", "shade", "unit")}, "stance": scan.stance(m),
+    }
+    return rows.select(*keys, *(x.alias(name) for name, x in fields.items()))
 
 
 def hit_table(texts: DataFrame, keys: list[str], text: str = "text", **lists) -> DataFrame:
@@ -52,19 +70,19 @@ def exposure(keys: DataFrame, key: list[str]) -> DataFrame:
     return by.withColumn("tiers", tiers).select(*key, F.array_join("tiers", ",").alias("tiers"), F.get("tiers", F.lit(0)).alias("top_tier"))
 
 
-def usable(claims: DataFrame) -> DataFrame:
-    """Claims that can be compared at all: asserted, of a product, with a value, of one version, and for two metrics of a period or an instant."""
+def is_usable() -> Column:
+    """Can the claim be compared at all: asserted, of a product, with a value, of one version, and for two metrics of a period or an instant."""
     timed = ~F.col("metric").isin("水分提升", "斑点减少") | F.col("days").isNotNull() | F.arrays_overlap("conditions", F.array(F.lit("即时"), F.lit("即刻")))
     has_value = F.col("value").isNotNull() | F.col("shade").isNotNull()
-    return claims.filter((F.col("stance") == "asserted") & (F.coalesce("product", F.lit("")) != "") & has_value & (F.coalesce("version", F.lit("")) != "ambiguous") & timed)
+    return (F.col("stance") == "asserted") & (F.coalesce("product", F.lit("")) != "") & has_value & (F.coalesce("version", F.lit("")) != "ambiguous") & timed
 
 
 KEY = ("product", "metric", "variant", "unit", "days", "population", "conditions", "version")
 
 
 def comparable_key() -> Column:
-    """One value for the fields that must agree, nulls included."""
-    return F.to_json(F.struct(*KEY), {"ignoreNullFields": "false"})
+    """One value for the fields that must agree, nulls included; null for a claim that can't be compared."""
+    return F.when(is_usable(), F.to_json(F.struct(*KEY), {"ignoreNullFields": "false"}))
 
 
 def value_text() -> Column:
@@ -73,19 +91,18 @@ def value_text() -> Column:
 
 def align(body: DataFrame, image: DataFrame) -> DataFrame:
     """Each asserted body claim with a value: equal, conflict, or none / many candidates in its document's image."""
-    left = body.filter("stance = 'asserted' and (value is not null or shade is not null)").select("doc", "idx", "quote", value_text().alias("v"))
-    keyed = usable(body).select("doc", "idx", comparable_key().alias("key"))
+    left = body.filter("stance = 'asserted' and (value is not null or shade is not null)").select("doc", "idx", "quote", value_text().alias("v"), comparable_key().alias("key"))
     # candidates fold to a count and one value before the join
-    other = usable(image).select("doc", comparable_key().alias("key"), value_text().alias("w")).groupBy("doc", "key").agg(F.count("*").alias("n"), F.min("w").alias("w"))
-    found = left.join(keyed, ["doc", "idx"], "left").join(other, ["doc", "key"], "left")
+    other = image.select("doc", comparable_key().alias("key"), value_text().alias("w")).filter("key is not null").groupBy("doc", "key").agg(F.count("*").alias("n"), F.min("w").alias("w"))
+    found = left.join(other, ["doc", "key"], "left")
     status = F.when(F.coalesce("n", F.lit(0)) == 0, "none").when(F.col("n") > 1, "many").when(F.col("v") == F.col("w"), "equal").otherwise("conflict")
     return found.select("doc", "idx", "quote", "v", F.when(F.col("n") == 1, F.col("w")).alias("w"), status.alias("status"))
 
 
 def contradictions(aligned: DataFrame, docs: DataFrame) -> DataFrame:
-    """Doc, kind, severity. docs: doc, shots and unedited (asserted markers), efficacy_photo, disclosed, has_image, verified_ai, ai_label, ai_score, edit_score."""
+    """Doc, kind, severity. docs: doc, shots and unedited (asserted markers), efficacy_photo, disclosed, has_image, verified_ai, ai_label, origin_status (of a calibrated detector, or null), ai_score, edit_score."""
     numeric = aligned.filter("status = 'conflict'").select("doc", F.lit("number").alias("kind"), F.lit("medium").alias("severity"))
-    shown = F.col("verified_ai") | F.col("ai_label") | (F.coalesce("ai_score", F.lit(0.0)) >= lx.LIMITS["aigc_high"]) | (F.col("disclosed") & F.col("has_image"))
+    shown = F.col("verified_ai") | F.col("ai_label") | (F.coalesce("origin_status", F.lit("")) == "likely") | (F.coalesce("ai_score", F.lit(0.0)) >= lx.LIMITS["aigc_high"]) | (F.col("disclosed") & F.col("has_image"))
     photo = (F.col("efficacy_photo") | (F.col("shots") & ~F.col("disclosed"))) & shown
     hard = F.col("verified_ai") | (F.col("efficacy_photo") & F.col("disclosed"))
     shots = docs.filter(photo).select("doc", F.lit("real_shot").alias("kind"), F.when(hard, "hard").otherwise("medium").alias("severity"))
@@ -103,25 +120,38 @@ def conflict_levels(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def context_conflicts(claims: DataFrame) -> DataFrame:
     """Pairs of claims of a document that are comparable, in different clauses, with different values."""
-    rows = usable(claims).select("doc", "idx", "start", comparable_key().alias("key"), value_text().alias("v"))
+    rows = claims.select("doc", "idx", "start", comparable_key().alias("key"), value_text().alias("v")).filter("key is not null")
     a, b = (rows.select("doc", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("idx", "start", "v"))) for s in "ab")
     return a.join(b, ["doc", "key"]).filter("idx_a < idx_b and start_a <> start_b and v_a <> v_b").select("doc", "idx_a", "idx_b", "v_a", "v_b")
 
 
+def bound_facts(facts: DataFrame) -> DataFrame:
+    """Facts of references that count: of a reviewed reference only those of its own product and of no other version, which take its version.
+
+    facts: claims of excerpts with ref_product, ref_version (or null) and reviewed.
+    """
+    versioned = F.col("reviewed") & (F.coalesce("ref_version", F.lit("")) != "")
+    own = ~F.col("reviewed") | ((F.col("product") == F.col("ref_product")) & (~versioned | F.col("version").isNull() | (F.col("version") == F.col("ref_version"))))
+    return facts.filter(F.coalesce(own, F.lit(False))).withColumn("version", F.when(versioned, F.col("ref_version")).otherwise(F.col("version")))
+
+
 def assess(claims: DataFrame, facts: DataFrame, conflicts: DataFrame, market: str) -> DataFrame:
     """Status of each asserted claim: conflict, supported or insufficient.
 
-    facts: claims of references with ref_market, ref_type, reviewed and stated (phrases that a
-    quote must contain). conflicts: doc, idx of claims that contradict the image.
+    facts: claims of references with ref_product, ref_version, ref_market, ref_type, reviewed and
+    stated (phrases that a quote must contain, null ones aside). conflicts: doc, idx of claims that
+    contradict the image.
     """
-    left = claims.filter("stance = 'asserted'")
-    keyed = usable(left).select("doc", "idx", "quote", comparable_key().alias("key"), value_text().alias("v"))
-    right = usable(facts).select(comparable_key().alias("key"), value_text().alias("w"), "ref_market", "ref_type", "reviewed", "stated", F.col("version").alias("ref_version"))
-    fits = F.col("reviewed") & (F.col("ref_type") == "efficacy_study") & (F.col("ref_market") == market) & F.col("ref_version").isNotNull() & ~F.col("ref_version").isin("新版", "旧版") & F.forall("stated", lambda s: F.contains("quote", s))
-    by = keyed.join(right, "key").withColumn("fits", F.coalesce(fits, F.lit(False))).groupBy("doc", "idx").agg(F.count("*").alias("matched"), F.bool_or("fits").alias("ok"), F.bool_or(F.col("fits") & (F.col("v") != F.col("w"))).alias("wrong"))
-    out = left.select("doc", "idx", "product").join(by, ["doc", "idx"], "left").join(conflicts.select("doc", "idx", F.lit(True).alias("clash")).distinct(), ["doc", "idx"], "left")
-    status = F.when(F.coalesce("clash", F.lit(False)) | F.coalesce("wrong", F.lit(False)), "conflict").when(F.coalesce("ok", F.lit(False)), "supported").otherwise("insufficient")
-    return out.select("doc", "idx", status.alias("status"), F.coalesce("matched", F.lit(0)).alias("matched"), ((status == "insufficient") & F.col("product").isNull()).alias("product_missing"))
+    # a claim without a key has one that no fact has, so that such claims are spread over the tasks
+    alone = F.concat_ws("#", F.lit(""), "doc", "idx")
+    left = claims.filter("stance = 'asserted'").select("doc", "idx", "product", "quote", F.coalesce(comparable_key(), alone).alias("key"), value_text().alias("v"))
+    right = bound_facts(facts).select(comparable_key().alias("key"), value_text().alias("w"), "ref_market", "ref_type", "reviewed", "stated", F.col("ref_version").alias("of")).filter("key is not null")
+    fits = F.col("reviewed") & (F.col("ref_type") == "efficacy_study") & (F.col("ref_market") == market) & (F.coalesce("of", F.lit("")) != "") & ~F.col("of").isin("新版", "旧版") & F.forall(F.array_compact("stated"), lambda s: F.contains("quote", s))
+    by = left.join(right, "key", "left").withColumn("fits", F.coalesce(fits, F.lit(False)))
+    by = by.groupBy("doc", "idx", "product").agg(F.count("w").alias("matched"), F.bool_or("fits").alias("ok"), F.bool_or(F.col("fits") & (F.col("v") != F.col("w"))).alias("wrong"))
+    out = by.join(conflicts.select("doc", "idx", F.lit(True).alias("clash")).distinct(), ["doc", "idx"], "left")
+    status = F.when(F.coalesce("clash", F.lit(False)) | F.coalesce("wrong", F.lit(False)), "conflict").when(F.col("ok"), "supported").otherwise("insufficient")
+    return out.select("doc", "idx", status.alias("status"), "matched", ((status == "insufficient") & F.col("product").isNull()).alias("product_missing"))
 
 
 def line_offsets(lines: DataFrame) -> DataFrame:
@@ -159,7 +189,6 @@ def anchored(rows: DataFrame, known: DataFrame, types: tuple[str, ...], default:
 
 def attributed(facts: DataFrame, rows: DataFrame) -> DataFrame:
     """Facts with the product that exactly one product among the document's model rows (doc, row_quote, row_product) names inside the fact's quote."""
-    ship(facts.sparkSession)
     open_ = facts.filter("product is null").select("doc", "idx", "quote")
     named = open_.join(rows.filter("trim(row_product) <> ''"), "doc").filter(F.contains("row_quote", F.col("quote"))).withColumn("p", F.trim("row_product"))
     named = named.filter(scan.names_product(F.col("quote"), F.col("p")))

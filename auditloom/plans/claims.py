@@ -95,7 +95,7 @@ def t10_claims(spark, sf_dir):
     return cl.claim_table(_copy(spark, sf_dir), KEYS).select("asset", "line", "idx", "product", "metric", "value", "unit", "days", "version", "stance", "start", "end")
 
 
-T10_SQL = f"""{C} SELECT asset, line, 0 AS idx, 'P' || part || '精华' AS product, '水分提升' AS metric, value::DOUBLE AS value, '%' AS unit, days::DOUBLE AS days, NULL::VARCHAR AS version,
+T10_SQL = f"""{C} SELECT asset, line, 0::BIGINT AS idx, 'P' || part || '精华' AS product, '水分提升' AS metric, value::DOUBLE AS value, '%' AS unit, days::DOUBLE AS days, NULL::VARCHAR AS version,
   CASE kind WHEN 1 THEN 'negated' WHEN 2 THEN 'question' WHEN 3 THEN 'quoted' ELSE 'asserted' END AS stance, 0 AS start, ({VALUE_END} + CASE kind WHEN 3 THEN 1 WHEN 4 THEN 3 WHEN 5 THEN 3 ELSE 0 END)::INT AS "end" FROM caption"""
 
 
@@ -148,13 +148,13 @@ J3_SQL = f"{C} {J3_BODY}"
 
 def _signals(spark, sf_dir):
     c = tb.captions(spark, sf_dir).groupBy(F.col("asset").alias("doc")).agg(F.sum("value").alias("v"), F.count("image").alias("images"))
-    return c.select("doc", (F.col("v") % 7 == 0).alias("shots"), (F.col("v") % 11 == 0).alias("unedited"), (F.col("v") % 13 == 0).alias("efficacy_photo"), (F.col("v") % 5 == 0).alias("disclosed"), (F.col("images") > 0).alias("has_image"), (F.col("doc") % 17 == 0).alias("verified_ai"), (F.col("doc") % 19 == 0).alias("ai_label"), F.when(F.col("doc") % 3 > 0, F.col("doc") % 100 / 100).alias("ai_score"), (F.col("doc") % 50 / 50).alias("edit_score"))
+    return c.select("doc", (F.col("v") % 7 == 0).alias("shots"), (F.col("v") % 11 == 0).alias("unedited"), (F.col("v") % 13 == 0).alias("efficacy_photo"), (F.col("v") % 5 == 0).alias("disclosed"), (F.col("images") > 0).alias("has_image"), (F.col("doc") % 17 == 0).alias("verified_ai"), (F.col("doc") % 19 == 0).alias("ai_label"), F.when(F.col("doc") % 3 > 0, F.col("doc") % 100 / 100).alias("ai_score"), F.when(F.col("doc") % 23 == 0, "likely").when(F.col("doc") % 23 == 1, "unlikely").alias("origin_status"), (F.col("doc") % 50 / 50).alias("edit_score"))
 
 
-SIGNALS_SQL = """sig AS (SELECT asset AS doc, v % 7 = 0 AS shots, v % 11 = 0 AS unedited, v % 13 = 0 AS photo, v % 5 = 0 AS disclosed, n > 0 AS has_image, asset % 17 = 0 AS verified, asset % 19 = 0 AS label,
+SIGNALS_SQL = """sig AS (SELECT asset AS doc, v % 7 = 0 AS shots, v % 11 = 0 AS unedited, v % 13 = 0 AS photo, v % 5 = 0 AS disclosed, n > 0 AS has_image, asset % 17 = 0 AS verified, asset % 19 = 0 AS label, asset % 23 = 0 AS likely,
   CASE WHEN asset % 3 > 0 THEN asset % 100 / 100 ELSE 0 END AS ai, asset % 50 / 50 AS edit FROM (SELECT asset, sum(value) AS v, count(image_value) AS n FROM caption GROUP BY asset))"""
 J4_BODY = f"""SELECT doc, 'number' AS kind, 'medium' AS severity FROM ({J3_BODY}) WHERE status = 'conflict'
-  UNION ALL SELECT doc, 'real_shot', CASE WHEN verified OR (photo AND disclosed) THEN 'hard' ELSE 'medium' END FROM sig WHERE (photo OR (shots AND NOT disclosed)) AND (verified OR label OR ai >= 0.9 OR (disclosed AND has_image))
+  UNION ALL SELECT doc, 'real_shot', CASE WHEN verified OR (photo AND disclosed) THEN 'hard' ELSE 'medium' END FROM sig WHERE (photo OR (shots AND NOT disclosed)) AND (verified OR label OR likely OR ai >= 0.9 OR (disclosed AND has_image))
   UNION ALL SELECT doc, 'unedited', 'medium' FROM sig WHERE unedited AND edit >= 0.9"""
 
 
@@ -190,15 +190,22 @@ def j6_assess(spark, sf_dir):
     text = F.concat(F.lit("【P"), F.col("part").cast("string"), F.lit("精华】2024版"), F.col("days").cast("string"), F.lit("天水分提升"), F.col("value").cast("string"), F.lit("%"))
     claims = cl.claim_table(c.select((F.col("asset") * 16 + F.col("line")).alias("doc"), text.alias("text")), ["doc"])
     p = F.col("p_partkey")
-    excerpt = F.concat(F.lit("【P"), p.cast("string"), F.lit("精华】"), F.when(p % 3 > 0, "2024版").otherwise("2023版"), (p % 7 + 2).cast("string"), F.lit("天水分提升"), (p % 50 + 1).cast("string"), F.lit("%"))
-    refs = tb.table(spark, sf_dir, "part").select(p.alias("ref"), excerpt.alias("text"), F.when(p % 2 == 0, "CN").otherwise("US").alias("ref_market"), F.when(p % 5 > 0, "efficacy_study").otherwise("brand_claim").alias("ref_type"))
-    facts = cl.claim_table(refs, ["ref", "ref_market", "ref_type"]).withColumn("reviewed", F.lit(True)).withColumn("stated", F.array().cast("array<string>"))
-    return cl.assess(claims, facts, claims.filter("1 = 0"), "CN").drop("idx")
-
-
-J6_SQL = f"""{C}, r AS (SELECT p_partkey AS p FROM part WHERE p_partkey % 3 > 0),
-m AS (SELECT asset * 16 + line AS doc, count(p) AS matched, coalesce(bool_or(p % 2 = 0 AND p % 5 > 0), false) AS ok, coalesce(bool_or(p % 2 = 0 AND p % 5 > 0 AND p % 50 + 1 <> value), false) AS wrong FROM caption LEFT JOIN r ON p = part AND p % 7 + 2 = days GROUP BY ALL)
-SELECT doc, CASE WHEN wrong THEN 'conflict' WHEN ok THEN 'supported' ELSE 'insufficient' END AS status, matched, false AS product_missing FROM m"""
+    # excerpts name no version, or the reference's, or another one
+    edition = F.when(p % 3 == 0, "2023版").when(p % 3 == 1, "2024版").otherwise("")
+    excerpt = F.concat(F.lit("【P"), p.cast("string"), F.lit("精华】"), edition, (p % 7 + 2).cast("string"), F.lit("天水分提升"), (p % 50 + 1).cast("string"), F.lit("%"))
+    refs = tb.table(spark, sf_dir, "part").select(
+        p.alias("ref"), excerpt.alias("text"), F.concat(F.lit("P"), (p + (p % 11 == 0).cast("int")).cast("string"), F.lit("精华")).alias("ref_product"), F.when(p % 13 > 0, "2024版").alias("ref_version"), (p % 4 > 0).alias("reviewed"),
+        F.when(p % 2 == 0, "CN").otherwise("US").alias("ref_market"), F.when(p % 5 > 0, "efficacy_study").otherwise("brand_claim").alias("ref_type"), F.array(F.lit("水分"), F.when(p % 17 == 0, "每日")).alias("stated"))
+    facts = cl.claim_table(refs, [x for x in refs.columns if x != "text"])
+    conflicts = c.filter("value % 29 = 0").select((F.col("asset") * 16 + F.col("line")).alias("doc"), F.lit(0).cast("long").alias("idx"))
+    return cl.assess(claims, facts, conflicts, "CN").drop("idx")
+
+
+J6_SQL = f"""{C}, e AS (SELECT p_partkey AS p, CASE p_partkey % 3 WHEN 0 THEN '2023版' WHEN 1 THEN '2024版' END AS said, p_partkey % 4 > 0 AS reviewed, CASE WHEN p_partkey % 13 > 0 THEN '2024版' END AS ref FROM part),
+r AS (SELECT p, reviewed, ref FROM e WHERE CASE WHEN reviewed THEN p % 11 > 0 AND CASE WHEN ref IS NULL THEN said = '2024版' ELSE coalesce(said, ref) = ref END ELSE said = '2024版' END),
+m AS (SELECT asset * 16 + line AS doc, value % 29 = 0 AS clash, count(p) AS matched, coalesce(bool_or(reviewed AND ref IS NOT NULL AND p % 2 = 0 AND p % 5 > 0 AND p % 17 > 0), false) AS ok,
+  coalesce(bool_or(reviewed AND ref IS NOT NULL AND p % 2 = 0 AND p % 5 > 0 AND p % 17 > 0 AND p % 50 + 1 <> value), false) AS wrong FROM caption LEFT JOIN r ON p = part AND p % 7 + 2 = days GROUP BY ALL)
+SELECT doc, CASE WHEN clash OR wrong THEN 'conflict' WHEN ok THEN 'supported' ELSE 'insufficient' END AS status, matched, false AS product_missing FROM m"""
 
 
 def _lines(spark, sf_dir):
