@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lx
 from ..functions import text as tx
 from ..functions.ranking import ranked
+from ..functions.shipping import ship
 
 
 def base_rates(comments: DataFrame, details: list[str] | None = None, positive: list[str] | None = None, negative: list[str] | None = None) -> DataFrame:
@@ -32,10 +33,12 @@ def near_pairs(comments: DataFrame, limit: int = lx.PAIR_LIMIT, near: float = lx
 
     A thread gives at most about limit + 1 comments to its pairs, so the pairs stay bounded.
     """
-    rows = ranked(comments.select("thread", "idx", "text"), "thread", "idx")
+    ship(comments.sparkSession)
     sizes = comments.groupBy("thread").agg(F.count("*").alias("n"))
     step = F.when(F.col("n") <= limit, 1).otherwise(F.floor(F.col("n") / limit) + 1)
-    some = rows.join(sizes, "thread").filter(F.col("nth") % step == 0).select("thread", "nth", tx.gram_set(tx.normalized(F.col("text"))).alias("grams"))
+    # the sample is taken by thread and number; only its texts are read and moved
+    chosen = ranked(comments.select("thread", "idx"), "thread", "idx").join(sizes, "thread").filter(F.col("nth") % step == 0).select("thread", "idx", "nth")
+    some = comments.select("thread", "idx", "text").join(chosen, ["thread", "idx"]).select("thread", "nth", tx.gram_hashes(tx.normalized(F.col("text"))).alias("grams"))
     a, b = some.select("thread", F.col("nth").alias("i"), F.col("grams").alias("a")), some.select("thread", F.col("nth").alias("j"), F.col("grams").alias("b"))
     close = (F.least(F.size("a"), F.size("b")) >= near * F.greatest(F.size("a"), F.size("b"))) & (tx.jaccard(F.col("a"), F.col("b")) >= near)
     hits = a.join(b, "thread").filter("i < j").groupBy("thread").agg(F.count("*").alias("pairs"), F.count_if(close).alias("near_pairs"))
@@ -45,23 +48,45 @@ def near_pairs(comments: DataFrame, limit: int = lx.PAIR_LIMIT, near: float = lx
 
 def template_share(comments: DataFrame) -> DataFrame:
     """A3: thread, template_concentration: share of comments with the most common gram."""
-    grams = comments.select("thread", F.explode(tx.gram_set(tx.normalized(F.col("text")))).alias("gram"))
-    top = grams.groupBy("thread", "gram").agg(F.count("*").alias("c")).groupBy("thread").agg(F.max("c").alias("top"))
+    ship(comments.sparkSession)
+    top = tx.gram_counts(comments, "thread", tx.normalized(F.col("text"))).groupBy("thread").agg(F.max("c").alias("top"))
     sizes = comments.groupBy("thread").agg(F.count("*").alias("n"))
     return top.join(sizes, "thread").select("thread", (F.col("top") / F.col("n")).alias("template_concentration"))
 
 
+#: Seconds in which the stamps of a key are sorted together.
+DAY = 86400
+
+
 def burstiness(events: DataFrame, key: str = "thread", name: str = "burstiness") -> DataFrame:
     """A4: key, 1 - coefficient of variation of the gaps between sorted ts (seconds), within 0 and 1; null below three stamps or without any gap.
 
-    The variance of gaps needs only their count, sum and sum of squares, but each gap needs the
-    stamp before it, so a window over the key sorts its stamps.
+    Equal stamps fold to one with a count. Distinct ones are sorted by key and day, at most DAY at once;
+    the first of a day takes its gap from the last of the day before it, among rows of one a day.
     """
-    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy(key).orderBy("ts"))
-    gaps = events.filter("ts is not null").select(key, gap.alias("gap"))
-    mean, cv = F.avg("gap"), F.stddev_pop("gap") / F.avg("gap")
-    value = F.when((F.count("*") >= 3) & (mean > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - cv)))
-    return gaps.groupBy(key).agg(value.alias(name))
+    stamps = events.filter("ts is not null").groupBy(key, "ts").agg(F.count("*").alias("k")).withColumn("_day", F.floor(F.col("ts") / DAY))
+    inside = stamps.select(key, "k", "ts", (F.col("ts") - F.lag("ts").over(Window.partitionBy(key, "_day").orderBy("ts"))).alias("gap"))
+    days = stamps.groupBy(key, "_day").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    between = days.select(key, F.lit(0).cast("long").alias("k"), (F.col("first") - F.lag("last").over(Window.partitionBy(key).orderBy("_day"))).alias("gap"))
+    sums = inside.drop("ts").unionByName(between).groupBy(key).agg(F.sum("k").alias("n"), F.sum("gap").alias("s"), F.sum(F.col("gap").cast("double") * F.col("gap")).alias("q"))
+    gaps, total = F.col("n") - 1, F.coalesce("s", F.lit(0))
+    mean = total / gaps
+    cv = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / gaps - mean * mean)) / mean
+    value = F.when((F.col("n") >= 3) & (total > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - cv)))
+    return sums.select(key, value.alias(name))
+
+
+#: Rows of a key that meet all others in one task at most, about.
+PAIR_BLOCK = 512
+
+
+def all_pairs(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, a, b: values of every pair of rows (key, idx, value) of a key once, in cells of blocks so that no task gets all pairs of a large key."""
+    blocks = rows.groupBy(key).agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("_blocks"))
+    own = rows.select(key, "idx", value).join(blocks, key).withColumn("_own", F.pmod(F.xxhash64("idx"), F.col("_blocks")).cast("int"))
+    a = own.select(key, F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_j"), F.col("idx").alias("i"), F.col(value).alias("a"))
+    b = own.select(key, F.explode(F.sequence(F.lit(0), "_own")).alias("_i"), F.col("_own").alias("_j"), F.col("idx").alias("j"), F.col(value).alias("b"))
+    return a.join(b, [key, "_i", "_j"]).filter("_i < _j or i < j").select(key, "a", "b")
 
 
 def cross_posts(comments: DataFrame, least: int = lx.CROSS_POSTS) -> DataFrame:
@@ -104,14 +129,14 @@ def account_profiles(posts: DataFrame, max_posts: int | None = None, positive: l
     The mean similarity is over all pairs of an account's posts; max_posts bounds it by a
     deterministic sample for accounts beyond it, and is off by default.
     """
+    ship(posts.sparkSession)
     rows = posts.filter(F.length("text") > 0).select("account", "idx", tx.normalized(F.col("text")).alias("norm"), tx.word_hits(tx.normalized(F.col("text")), positive or lx.POSITIVE).alias("glad"))
     paired = rows
     if max_posts:
         order = F.row_number().over(Window.partitionBy("account").orderBy(F.xxhash64("account", "idx"), "idx"))
         paired = rows.withColumn("o", order).filter(F.col("o") <= max_posts)
-    grams = paired.select("account", "idx", tx.gram_set(F.col("norm")).alias("g"))
-    a, b = grams.select("account", F.col("idx").alias("i"), F.col("g").alias("a")), grams.select("account", F.col("idx").alias("j"), F.col("g").alias("b"))
-    reuse = a.join(b, "account").filter("i < j").groupBy("account").agg(F.avg(tx.jaccard(F.col("a"), F.col("b"))).alias("text_reuse_rate"))
+    grams = paired.select("account", "idx", tx.gram_hashes(F.col("norm")).alias("g"))
+    reuse = all_pairs(grams, "account", "g").groupBy("account").agg(F.avg(tx.jaccard(F.col("a"), F.col("b"))).alias("text_reuse_rate"))
     n, mean = F.count("*"), F.avg(F.length("norm"))
     sizes = rows.groupBy("account").agg(n.alias("post_count"), mean.alias("mean_length"), F.when(n > 1, F.stddev_pop(F.length("norm")) / mean).alias("length_cv"), F.avg("glad").alias("mean_positive_hits"))
     out = sizes.join(reuse, "account", "left").join(burstiness(posts.select("account", "ts"), "account", "publish_regularity"), "account", "left")
@@ -122,17 +147,17 @@ def account_profiles(posts: DataFrame, max_posts: int | None = None, positive: l
 
 
 def matrix_grams(text: Column) -> Column:
-    """4-grams of the word characters; none for a text without any."""
+    """Hashes of 4-grams of the word characters; none for a text without any."""
     norm = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]", "")
-    return F.when(F.length(norm) == 0, F.array().cast("array<string>")).otherwise(tx.gram_set(norm))
+    return F.when(F.length(norm) == 0, F.array().cast("array<bigint>")).otherwise(tx.gram_hashes(norm))
 
 
 def content_matrix(records: DataFrame) -> DataFrame:
     """A row for each batch of records (batch, idx, text, handle): distinct handles, mean similarity, flags, verdict."""
+    ship(records.sparkSession)
     grams = records.select("batch", "idx", matrix_grams(F.col("text")).alias("g"))
-    a, b = grams.select("batch", F.col("idx").alias("i"), F.col("g").alias("a")), grams.select("batch", F.col("idx").alias("j"), F.col("g").alias("b"))
     same = F.when((F.size("a") > 0) & (F.size("b") > 0), tx.jaccard(F.col("a"), F.col("b"))).otherwise(0.0)
-    reuse = a.join(b, "batch").filter("i < j").groupBy("batch").agg(F.avg(same).alias("reuse"))
+    reuse = all_pairs(grams, "batch", "g").groupBy("batch").agg(F.avg(same).alias("reuse"))
     sizes = records.groupBy("batch").agg(F.count("*").alias("content_count"), F.countDistinct("handle").alias("handles"))
     out = sizes.join(reuse, "batch", "left")
     flags = (F.col("handles") > 1).cast("int") + (F.coalesce("reuse", F.lit(0.0)) >= 0.5).cast("int") + (F.col("handles") == 0).cast("int")

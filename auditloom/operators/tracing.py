@@ -60,7 +60,12 @@ def credential_status(stdout: Column, stderr: Column, code: Column) -> tuple[Col
 
 
 def report_checks(reports: DataFrame) -> DataFrame:
-    """Asset, check, passed. reports: asset, text, level, ela, ai_score, limits_note."""
+    """Asset, check, passed for the six checks of each report.
+
+    reports: asset, text, level, ela, ai_score, tools (array of tool, title or null, cannot_prove or
+    null: what evidence there is). Every tool must be cited by title or by its name in capitals, and
+    the start of what each can't prove must be in the text; a report without evidence cites none.
+    """
     text = F.col("text")
     whole, words = F.lit(True), F.lit(True)
     for s in SECTIONS:
@@ -68,8 +73,10 @@ def report_checks(reports: DataFrame) -> DataFrame:
     for p in FORBIDDEN:
         words = words & ~F.contains(text, F.lit(p))
     backed = F.when(F.col("level") == "suspicious", F.coalesce("ela", F.lit(0.0)) >= lx.LIMITS["ela"]).when(F.col("level") == "high_risk", F.coalesce(F.col("ai_score") >= lx.LIMITS["aigc_high"], F.lit(False))).otherwise(True)
-    cells = {"sections": whole, "level": F.coalesce(F.col("level").isin(*lx.LEVELS), F.lit(False)), "backed": backed, "limits": F.contains(text, F.substring("limits_note", 1, 20)), "wording": words}
-    return reports.select("asset", F.explode(F.array(*(F.struct(F.lit(k).alias("check"), c.alias("passed")) for k, c in cells.items()))).alias("c")).select("asset", "c.*")
+    cited = F.forall("tools", lambda t: ((F.coalesce(t["title"], F.lit("")) != "") & F.contains(text, F.coalesce(t["title"], F.lit("")))) | F.contains(text, F.upper(t["tool"])))
+    bounds = F.forall("tools", lambda t: F.contains(text, F.substring(F.coalesce(t["cannot_prove"], F.lit("")), 1, 20)))
+    cells = {"sections": whole, "level": F.coalesce(F.col("level").isin(*lx.LEVELS), F.lit(False)), "tools": cited & (F.size("tools") > 0), "backed": backed, "limits": bounds, "wording": words}
+    return reports.select("asset", F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.coalesce(c, F.lit(False)).alias("passed")) for k, c in cells.items()))).alias("c")).select("asset", "c.*")
 
 
 def claim_lines(lines: DataFrame, least: float = 0.7) -> DataFrame:

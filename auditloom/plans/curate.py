@@ -255,14 +255,17 @@ SELECT doc_id, contains(a, 'cc0') OR contains(a, 'public domain') OR (contains(a
 
 def t23_reports(spark, sf_dir):
     k = F.col("o_orderkey")
-    text = F.concat_ws("\n", *(F.when(k % 6 != i, F.lit(s)) for i, s in enumerate(tr.SECTIONS)), F.when(k % 9 == 0, tr.FORBIDDEN[1]), F.when(k % 5 > 0, "cannot prove who made the picture"))
+    # the picture check is cited by its title or by its name, the text check by its title or not at all; one order in 31 has no evidence
+    text = F.concat_ws("\n", *(F.when(k % 6 != i, F.lit(s)) for i, s in enumerate(tr.SECTIONS)), F.when(k % 9 == 0, tr.FORBIDDEN[1]), F.when(k % 5 > 0, "cannot prove who made the picture"), F.when(k % 7 > 1, "picture check").when(k % 7 == 1, "ELA"), F.when(k % 8 > 0, "text check"))
     level = F.element_at(F.array(*map(F.lit, ("high_risk", "suspicious", "credible", "other"))), (k % 4 + 1).cast("int"))
-    r = tb.table(spark, sf_dir, "orders").select(k.alias("asset"), text.alias("text"), level.alias("level"), (k % 40 / 10).alias("ela"), F.when(k % 3 > 0, k % 100 / 100).alias("ai_score"), F.lit("cannot prove who made the picture").alias("limits_note"))
+    tools = [F.struct(F.lit(t).alias("tool"), F.lit(n).alias("title"), F.lit(c).cast("string").alias("cannot_prove")) for t, n, c in (("ela", "picture check", "cannot prove who made the picture"), ("text", "text check", None))]
+    tools = F.when(k % 31 == 0, F.slice(F.array(*tools), 1, 0)).when(k % 2 == 0, F.array(*tools)).otherwise(F.array(tools[0]))
+    r = tb.table(spark, sf_dir, "orders").select(k.alias("asset"), text.alias("text"), level.alias("level"), (k % 40 / 10).alias("ela"), F.when(k % 3 > 0, k % 100 / 100).alias("ai_score"), tools.alias("tools"))
     return tr.report_checks(r).groupBy("check").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
 
 
-T23_SQL = """SELECT unnest(['sections', 'level', 'backed', 'limits', 'wording']) AS "check", count(*) AS n, unnest([count(*) FILTER (o_orderkey % 6 > 3), count(*) FILTER (o_orderkey % 4 < 3), count(*) FILTER (CASE o_orderkey % 4 WHEN 1 THEN o_orderkey % 40 / 10 >= 2 WHEN 0 THEN o_orderkey % 3 > 0 AND o_orderkey % 100 / 100 >= 0.9 ELSE true END),
-  count(*) FILTER (o_orderkey % 5 > 0), count(*) FILTER (o_orderkey % 9 > 0)]) AS passed FROM orders"""
+T23_SQL = """SELECT unnest(['sections', 'level', 'tools', 'backed', 'limits', 'wording']) AS "check", count(*) AS n, unnest([count(*) FILTER (k % 6 > 3), count(*) FILTER (k % 4 < 3), count(*) FILTER (k % 31 > 0 AND k % 7 > 0 AND (k % 2 = 1 OR k % 8 > 0)),
+  count(*) FILTER (CASE k % 4 WHEN 1 THEN k % 40 / 10 >= 2 WHEN 0 THEN k % 3 > 0 AND k % 100 / 100 >= 0.9 ELSE true END), count(*) FILTER (k % 31 = 0 OR k % 5 > 0), count(*) FILTER (k % 9 > 0)]) AS passed FROM (SELECT o_orderkey AS k FROM orders)"""
 
 
 def t24_gates(spark, sf_dir):
