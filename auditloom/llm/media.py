@@ -40,7 +40,7 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 with a depth of up to 255, as rows x columns x channels; white space and # comments as the format has them."""
+    """P1 to P6 as rows x columns x channels, scaled to 0 to 255; white space and # comments as the format has them. A depth above 255 is refused."""
     kind, at, head = data[1:2], 2, []
     for _ in range(2 if kind in b"14" else 3):
         m = re.compile(rb"(?:\s|#[^\n]*\n)+(\d+)").match(data, at)
@@ -49,6 +49,11 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         head.append(int(m[1]))
         at = m.end()
     width, height = head[:2]
+    depth = head[2] if len(head) > 2 else 255
+    if not 0 < depth < 256:
+        raise ValueError("only Netpbm of up to 255 levels")
+    if kind in b"123":  # plain numbers, among which comments may stand
+        data = data[:at] + re.sub(rb"#[^\n]*", b"", data[at:])
     channels = 3 if kind in b"36" else 1
     count = width * height * channels
     if kind == b"4":
@@ -60,6 +65,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         flat = np.array([0 if x == b"1" else 255 for x in re.findall(rb"[01]", data[at:])[:count]], np.uint8)
     else:
         flat = np.array(data[at:].split()[:count], np.int64).astype(np.uint8)
+    if depth < 255 and kind in b"2356":
+        flat = (flat.astype(np.int64) * 255 // depth).clip(0, 255).astype(np.uint8)
     return flat.reshape(height, width, channels)
 
 

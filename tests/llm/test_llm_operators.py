@@ -411,6 +411,9 @@ def test_image_formats():
     a = r.integers(256, size=(5, 7, 3), dtype=np.uint8)
     assert (media.decode(media.encode_ppm(a)) == a).all() and (media.decode(media.encode_bmp(a)) == a).all()
     assert media.decode(b"P2 # c\n2 1\n255\n 7 9").tolist() == [[[7], [9]]] and media.decode(b"P1\n2 1\n10").tolist() == [[[0], [255]]]
+    assert media.decode(b"P1\n2 2\n10 # 1 1\n01").tolist() == [[[0], [255]], [[255], [0]]] and media.decode(b"P5 2 1 15\n\x00\x0f").tolist() == [[[0], [255]]]
+    with pytest.raises(ValueError):
+        media.decode(b"P5 1 1 65535\n\x00\x00")
     assert media.area_resize(np.arange(12.0).reshape(3, 4), 1, 2).tolist() == [[4.5, 6.5]]
 
 
