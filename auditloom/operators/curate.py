@@ -96,7 +96,7 @@ def frozen_manifest(paths: DataFrame, registry: DataFrame) -> DataFrame:
     """Path to file, bucket, source group by its directory; registry: dir, bucket, truth."""
     rows = paths.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.element_at(F.split("path", "/"), -2).alias("dir"))
     group = F.concat_ws(":", "dir", F.when(F.contains("file", F.lit("_v")), F.substring_index("file", "_v", 1)).otherwise(F.substring_index("file", ".", 1)))
-    return rows.join(F.broadcast(registry), "dir", "left").select("file", "bucket", "truth", group.alias("source_group"))
+    return rows.join(registry, "dir", "left").select("file", "bucket", "truth", group.alias("source_group"))
 
 
 def stratified_split(items: DataFrame, stratum: str, key: str, ratio: float, seed: int) -> DataFrame:
@@ -155,7 +155,7 @@ def packages(manifest: DataFrame, truths: DataFrame, copies: DataFrame, files: D
     """Manifest rows (stem, kind) with truth (default unknown), the first copy by pos, and whether the file is there."""
     first = copies.groupBy("stem").agg(F.min_by("text", F.struct("pos", "text")).alias("copy"))
     there = files.select("stem", F.lit(True).alias("there")).distinct()
-    return manifest.join(F.broadcast(truths), "kind", "left").join(first, "stem", "left").join(there, "stem", "left").select("stem", F.coalesce("truth", F.lit("unknown")).alias("truth"), "copy", F.coalesce("there", F.lit(False)).alias("there"))
+    return manifest.join(truths, "kind", "left").join(first, "stem", "left").join(there, "stem", "left").select("stem", F.coalesce("truth", F.lit("unknown")).alias("truth"), "copy", F.coalesce("there", F.lit(False)).alias("there"))
 
 
 def compared_runs(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def image_signals(evidence: DataFrame, profiles: DataFrame, decision_model: str
 
     evidence: asset, model, available, review_only, raw_score; profiles: model, low, high, approved.
     """
-    rows = evidence.join(F.broadcast(profiles.filter("approved").select("model", "low", "high")), "model", "left")
+    rows = evidence.join(profiles.filter("approved").select("model", "low", "high"), "model", "left")
     score = F.when(F.coalesce("available", F.lit(True)), F.col("raw_score"))
     status = F.when(score.isNull(), "unavailable").when(F.col("low").isNull(), "uncalibrated").when(score >= F.col("high"), "likely").when(score >= F.col("low"), "uncertain").otherwise("no_signal")
     return rows.select("asset", score.alias("score"), F.when((F.col("model") == decision_model) & ~F.col("review_only") & F.col("low").isNull(), score).alias("decision_score"), status.alias("status"))
