@@ -1,4 +1,4 @@
-"""Ranks within a group without one task for a group."""
+"""Ranks and running sums within a group without one task for a group."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Values of the order column in a block.
 BLOCK = 8192
+#: Cells of a running sum: so many to a unit of the order column, and to each of these.
+CELLS = 4096
 
 
 def ranked(df: DataFrame, group: str, order: str, name: str = "nth", block: int = BLOCK) -> DataFrame:
@@ -20,3 +22,26 @@ def ranked(df: DataFrame, group: str, order: str, name: str = "nth", block: int
     base = counts.select(group, "_blk", F.coalesce(before, F.lit(0)).alias("_base"))
     own = F.row_number().over(Window.partitionBy(group, "_blk").orderBy(order)) - 1
     return rows.withColumn("_own", own).join(base, [group, "_blk"]).withColumn(name, (F.col("_base") + F.col("_own")).cast("long")).drop("_blk", "_own", "_base")
+
+
+def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], cells: int = CELLS) -> DataFrame:
+    """df with name: the sum of a column over the rows of the keys up to this one by order, for each name: column of sums.
+
+    order is a double without nulls, one row a value and keys. A window runs within small cells of
+    the order column; sums over small cells of a large one, and over large cells, give what comes
+    before. A task so holds the rows of a small cell, or the occupied cells of the level above.
+    """
+    rows = df.withColumn("_wide", F.floor(F.col(order) * cells)).withColumn("_fine", F.floor(F.col(order) * cells * cells))
+
+    def before(table: DataFrame, within: list[str], by: str, prefix: str) -> DataFrame:
+        w = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return table.withColumns({f"_{prefix}_{n}": F.coalesce(F.sum(f"_{n}").over(w), F.lit(0)) for n in sums})
+
+    fine = rows.groupBy(*keys, "_wide", "_fine").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    wide = fine.groupBy(*keys, "_wide").agg(*(F.sum(f"_{n}").alias(f"_{n}") for n in sums))
+    wide = before(wide, keys, "_wide", "w").drop(*(f"_{n}" for n in sums))
+    fine = before(fine, [*keys, "_wide"], "_fine", "f").drop(*(f"_{n}" for n in sums))
+    base = fine.join(wide, [*keys, "_wide"])
+    own = Window.partitionBy(*keys, "_wide", "_fine").orderBy(order)
+    out = rows.withColumns({f"_o_{n}": F.sum(c).over(own) for n, c in sums.items()}).join(base, [*keys, "_wide", "_fine"])
+    return out.select(*df.columns, *((F.col(f"_o_{n}") + F.col(f"_f_{n}") + F.col(f"_w_{n}")).alias(n) for n in sums))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,15 +47,21 @@ def orphans(manifest: DataFrame) -> DataFrame:
 def near_fingerprints(prints: DataFrame, most: int = 4, bits: int = 64) -> DataFrame:
     """Pairs of fingerprints of different splits within most bits: a, b, distance.
 
-    Fingerprints within most bits agree in one of most + 1 bands, so the join on bands is exact.
-    Rows fold to distinct (fingerprint, split) first: flat images with one fingerprint are one row.
+    Of 2 * most blocks of the bits at least most agree, so a join on each choice of most blocks (half
+    of the bits) is exact; a pair counts under the first choice that it agrees on only. Rows fold to
+    one a fingerprint, with its least and greatest split, first: flat images with one are one row.
     """
-    width = -(-bits // (most + 1))
-    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for i in range(most + 1)))
-    rows = prints.select("fp", "split").distinct().withColumn("band", F.explode(bands))
-    a, b = rows.select("band", F.col("fp").alias("a"), F.col("split").alias("sa")), rows.select("band", F.col("fp").alias("b"), F.col("split").alias("sb"))
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return a.join(b, "band").filter((F.col("a") <= F.col("b")) & (F.col("sa") != F.col("sb")) & (distance <= most)).select("a", "b", distance.alias("distance")).distinct()
+    edges = [round(i * bits / (2 * most)) for i in range(2 * most + 1)]
+    blocks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
+    masks = [sum(c) for c in combinations(blocks, most)]
+    masks = F.array(*(F.lit(m - (1 << 64) if m >= 1 << 63 else m) for m in masks))
+    rows = prints.groupBy("fp").agg(F.min("split").alias("s"), F.max("split").alias("t"))
+    rows = rows.select("fp", "s", "t", F.posexplode(masks).alias("i", "mask")).select("i", F.col("fp").bitwiseAND(F.col("mask")).alias("v"), "fp", "s", "t")
+    a, b = (rows.select("i", "v", F.col("fp").alias(x), F.col("s").alias(f"s{x}"), F.col("t").alias(f"t{x}")) for x in "ab")
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    other_split = (F.col("sa") != F.col("tb")) | (F.col("ta") != F.col("sb"))
+    first = F.array_position(F.transform(masks, lambda m: m.bitwiseAND(apart) == 0), True) == F.col("i") + 1
+    return a.join(b, ["i", "v"]).filter((F.col("a") <= F.col("b")) & other_split & (F.bit_count(apart) <= most) & first).select("a", "b", F.bit_count(apart).alias("distance"))
 
 
 def matched_predictions(manifest: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -116,10 +124,17 @@ def stratified_split(items: DataFrame, stratum: str, key: str, ratio: float, see
 
 
 def provenance_split(items: DataFrame, provenance: DataFrame, keep: int) -> DataFrame:
-    """P5: items (grp, name) of groups with provenance: the first keep by name are held out, the rest train; counts by group and part."""
+    """P5: items (grp, name) of groups with provenance: the first keep (at least 1) by name are held out, the rest train; counts by group and part.
+
+    Only the first keep + 1 names of a group are ranked, and Spark limits them before the shuffle.
+    """
     ok = items.join(provenance.select("grp").distinct(), "grp", "left_semi")
-    ranked = ok.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("name")))
-    return ranked.groupBy("grp", F.when(F.col("r") <= keep, "held_out").otherwise("train").alias("part")).agg(F.count("*").alias("n"), F.min("name").alias("first"))
+    few = ok.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("name"))).filter(F.col("r") <= keep + 1)
+    firsts = few.groupBy("grp").agg(F.min("name").alias("held"), F.max(F.when(F.col("r") == keep + 1, F.col("name"))).alias("train"))
+    n = ok.groupBy("grp").agg(F.count("*").alias("n"))
+    held = F.struct(F.lit("held_out").alias("part"), F.least("n", F.lit(keep)).alias("n"), F.col("held").alias("first"))
+    train = F.struct(F.lit("train").alias("part"), (F.col("n") - keep).alias("n"), F.col("train").alias("first"))
+    return n.join(firsts, "grp").select("grp", F.explode(F.array(held, train)).alias("x")).select("grp", "x.*").filter("n > 0")
 
 
 def pseudo_labels(scores: DataFrame, accept: float = 0.25, reject: float = 0.5) -> DataFrame:
@@ -131,9 +146,11 @@ def pseudo_labels(scores: DataFrame, accept: float = 0.25, reject: float = 0.5)
 def weights(rows: DataFrame) -> DataFrame:
     """Class weight n / (2 n_c) and group weight 1 / group size, by kind and grp with counts."""
     by = rows.groupBy("kind", "grp").agg(F.count("*").alias("k"))
-    n_c, n = F.sum("k").over(Window.partitionBy("kind")), F.sum("k").over(Window.partitionBy())  # a row a group
-    g = F.sum("k").over(Window.partitionBy("grp"))
-    return by.select("kind", "grp", "k", (n / (2 * n_c)).alias("class_weight"), (1 / g).alias("group_weight"))
+    classes = by.groupBy(F.col("kind").alias("of")).agg(F.sum("k").alias("n_c"))
+    total = by.agg(F.sum("k").alias("n"))  # one row
+    g = F.sum("k").over(Window.partitionBy("grp"))  # a row a kind
+    out = by.withColumn("g", g).join(classes, F.col("kind").eqNullSafe(F.col("of"))).join(F.broadcast(total))
+    return out.select("kind", "grp", "k", (F.col("n") / (2 * F.col("n_c"))).alias("class_weight"), (1 / F.col("g")).alias("group_weight"))
 
 
 def label_gate(manifest: DataFrame) -> DataFrame:

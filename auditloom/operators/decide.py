@@ -152,16 +152,23 @@ def recommendations(profiles: DataFrame, catalog: DataFrame, market: str, keep:
     """The keep best items for each profile, by score then name.
 
     profiles: profile, type, goals, textures, avoid (array), sensitivity. catalog: name, market,
-    category, skin, goals, textures, gentle, ingredients (null: unknown). Profiles meet items by skin
-    type, so the join has a key; an unknown list of ingredients excludes an item if something is avoided.
+    category, skin, goals, textures, gentle, ingredients (null: unknown). An unknown list of
+    ingredients excludes an item if something is avoided. Neither side meets row by row: profiles with
+    the same answers are one signature, and of items alike in all but name the first keep by name
+    stay. Signatures meet by skin type; Spark limits a signature's ranking before it shuffles.
     """
-    items = catalog.filter(F.col("market") == market).select("name", "gentle", "ingredients", F.col("goals").alias("has_goals"), F.col("textures").alias("has_textures"), F.explode("skin").alias("type"))
-    both = profiles.filter("type <> 'unclear'").join(items, "type")
+    items = catalog.filter(F.col("market") == market).select("name", F.explode("skin").alias("type"), F.coalesce("gentle", F.lit(False)).alias("gentle"), *(F.sort_array(c).alias(a) for c, a in (("ingredients", "ingredients"), ("goals", "has_goals"), ("textures", "has_textures"))))
+    alike = Window.partitionBy(*(c for c in items.columns if c != "name")).orderBy("name")
+    items = items.withColumn("nth", F.row_number().over(alike)).filter(F.col("nth") <= keep)
+    calm = F.col("sensitivity").isNull() | (F.col("sensitivity") < 2)
+    people = profiles.filter("type <> 'unclear'").select("profile", F.struct("type", calm.alias("calm"), *(F.sort_array(c).alias(c) for c in ("goals", "textures", "avoid"))).alias("sig"))
+    both = people.select("sig").distinct().select("sig", "sig.*").join(items, "type")
     safe = (F.size("avoid") == 0) | F.coalesce(~F.exists("ingredients", lambda g: F.exists("avoid", lambda t: F.contains(F.lower(g), t))), F.lit(False))
-    ok = both.filter((F.col("sensitivity").isNull() | (F.col("sensitivity") < 2) | F.coalesce("gentle", F.lit(False))) & safe)
+    ok = both.filter((F.col("calm") | F.col("gentle")) & safe)
     score = F.size(F.array_intersect("goals", "has_goals")) + F.size(F.array_intersect("textures", "has_textures"))
-    w = Window.partitionBy("profile").orderBy(F.desc("score"), "name")
-    return ok.withColumn("score", score).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= keep).select("profile", "place", "name", "score")
+    w = Window.partitionBy("sig").orderBy(F.desc("score"), "name")
+    best = ok.withColumn("score", score).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= keep).select(F.col("sig").alias("of"), "place", "name", "score")
+    return people.join(best, F.col("sig").eqNullSafe(F.col("of"))).select("profile", "place", "name", "score")
 
 
 def severity(level: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
+from ..functions.ranking import running
+from ..sources.io import written
 
 Z = 1.959964
 
@@ -57,26 +59,29 @@ def calibrated(scores: DataFrame, max_fp: float = 0.05, min_recall: float = 0.80
     """One row (low, high, fp_rate, recall) of thresholds chosen from the distinct scores, 0 and 1; no row if no high meets its limits.
 
     Rates change only where a group's largest real or least generated score lies. So these are
-    counted by score, and cumulative counts over distinct scores give every candidate's rates.
-    The windows run over distinct scores, not over rows.
+    counted by score, and running counts over distinct scores, in cells, give every candidate's rates.
+    Distinct scores and the row of the chosen high are written, since several steps read them.
     """
     by = scores.groupBy("grp", "kind").agg(F.max("score").alias("top"), F.min("score").alias("least"))
-    both = scores.groupBy("grp").agg(F.array_sort(F.collect_set("score")).alias("all_scores"))
     cand = scores.select(F.col("score").alias("t")).unionByName(scores.sparkSession.createDataFrame([(0.0,), (1.0,)], "t double")).filter("t is not null").distinct()
     real = by.filter("kind = 'real'").groupBy(F.col("top").alias("t")).agg(F.count("*").alias("r"))
     fake = by.filter("kind = 'generated'").groupBy(F.col("least").alias("t")).agg(F.count("*").alias("g"))
-    line = cand.join(real, "t", "left").join(fake, "t", "left").na.fill(0, ["r", "g"])
-    up, every = Window.orderBy(F.desc("t")), Window.partitionBy()
-    line = line.select("t", (F.sum("r").over(up) / F.sum("r").over(every)).alias("fp_rate"), (F.sum("g").over(up) / F.sum("g").over(every)).alias("recall"))
+    line = written(cand.join(real, "t", "left").join(fake, "t", "left").na.fill(0, ["r", "g"]).withColumn("down", -F.col("t")), "scores")
+    cand = line.select("t")
+    every = line.agg(F.sum("r").alias("all_r"), F.sum("g").alias("all_g"))  # one row
+    line = running(line, [], "down", {"sum_r": "r", "sum_g": "g"}).join(F.broadcast(every))
+    line = line.select("t", (F.col("sum_r") / F.nullif("all_r", F.lit(0))).alias("fp_rate"), (F.col("sum_g") / F.nullif("all_g", F.lit(0))).alias("recall"))
     ok = line.filter((F.col("fp_rate") <= max_fp) & (F.col("recall") >= min_recall))
     best = ok.agg(F.max(F.struct("recall", (-F.col("fp_rate")).alias("less"), "t", "fp_rate")).alias("b")).filter("b is not null").select(F.col("b.t").alias("high"), "b.fp_rate", "b.recall")
+    best = written(best, "threshold")
     # a group is uncertain at low if its largest score below high is at least low: one value a group
-    below = both.join(F.broadcast(best.select("high"))).select("grp", "high", F.array_max(F.filter("all_scores", lambda x: x < F.col("high"))).alias("near"))
+    below = scores.join(F.broadcast(best.select("high"))).groupBy("grp").agg(F.max(F.when(F.col("score") < F.col("high"), F.col("score"))).alias("near"))
     n = below.groupBy("near").agg(F.count("*").alias("k"))
     lows = cand.join(F.broadcast(best.select("high"))).filter("t <= high").select("t")
-    marks = lows.unionByName(n.filter("near is not null").select(F.col("near").alias("t"))).distinct().join(n.withColumnRenamed("near", "t"), "t", "left").na.fill(0, ["k"])
+    n = n.filter("near is not null").select(F.col("near").alias("t"), "k")
+    marks = written(lows.select("t", F.lit(0).cast("long").alias("k")).unionByName(n).groupBy("t").agg(F.sum("k").alias("k"), (-F.col("t")).alias("down")), "marks")
     total = below.agg(F.count("*").alias("groups"))
-    unsure = marks.select("t", F.sum("k").over(up).alias("u")).join(F.broadcast(total)).filter(F.col("u") <= max_uncertain * F.col("groups"))
+    unsure = running(marks, [], "down", {"u": "k"}).join(F.broadcast(total)).filter(F.col("u") <= max_uncertain * F.col("groups"))
     low = unsure.join(lows, "t", "left_semi").agg(F.min("t").alias("low"))
     return best.join(F.broadcast(low)).select("low", "high", "fp_rate", "recall")
 
@@ -109,13 +114,12 @@ def sweep_verdict(points: DataFrame) -> DataFrame:
 def auc(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Area under the curve by average ranks, for columns positive (boolean) and score; by keys if given.
 
-    Rows are counted by distinct score first; the window sees distinct scores only.
+    Rows are counted by distinct score first; ranks come from running counts over these, in cells.
     """
     keys = keys or []
-    at = scores.filter("score is not null").groupBy(*keys, "score").agg(F.count_if("positive").alias("p"), F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy("score") if keys else Window.orderBy("score")
-    rank = F.sum("c").over(w) - (F.col("c") - 1) / 2.0
-    rows = at.withColumn("sum", F.col("p") * rank)
+    at = scores.filter("score is not null").groupBy(*keys, F.col("score").cast("double").alias("score")).agg(F.count_if("positive").alias("p"), F.count("*").alias("c"))
+    rank = F.col("upto") - (F.col("c") - 1) / 2.0
+    rows = running(at, keys, "score", {"upto": "c"}).withColumn("sum", F.col("p") * rank)
     agg = [F.sum("p").cast("double").alias("n1"), F.sum(F.col("c") - F.col("p")).cast("double").alias("n0"), F.sum("sum").alias("ranks")]
     out = rows.groupBy(*keys).agg(*agg)
     value = (F.col("ranks") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))
@@ -334,7 +338,8 @@ def bootstrap_interval(means: DataFrame, draws: int = 1000, seed: int = 17) -> D
     """N, mean, low, high of the mean over groups (column mean) by a Poisson bootstrap.
 
     A group's weight in a draw comes from a hash of (group, draw), so draws don't depend on
-    partitions: sums over groups for each draw, then percentiles over draws.
+    partitions: sums over groups for each draw, then percentiles over draws. A draw that takes no
+    group (likely with few groups only) is left out.
     """
     u = (F.pmod(F.xxhash64("grp", "draw", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
     weight, p, total = F.lit(0), 0.36787944117144233, 0.0  # Poisson of mean 1, by its distribution function
@@ -343,7 +348,7 @@ def bootstrap_interval(means: DataFrame, draws: int = 1000, seed: int = 17) -> D
         weight = weight + (u > total).cast("int")
         p /= k + 1
     rows = means.select("grp", "mean", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", weight)
-    each = rows.groupBy("draw").agg((F.sum(F.col("w") * F.col("mean")) / F.sum("w")).alias("m"))
+    each = rows.groupBy("draw").agg((F.sum(F.col("w") * F.col("mean")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     band = each.agg(F.expr("percentile(m, array(0.025, 0.975))").alias("q"))
     return means.agg(F.count("*").alias("n"), F.avg("mean").alias("mean")).join(F.broadcast(band)).select("n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 

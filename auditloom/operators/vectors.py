@@ -13,6 +13,13 @@ from .evaluate import auc
 #: Rows in a block of the neighbour search.
 BLOCK = 2048
 
+# Fixed values of the image features: bands of the radius (1: Nyquist), sectors of the outer ring,
+# the residual's Gaussian, the longest side, and luma weights of blue, green and red.
+MIDDLE, HIGH, ALL = (0.10, 0.40), (0.62, 1.00), (0.02, 1.00)
+TAIL, RING, SECTORS = (0.50, 0.95), (0.60, 1.00), 72
+SIGMA, LONGEST, TINY = 2, 1600, 1e-12
+LUMA = np.array([0.114, 0.587, 0.299])
+
 
 def knn_margin(rows: DataFrame, k: int, blocks: int) -> DataFrame:
     """M1: id, margin: mean of the k largest similarities to other positives less that to other negatives; rows: id, vec, positive.
@@ -71,18 +78,17 @@ def prototype_margin(rows: DataFrame) -> DataFrame:
     return out.select("id", (dot(F.col("vec"), F.col("p")) - dot(F.col("vec"), F.col("n"))).alias("margin"))
 
 
-def linear_probe(rows: DataFrame, folds: int = 5, components: int = 8, weight: str | None = None) -> DataFrame:
-    """M3, M6: fold, n, accuracy, auc of a regularised logistic probe on principal components, each fold fitted on the others; weight names a column of row weights."""
+def linear_probe(rows: DataFrame, folds: int = 5, components: int = 8) -> DataFrame:
+    """M3: fold, n, accuracy, auc of a regularised logistic probe on principal components, each fold fitted on the others."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    keep = [weight] if weight else []
-    data = rows.select("id", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"), F.col("positive").cast("double").alias("label"), F.pmod(F.xxhash64("id"), F.lit(folds)).alias("fold"), *keep)
+    data = rows.select("id", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"), F.col("positive").cast("double").alias("label"), F.pmod(F.xxhash64("id"), F.lit(folds)).alias("fold"))
     out = None
     for f in range(folds):  # a fit for each fold
-        stages = [StandardScaler(inputCol="features", outputCol="scaled", withMean=True), PCA(k=components, inputCol="scaled", outputCol="pcs"), LogisticRegression(featuresCol="pcs", regParam=0.1, **({"weightCol": weight} if weight else {}))]
+        stages = [StandardScaler(inputCol="features", outputCol="scaled", withMean=True), PCA(k=components, inputCol="scaled", outputCol="pcs"), LogisticRegression(featuresCol="pcs", regParam=0.1)]
         model = Pipeline(stages=stages).fit(data.filter(F.col("fold") != f))
         got = model.transform(data.filter(F.col("fold") == f)).select("fold", (F.col("label") == 1).alias("positive"), vector_to_array("probability")[1].alias("score"))
         out = got if out is None else out.unionByName(got)
@@ -90,6 +96,35 @@ def linear_probe(rows: DataFrame, folds: int = 5, components: int = 8, weight: s
     return hits.join(auc(out, ["fold"]), "fold")
 
 
+def weighted_head(rows: DataFrame, manifest: str, backbone: str, decay: float = 0.01) -> DataFrame:
+    """M6: one row (n, positives, bias, weights, manifest, backbone): a logistic head fitted on the train split, each row weighing 1 / size of its group.
+
+    rows: vec, split, kind, grp, reviewed, label_present, and the digests manifest and backbone that
+    the vectors were made with. Refused (ValueError) if a digest differs or is missing, if an image of the
+    train or calibration split isn't reviewed as free of a label, or if a class has no train row. The
+    fit is the converged one of the weighted mean loss plus decay / 2 times the squared weights.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    used = rows.filter(F.col("split").isin("train", "calibration") & F.col("kind").isin("real", "generated"))
+    train = used.filter("split = 'train'")
+    clean = F.col("reviewed").eqNullSafe(F.lit(True)) & F.col("label_present").eqNullSafe(F.lit(False))
+    faults = {
+        "vectors of another manifest": ~F.col("manifest").eqNullSafe(F.lit(manifest)), "vectors of another backbone": ~F.col("backbone").eqNullSafe(F.lit(backbone)),
+        "images not reviewed as free of a label": ~clean,
+    }
+    seen = used.agg(*(F.count_if(c).alias(k) for k, c in faults.items()), *(F.count_if((F.col("split") == "train") & (F.col("kind") == k)).alias(k) for k in ("real", "generated"))).first()
+    wrong = [k for k in faults if seen[k]] + [f"no {k} row to train on" for k in ("real", "generated") if not seen[k]]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    sizes = train.groupBy(F.col("grp").alias("of")).agg(F.count("*").alias("size"))
+    data = train.join(sizes, F.col("grp").eqNullSafe(F.col("of"))).select(array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"), (F.col("kind") == "generated").cast("double").alias("label"), (1 / F.col("size")).alias("weight"))
+    model = LogisticRegression(weightCol="weight", regParam=decay, standardization=False, maxIter=200, tol=1e-9).fit(data)
+    row = (seen["real"] + seen["generated"], seen["generated"], float(model.intercept), [float(x) for x in model.coefficients], manifest, backbone)
+    return rows.sparkSession.createDataFrame([row], "n long, positives long, bias double, weights array<double>, manifest string, backbone string")
+
+
 def calibration(rows: DataFrame, features: list[str], least: float = 0.05, max_fp: float = 0.1) -> DataFrame:
     """M4: one row a kept feature (feature, polarity, auc, middle, mean, sd, weight) with bias, the threshold under the false-positive cap, and the held-out AUC.
 
@@ -132,10 +167,14 @@ def calibrated_score(values: dict[str, Column], params: list[tuple[str, float, f
 
 
 def gray_images(images: DataFrame) -> DataFrame:
-    """Spark's decoded image rows (column image) as path, height, width and gray pixels in rows."""
+    """Spark's decoded image rows (column image: 8-bit gray, BGR or BGRA) as path, height, width and luma in rows."""
     @F.pandas_udf("array<double>")
     def gray(data: pd.Series, channels: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(d, np.uint8).reshape(-1, c)[:, :3].mean(axis=1).tolist() for d, c in zip(data, channels, strict=True)])
+        out = []
+        for d, c in zip(data, channels, strict=True):
+            px = np.frombuffer(d, np.uint8).reshape(-1, c).astype(float)
+            out.append((px[:, 0] if c == 1 else np.round(px[:, :3] @ LUMA)).tolist())
+        return pd.Series(out)
 
     return images.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), gray(F.col("image.data"), F.col("image.nChannels")).alias("pixels"))
 
@@ -156,35 +195,70 @@ def gradient_hash(a: np.ndarray) -> int:
     return int(np.packbits(m[:, :-1] > m[:, 1:]).view(">i8")[0])
 
 
+def _smoothing(n: int) -> np.ndarray:
+    """The n x n matrix of a Gaussian mean along one side, edges mirrored (each with its last pixel twice)."""
+    taps = np.arange(-4 * SIGMA, 4 * SIGMA + 1)
+    weight = np.exp(-0.5 * (taps / SIGMA) ** 2)
+    at = (np.arange(n)[:, None] + taps) % (2 * n)  # mirrored pixels repeat with period 2 n
+    out = np.zeros((n, n))
+    np.add.at(out, (np.arange(n)[:, None], np.where(at < n, at, 2 * n - 1 - at)), weight / weight.sum())
+    return out
+
+
 def spectral(a: np.ndarray) -> dict:
-    """Features of the windowed power spectrum: share of the high band, slope of the tail, flatness, largest direction on the outer ring; and kurtosis of the residual of a 3 x 3 mean."""
-    h, w = a.shape
-    power = np.abs(np.fft.fftshift(np.fft.fft2((a - a.mean()) * np.outer(np.hanning(h), np.hanning(w))))) ** 2
-    y, x = np.mgrid[:h, :w]
-    y, x = y - h // 2, x - w // 2
-    r = np.hypot(y, x) / max(1, min(h, w) // 2)
-    ring = np.minimum((r * 16).astype(int), 16)
-    profile = np.bincount(ring.ravel(), power.ravel(), 17) / np.maximum(np.bincount(ring.ravel(), minlength=17), 1) + 1e-12
-    high, mid = profile[10:16].sum(), profile[2:10].sum()
-    outer = (r >= 0.5) & (r <= 1)
-    turn = ((np.arctan2(y, x) + np.pi) / (2 * np.pi) * 12).astype(int).clip(0, 11)
-    by = np.bincount(turn[outer], power[outer], 12) if outer.any() else np.zeros(12)
-    p = np.pad(a, 1, mode="reflect")
-    rest = a - sum(p[i : i + h, j : j + w] for i in range(3) for j in range(3)) / 9
-    sd = rest.std()
-    return {"high_share": float(high / max(high + mid, 1e-12)), "tail_slope": float(np.polyfit(np.arange(8, 16) / 16, np.log10(profile[8:16]), 1)[0]), "flatness": float(np.exp(np.log(profile[2:16]).mean()) / profile[2:16].mean()), "direction": float(by.max() / by.mean()) if by.mean() > 0 else None, "kurtosis": float(((rest / sd) ** 4).mean() - 3) if sd > 0 else 0.0}
+    """Features of a gray image: of its windowed power by distance from the centre (1: Nyquist), and of what a Gaussian mean leaves.
+
+    high_share (high to middle and high), tail_slope (0 with 8 points or fewer), flatness, direction
+    (largest sector of the outer ring to the mean one; null under 64 pixels or 8 sectors), kurtosis
+    and variance of the residual (0 for a flat image), high_over_all. The longer side is brought to
+    LONGEST by area means. Rounded as the calibration expects.
+    """
+    if max(a.shape) > LONGEST:
+        a = _cell_means(a, *(max(1, n * LONGEST // max(a.shape)) for n in a.shape))
+    power = np.abs(np.fft.fftshift(np.fft.fft2((a - a.mean()) * np.outer(*map(np.hanning, a.shape))))) ** 2
+    y, x = np.ogrid[: a.shape[0], : a.shape[1]]
+    y, x = y - a.shape[0] // 2, x - a.shape[1] // 2
+    limit = max(1, min(a.shape) // 2)
+    r = np.hypot(y, x)
+    ring = np.minimum(r, limit).astype(int).ravel()
+    size = np.bincount(ring, minlength=limit + 1)
+    mean, u = np.bincount(ring, power.ravel(), limit + 1) / np.maximum(size, 1), np.arange(limit + 1) / limit
+    middle, high, all_ = (mean[(u >= lo) & (u < hi)].sum() for lo, hi in (MIDDLE, HIGH, ALL))
+    tail = (u >= TAIL[0]) & (u <= TAIL[1]) & (mean > 0)
+    slope = np.polyfit(u[tail], np.log10(mean[tail] + TINY), 1)[0] if tail.sum() > 8 else 0.0
+    band = mean[(u >= MIDDLE[0]) & (u <= HIGH[1])] + TINY
+    outer = (r >= RING[0] * limit) & (r <= RING[1] * limit)
+    turn = np.minimum((np.arctan2(y, x)[outer] / (2 * np.pi) + 0.5) * SECTORS, SECTORS - 1).astype(int)
+    sums = np.bincount(turn, power[outer], SECTORS)
+    found = len(turn) >= 64 and len(np.unique(turn)) >= 8 and sums.mean() > 0
+    rest = a - _smoothing(a.shape[0]) @ a @ _smoothing(a.shape[1]).T
+    sd = rest.std() if np.ptp(a) > 0 else 0.0
+    return {
+        "high_share": round(float(high / max(middle + high, TINY)), 5), "tail_slope": round(float(slope), 4), "flatness": round(float(np.exp(np.log(band).mean()) / (band.mean() + TINY)), 5),
+        "direction": round(float(sums.max() / sums.mean()), 4) if found else None, "kurtosis": round(float(((rest / sd) ** 4).mean() - 3), 4) if sd > 0 else 0.0,
+        "variance": round(float(sd * sd), 4), "high_over_all": round(float(high / max(all_, TINY)), 5),
+    }
 
 
 def image_features(images: DataFrame) -> DataFrame:
-    """Images (id, height, width, pixels) with their gradient hash and spectral features."""
+    """Images (id, height, width, pixels) with their gradient hash and spectral features; an image without pixels has nulls."""
     ship(images.sparkSession)
+    names = ["high_share", "tail_slope", "flatness", "direction", "kurtosis", "variance", "high_over_all"]
 
     def rows(batches):
         for b in batches:
-            grids = [np.asarray(p, float).reshape(h, w) for p, h, w in zip(b["pixels"], b["height"], b["width"], strict=True)]
-            yield pd.DataFrame([{"id": i, "fp": gradient_hash(g)} | spectral(g) for i, g in zip(b["id"], grids, strict=True)], columns=["id", "fp", "high_share", "tail_slope", "flatness", "direction", "kurtosis"])
-
-    return images.select("id", "height", "width", "pixels").mapInPandas(rows, "id long, fp long, high_share double, tail_slope double, flatness double, direction double, kurtosis double")
+            out = []
+            for i, p, h, w in zip(b["id"], b["pixels"], b["height"], b["width"], strict=True):
+                if p is None or not len(p):
+                    out.append({"id": i, "fp": None})
+                else:
+                    grid = np.asarray(p, float).reshape(int(h), int(w))
+                    out.append({"id": i, "fp": gradient_hash(grid)} | spectral(grid))
+            yield pd.DataFrame(out, columns=["id", "fp", *names]).astype({"fp": "Int64"} | dict.fromkeys(names, "float64"))
+
+    # NaN stands for a missing feature on its way from pandas
+    out = images.select("id", "height", "width", "pixels").mapInPandas(rows, "id long, fp long, " + ", ".join(f"{n} double" for n in names))
+    return out.select("id", "fp", *(F.when(~F.isnan(n), F.col(n)).alias(n) for n in names))
 
 
 def anomaly_area(maps: DataFrame, width: int) -> DataFrame:

@@ -53,13 +53,16 @@ M5_SQL = f"""WITH {tb.SCORES_SQL} SELECT file, score, spectral, round(1 / (1 + e
 
 
 def m6_weighted_head(spark, sf_dir):
-    rows = _rows(spark, sf_dir).withColumn("w", 1 / (1 + F.col("id") % 4))
-    return rounded(ve.linear_probe(rows, folds=2, weight="w"))
+    i = F.col("id")
+    rows = _rows(spark, sf_dir).select("vec", F.when(i % 5 < 3, "train").when(i % 5 < 4, "calibration").otherwise("blind").alias("split"), F.when(F.col("positive"), "generated").otherwise("real").alias("kind"), F.floor(F.sqrt(i)).alias("grp"), (i % 5 < 4).alias("reviewed"), F.lit(False).alias("label_present"), F.lit("m").alias("manifest"), F.lit("b").alias("backbone"))
+    head = ve.weighted_head(rows, "m", "b")
+    return rounded(head.select("n", "positives", "bias", F.posexplode("weights").alias("i", "weight")))
 
 
 def _images(spark, sf_dir):
-    e = tb.table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.transform("embedding", lambda x: x.cast("double") * 100).alias("pixels"))
+    # a vector's products with itself make an image of as many rows and columns
+    e = tb.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * 10).alias("v"))
+    return e.select("id", F.size("v").alias("height"), F.size("v").alias("width"), F.flatten(F.transform("v", lambda x: F.transform("v", lambda y: x * y))).alias("pixels"))
 
 
 def i1_i2_image_features(spark, sf_dir):

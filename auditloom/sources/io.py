@@ -25,6 +25,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder: what several steps read is computed once and outlives lost executors."""
+    df.write.parquet(path := new_path(df.sparkSession, tag))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_rooted(spark: SparkSession, path: str, root: str, schema: str = POST, multi_line: bool = False) -> DataFrame:
     """Rows under a root key of JSON documents, one document a line, or one a file with multi_line."""
     return spark.read.schema(f"`{root}` array<struct<{schema}>>").option("multiLine", multi_line).json(path).select(F.explode(root).alias("r")).select("r.*")
