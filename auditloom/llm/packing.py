@@ -43,7 +43,7 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_BEFORE_MARKS = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?])")
+BEFORE_MARKS = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?])")
 #: How a tokenizer's file says that it lower-cases NFC text, drops white space, and cuts runs without it into words, digits and marks.
 _NORMAL = ["NFC", "Replace", "Lowercase"]
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -100,7 +100,7 @@ class WordIds(dict):
             return self.whole(text)
         if "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
             # fewer kinds of runs: no capitals, and end marks apart from words, where the tokenizer cuts too
-            text = _BEFORE_MARKS.sub(" ", low)
+            text = BEFORE_MARKS.sub(" ", low)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, line_dedup, media, mixing, near_dedup, packing, sharding, substring, url_filter
+from . import bpe, exact_dedup, language, lexical, line_dedup, media, mixing, near_dedup, packing, sharding, substring, url_filter, whitening
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_documents, _pages = _table("documents"), _table("pages")
+_documents, _pages, _benchmark, _embeddings = _table("documents"), _table("pages"), _table("benchmark"), _table("embeddings")
 
 
 def tokenizer_path() -> str:
@@ -63,10 +63,22 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_documents(spark, sf_dir)).withColumn("tile_bytes", F.length("tile_npy").cast("long")).drop("tile_npy")
 
 
+def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_documents(spark, sf_dir), tokenizer_path())
+
+
+def op12_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
+def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_embeddings(spark, sf_dir)).drop("deviation_exact")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    named = [op1_exact_dedup, op2_minhash_near_dedup, op3_source_mix, op4_line_dedup, op5_vector_sharding, op6_best_fit_packing, op7_substring_dedup, op8_url_filter, op9_language_id, op10_media_columns]
+    named = [op1_exact_dedup, op2_minhash_near_dedup, op3_source_mix, op4_line_dedup, op5_vector_sharding, op6_best_fit_packing, op7_substring_dedup, op8_url_filter, op9_language_id, op10_media_columns, op11_prefix_bpe, op12_best_position, op13_feast_whitening]
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
@@ -115,5 +127,25 @@ FROM m GROUP BY doc_id
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+c AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+q AS (
+  SELECT item_id, t, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+  GROUP BY ALL),
+p AS (SELECT rid, doc_id, n, t, count(*) AS tf FROM (SELECT rid, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS t FROM d) GROUP BY ALL),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM f, c),
+s AS (
+  SELECT item_id, rid, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * n_docs) // n_terms)))))::BIGINT AS score
+  FROM q JOIN p USING (t) JOIN w USING (t), c GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op12_best_position": OP12_SQL}
