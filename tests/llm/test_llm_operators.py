@@ -294,29 +294,63 @@ def brute_runs(rows, least=20):
     for (i, _), own in cells.items():
         for *_, chunk, n in own:
             where.setdefault((chunk, n), set()).add(-1 if i is None else i)
-    out = []
+    low = {key: min(has) for key, has in where.items()}
+    out, stays = [], set()
     for (i, _), own in cells.items():
-        run = []
+        first = len(out)
+        me, run = -1 if i is None else i, []
         for a, b, chunk, n in [*own, (0, 0, None, 0)]:
             if chunk is not None and len(where[chunk, n]) > 1:
-                run.append((a, b, n))
-            else:
-                if sum(x[2] for x in run) >= least:
-                    out.append((i, run[0][0], run[-1][1] - run[0][0], sum(x[2] for x in run), len(run)))
-                run = []
+                run.append((a, b, n, low[chunk, n]))
+                continue
+            if sum(x[2] for x in run) >= least:
+                for k, x in enumerate(run):
+                    lost = x[3] != me and sum(y[2] for y in stretch(run, k, lambda y: y[3] != me)) >= least
+                    span = stretch(run, k, lambda y: y[3] == x[3])
+                    if span[0] is x:
+                        out.append((i, x[0], span[-1][1] - x[0], sum(y[2] for y in span), len(span), None if x[3] == -1 else x[3], lost))
+            run = []
+        lost = [(a, a + n) for _, a, n, *_, gone in out[first:] if gone]
+        stays |= {(chunk, n) for a, b, chunk, n in own if not any(x <= a < y for x, y in lost)}
+    assert stays == set(where)  # every distinct chunk stays somewhere
     return sorted(out, key=str)
 
 
+def stretch(run, k, like):
+    """The adjoining members around run[k] that are like it."""
+    a = b = k
+    while a and like(run[a - 1]):
+        a -= 1
+    while b + 1 < len(run) and like(run[b + 1]):
+        b += 1
+    return run[a : b + 1]
+
+
 def test_repeated_passages_against_brute_force(spark):
     passage, short = words(45), words(16)
     rows = [(1, f"{words(20)} {short}"), (2, f"{short} {words(30)}"), (1, f"{words(20)} {short}")]
     rows += [(1, rows[0][1]), (3, f"{words(9)} {passage} {words(9)}"), (3, f"{words(19)} {passage}"), (None, passage), (4, passage.upper()), (5, "w " * 500), (6, "w " * 300), (7, ""), (8, None), (9, words(100_000) + passage)]
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, nth int, digest string").repartition(3)
-    got = [tuple(r)[:5] for r in substring.repeated_passages(docs).collect()]
+    got = [tuple(r) for r in substring.repeated_passages(docs).collect()]
     assert sorted(got, key=str) == brute_runs(rows)
     assert {r[0] for r in got} >= {3, None, 5, 6, 9} and not {2, 4, 7, 8} & {r[0] for r in got}
 
 
+def test_what_the_keeper_lacks_stays(spark):
+    """A longer passage whose first part a smaller document has: the rest stays in the first document that has it."""
+    first, second = words(60), words(80)
+    rows = [(5, f"{first} {second}"), (9, f"{first} {second}"), (3, f"{first} {words(40)}"), (11, f"{words(30)} {second}"), *((20 + i, f"{words(25)} {words(3)} {first[: 40 * i]} {second[40 * i :]}") for i in range(6))]
+    got = [tuple(r) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == brute_runs(rows)
+    assert any(r[0] == 5 and not r[6] and r[5] == 5 and r[3] > 60 for r in got) and any(r[0] == 5 and r[6] and r[5] == 3 for r in got)
+
+
+def test_given_documents_lose_no_chunk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = [tuple(r) for r in substring.repeated_passages(docs).collect()]
+    assert sorted(got, key=str) == brute_runs([tuple(r) for r in docs.collect()])
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.org/es/x", "https://EXAMPLE.org/en/12?x", "https://example.org/en/2", "http://x.com/fr/", "http://x.com/de/1#t", "http://notexample.org/es/", "http://org/", "http://x.net", None, "no scheme", "http://x.com/de/1", "ftp://h.com?q=/fr/"]
     got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
