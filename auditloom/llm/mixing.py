@@ -5,9 +5,13 @@ the input, a source gives at most three times its size, and what it can't give g
 by weight. A source is cut into n blocks of equal tokens (within a word), of a size of its own, so
 that small sources have many too. Schedule: slot j is the point frac(j / golden ratio), which falls
 into one source's part of the cumulative targets, counted in blocks; a source's slots are ranked,
-and slot r takes block r mod n of the source's words in shuffled document order. Slots that would go
-beyond the target are left out, and the words still missing are taken from what comes next, so a
-source gives its target, rounded to a word. Documents are cut at block edges.
+and slot r takes block r mod n of the source's words in shuffled document order. A source has as
+many points as its target has blocks, but for a few: slots beyond the target are left out, and where
+some are missing, the source has slots of its own after the last point, in turn with other such
+sources; its last one takes the part of a block that the target has room for. What a document gives
+is what slots take of it, and its place in the mix is that of its slots: at any point of the mix,
+every source has had about its share. In the mix as documents, a document comes whole, at the slot
+that takes its first word; only a source's very last one may be cut.
 
 Edge cases: null or empty texts have size 0 and are never taken; a source without words has target
 0; an empty table gives no row. Repeated rows count as rows of their own. Extra columns are ignored.
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words, root_buckets, running, written
+from .common import WORD, WS_CLASS, Scratch, n_words, root_buckets, running
 
 GOLDEN = 0.6180339887498949
 #: Slots that a source of mean size has at least, unless a block would be under one word; blocks of at most so many words.
@@ -46,9 +50,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
 
 
 def with_blocks(targets: DataFrame, block: int) -> DataFrame:
-    """targets with blocks (how many a source has, each of block words at most) and goal (the target in whole words)."""
+    """targets with blocks (how many a source has, each of block words at most), goal (the target in whole words) and the source's number."""
     own = F.least(F.lit(block), F.ceil(F.col("source_size") / LEAST_BLOCKS))
-    return targets.withColumns({"blocks": F.ceil(F.col("source_size") / F.greatest(own, F.lit(1))), "goal": F.round("target").cast("long")})
+    nth = F.row_number().over(Window.orderBy("grp"))
+    return targets.withColumns({"blocks": F.ceil(F.col("source_size") / F.greatest(own, F.lit(1))), "goal": F.round("target").cast("long"), "nth_source": nth})
 
 
 def edge(k: Column, size: Column, blocks: Column) -> Column:
@@ -62,75 +67,82 @@ def block_at(at: Column, size: Column, blocks: Column) -> Column:
     return F.when(at < longer * (each + 1), F.floor(at / (each + 1))).otherwise(longer + F.floor((at - longer * (each + 1)) / each))
 
 
-def schedule(targets: DataFrame, slots: int) -> DataFrame:
-    """slot, grp, rank in the source, block, epoch, length in words: which block each slot of the mix takes, while its source's goal has room for it."""
+def schedule(targets: DataFrame, slots: int, golden: float = GOLDEN) -> DataFrame:
+    """slot, grp, rank in the source, block, epoch, length (words taken from the block's start) and whole: the block that each slot of the mix takes."""
     spark = targets.sparkSession
     size, n = F.col("source_size"), F.col("blocks")
     parts = targets.filter("target > 0").withColumn("part", F.col("target") / size * n)
     w = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("part").over(Window.partitionBy())
     high = F.sum("part").over(w) / total
-    parts = parts.select("grp", "source_size", "blocks", "goal", (high - F.col("part") / total).alias("low"), F.when(high > 1 - 1e-9, 2.0).otherwise(high).alias("high"))
+    parts = parts.select("grp", (high - F.col("part") / total).alias("low"), F.when(high > 1 - 1e-9, 2.0).otherwise(high).alias("high"))
     parts = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.greatest(F.col("low"), F.lit(0.0)) * CELLS), F.floor(F.least(F.col("high"), F.lit(1.0)) * CELLS))))
-    points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 1) * GOLDEN % 1.0).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
-    hit = points.join(parts, "cell").filter("u >= low and u < high").select("slot", "grp", "source_size", "blocks", "goal")
-    step = root_buckets(slots)
-    ranked = running(hit.withColumn("bucket", F.floor(F.col("slot") / step)), ["grp"], "bucket", [F.col("slot")], F.lit(1))
-    ranked = ranked.select("slot", "grp", "source_size", "blocks", "goal", F.col("start").alias("rank"), (F.col("start") % n).alias("block"), F.floor(F.col("start") / n).alias("epoch"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 1) * golden % 1.0).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
+    hit = points.join(parts, "cell").filter("u >= low and u < high").select("slot", "grp")
+    ranked = running(hit.withColumn("bucket", F.floor(F.col("slot") / root_buckets(slots))), ["grp"], "bucket", [F.col("slot")], F.lit(1)).select("slot", "grp", F.col("start").alias("rank"))
+    # slots of their own for what is missing, in turn
+    goals = targets.filter("goal > 0").select("grp", "source_size", "blocks", "goal", "nth_source")
+    last = F.floor((F.col("goal") - 1) / size) * n + block_at((F.col("goal") - 1) % size, size, n)
+    had = goals.join(hit.groupBy("grp").agg(F.count("*").alias("had")), "grp", "left").withColumns({"had": F.coalesce("had", F.lit(0)), "last": last})
+    more = had.filter("had <= last").select("grp", "had", "nth_source", F.explode(F.sequence("had", "last")).alias("rank"))
+    most = had.agg(F.coalesce(F.max("nth_source"), F.lit(0)).alias("sources"))  # one row
+    more = more.join(F.broadcast(most)).select((F.lit(slots) + (F.col("rank") - F.col("had")) * F.col("sources") + F.col("nth_source")).alias("slot"), "grp", "rank")
+    every = ranked.unionByName(more).join(goals.drop("nth_source"), "grp").withColumns({"block": F.col("rank") % n, "epoch": F.floor(F.col("rank") / n)})
     first, end = edge(F.col("block"), size, n), edge(F.col("block") + 1, size, n)
-    return ranked.filter(F.col("epoch") * size + end <= F.col("goal")).select("slot", "grp", "rank", "block", "epoch", (end - first).alias("length"))
+    length = F.least(end, F.col("goal") - F.col("epoch") * size) - first
+    return every.withColumns({"length": length, "whole": length == end - first}).filter("length > 0").select("slot", "grp", "rank", "block", "epoch", "length", "whole")
 
 
-def words_before(at: Column) -> Column:
-    """How many words the row (start, size) gives to the first at words of its source, repeated without end."""
-    epochs = F.floor(at / F.greatest(F.col("source_size"), F.lit(1)))
-    return epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), at - epochs * F.col("source_size") - F.col("start")))
-
-
-def taken_words(docs: DataFrame, carry: bool = False, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row; with carry also the row itself, as row."""
+def planned(docs: DataFrame, work: Scratch, carry: bool = False, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 11, golden: float = GOLDEN) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs with their place in the source's words (start, size) and its target, and the slots of the schedule; with carry also the row itself, as row."""
     grp = F.when(F.col("source").isNull(), "2").otherwise(F.concat(F.lit("1"), F.col("source"))).alias("grp")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), grp, n_words(F.col("text")).alias("size"), *([F.struct(*docs.columns).alias("row")] if carry else []))
-    sizes = written(rows.select("doc_id", "grp", "size"), "mix-sizes")
+    sizes = work.write(rows.select("doc_id", "grp", "size"), "mix-sizes")
     rows = rows if carry else sizes
-    targets = written(source_targets(sizes, weights, most), "mix-targets")
+    targets = work.write(source_targets(sizes, weights, most), "mix-targets")
     sources, words, n = targets.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.lit(sizes.count())).first()
-    block = max(1, min(BLOCK, words // (max(1, sources) * SLOTS)))
-    targets = with_blocks(targets, block)
+    targets = with_blocks(targets, max(1, min(BLOCK, words // (max(1, sources) * SLOTS))))
     (slots,) = targets.filter("target > 0").agg(F.coalesce(F.ceil(F.sum(F.col("target") / F.col("source_size") * F.col("blocks"))), F.lit(0))).first()
-    takes = written(schedule(targets, slots).groupBy("grp", "block").agg(F.count("*").alias("takes"), F.sum("length").alias("words")), "mix-takes")
-    targets = targets.join(takes.groupBy("grp").agg(F.sum("words").alias("given")), "grp", "left").withColumn("given", F.coalesce("given", F.lit(0)))
-
+    turns = work.write(schedule(targets, slots, golden), "mix-slots")
     # Shuffled order of a source: by hash of doc_id; a second hash settles repeated ids.
     order = [F.col("_h"), F.col("doc_id"), F.col("size"), *([F.xxhash64("row.text")] if carry else [])]
     placed = rows.withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
     placed = running(placed.withColumn("_b", F.pmod("_h", F.lit(root_buckets(n)))), ["grp"], "_b", order, F.col("size"))
-    placed = placed.join(targets, "grp")
-    size, blocks, end = F.col("source_size"), F.col("blocks"), F.col("start") + F.col("size")
-    cut = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(block_at(F.col("start"), size, blocks), block_at(end - 1, size, blocks))))
-    part = F.least(end, edge(F.col("block") + 1, size, blocks)) - F.greatest(F.col("start"), edge(F.col("block"), size, blocks))
-    got = cut.select("grp", "_b", "nth", "block", part.alias("part")).join(takes.select("grp", "block", "takes"), ["grp", "block"]).groupBy("grp", "_b", "nth").agg(F.sum(F.col("part") * F.col("takes")).alias("taken"))
-    missing = words_before(F.col("goal")) - words_before(F.col("given"))
-    out = placed.join(got, ["grp", "_b", "nth"], "left")
-    return out.select("doc_id", "size", "source_size", "target", (F.coalesce("taken", F.lit(0)) + missing).cast("long").alias("taken"), *(["row"] if carry else []))
+    return placed.join(targets.drop("nth_source"), "grp"), turns
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source)."""
-    return taken_words(docs, **options)
+    """doc_id, size, source_size, target, taken, first_slot (null where nothing is taken) for every row of docs (doc_id, text, source)."""
+    work = Scratch(docs.sparkSession)
+    placed, turns = planned(docs, work, **options)
+    takes = turns.groupBy("grp", "block").agg(F.count_if("whole").alias("takes"), F.coalesce(F.max(F.when(~F.col("whole"), F.col("length"))), F.lit(0)).alias("partial"), F.min("slot").alias("slot"))
+    size, blocks, end = F.col("source_size"), F.col("blocks"), F.col("start") + F.col("size")
+    cut = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(block_at(F.col("start"), size, blocks), block_at(end - 1, size, blocks))))
+    first = edge(F.col("block"), size, blocks)
+    low, high = F.greatest(F.col("start") - first, F.lit(0)), F.least(end, edge(F.col("block") + 1, size, blocks)) - first
+    parts = cut.select("grp", "_b", "nth", "block", low.alias("low"), high.alias("high")).join(takes, ["grp", "block"])
+    rest = F.greatest(F.lit(0), F.least(F.col("high"), F.col("partial")) - F.col("low"))
+    got = parts.groupBy("grp", "_b", "nth").agg(F.sum((F.col("high") - F.col("low")) * F.col("takes") + rest).alias("taken"), F.min(F.when((F.col("takes") > 0) | (rest > 0), F.col("slot"))).alias("first_slot"))
+    out = placed.join(got, ["grp", "_b", "nth"], "left")
+    out = work.write(out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot"), "mix")
+    work.clear(but=out)
+    return out
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: each whole copy that is taken, and a last one with the words left over.
+    """The mix as documents in the order of its slots: one row for each time that slots take a document.
 
-    That last copy has the document's first words, joined by blanks. Columns are those of docs;
-    n_chars, if there, follows the text.
+    A source's last one may have its first words only, with the white space between them. Columns
+    are those of docs; n_chars, if there, follows the text. Rows are in order within and across
+    partitions, so that files written from them are too.
     """
-    out = taken_words(docs, carry=True, **options).filter("taken > 0")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    left = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
-    words = F.regexp_extract_all("row.text", F.lit(f"({WORD})"), F.lit(1))
-    text = F.when(left < F.col("size"), F.concat_ws(" ", F.slice(words, 1, F.greatest(left, F.lit(1))))).otherwise(F.col("row.text"))
-    out = out.withColumn("new_text", text)
+    placed, turns = planned(docs, Scratch(docs.sparkSession), carry=True, **options)
+    size, blocks = F.col("source_size"), F.col("blocks")
+    copies = placed.filter("size > 0 and goal > start").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("goal") - 1 - F.col("start")) / size))))
+    copies = copies.withColumn("block", block_at(F.col("start"), size, blocks)).join(turns.select("grp", "block", "epoch", "slot"), ["grp", "block", "epoch"])
+    left = F.least(F.col("goal") - F.col("epoch") * size - F.col("start"), F.col("size")).cast("int")
+    head = F.regexp_replace(F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD}{WS_CLASS}*)"), F.lit(1)), 1, F.greatest(left, F.lit(1))), ""), f"{WS_CLASS}+$", "")
+    out = copies.withColumn("new_text", F.when(left < F.col("size"), head).otherwise(F.col("row.text")))
+    out = out.repartitionByRange(F.col("slot")).sortWithinPartitions("slot", "start")
     changed = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
     return out.select(*(changed.get(x, F.col(f"row.`{x}`")).alias(x) for x in docs.columns))

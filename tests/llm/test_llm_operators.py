@@ -177,6 +177,83 @@ def test_mixed_documents_take_the_same_words(docs):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, taken.collect()))
 
 
+def brute_mix(spark, rows, golden=mixing.GOLDEN):
+    """(doc_id, taken, first_slot) and the words of every slot (source, count), slot after slot, from targets of the operator."""
+    hashed = dict(map(tuple, spark.createDataFrame([(i,) for i, *_ in rows], "doc_id long").select("doc_id", F.xxhash64("doc_id", F.lit(11))).collect()))
+    buckets = max(16, int(len(rows) ** 0.5))
+    sources = sorted({s for *_, s in rows})
+    order = {s: sorted((hashed[i] % buckets, hashed[i], i, n) for i, n, x in rows if x == s) for s in sources}
+    sizes = {s: sum(x[3] for x in order[s]) for s in sources}
+    targets = {r["grp"][1:]: r["target"] for r in mixing.source_targets(spark.createDataFrame([("1" + s, sizes[s]) for s in sources], "grp string, size long")).collect()}
+    block = max(1, min(mixing.BLOCK, sum(sizes.values()) // (len(sources) * mixing.SLOTS)))
+    blocks = {s: -(-sizes[s] // max(1, min(block, -(-sizes[s] // mixing.LEAST_BLOCKS)))) for s in sources}
+    edges = {s: np.cumsum([0] + [sizes[s] // blocks[s] + (k < sizes[s] % blocks[s]) for k in range(blocks[s])]).tolist() if blocks[s] else [0] for s in sources}
+    stream = {s: [i for _, _, i, n in order[s] for _ in range(n)] for s in sources}
+    part = np.array([targets[s] / sizes[s] * blocks[s] if sizes[s] else 0.0 for s in sources])
+    high = np.cumsum(part) / part.sum()
+    rank, taken, first, words = dict.fromkeys(sources, 0), {}, {}, []
+
+    def take(slot, s):
+        epoch, k = divmod(rank[s], blocks[s])
+        rank[s] += 1
+        got = stream[s][edges[s][k] : max(edges[s][k], min(edges[s][k + 1], int(np.floor(targets[s] + 0.5)) - epoch * sizes[s]))]
+        for i in got:
+            taken[i] = taken.get(i, 0) + 1
+            first[i] = min(first.get(i, slot), slot)
+        words.append((s, len(got)))
+        return len(got)
+
+    points = int(np.ceil(part.sum()))
+    for slot in range(points):
+        take(slot, sources[min(int(np.searchsorted(high, (slot + 1) * golden % 1.0, "right")), len(sources) - 1)])
+    turn = 0
+    live = [s for s in sources if targets[s] > 0]
+    while live:
+        live = [s for s in live if take(points + turn * len(sources) + sources.index(s) + 1, s)]
+        turn += 1
+    return sorted((i, taken.get(i, 0), first.get(i)) for i, *_ in rows), words, targets
+
+
+def mix_rows():
+    own = random.Random(12)
+    return [(1000 * j + i, own.choice([1, 3, 40, 300, 2000]), s) for j, (s, n) in enumerate({"a": 90, "b": 40, "c": 3, "d": 60, "e": 1}.items()) for i in range(n)]
+
+
+def test_mix_follows_its_schedule(spark):
+    """Against a plain loop over the slots; another constant gives another mix; every prefix has each source's share."""
+    rows = mix_rows()
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, n, s in rows], "doc_id long, text string, source string").repartition(3)
+    seen = []
+    for golden in (mixing.GOLDEN, 0.0123456789):
+        got = sorted((r["doc_id"], r["taken"], r["first_slot"]) for r in mixing.mix(docs, golden=golden).collect())
+        want, words, targets = brute_mix(spark, rows, golden)
+        assert got == want
+        seen.append(got)
+    assert seen[0] != seen[1]
+    _, words, targets = brute_mix(spark, rows)
+    total, so_far, done = sum(targets.values()), dict.fromkeys(targets, 0), 0
+    for s, n in words:
+        so_far[s], done = so_far[s] + n, done + n
+        assert all(abs(so_far[x] - done * targets[x] / total) <= 0.004 * total for x in targets)
+
+
+def test_mixed_documents_come_in_slot_order(spark):
+    rows = mix_rows()
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, n, s in rows], "doc_id long, text string, source string").repartition(3)
+    first = {r["doc_id"]: r["first_slot"] for r in mixing.mix(docs).collect()}
+    got, order = mixing.mixed_documents(docs).collect(), []
+    for r in got:  # the first copies of documents
+        if r["doc_id"] not in order:
+            order.append(r["doc_id"])
+    assert [first[i] for i in order] == sorted(first[i] for i in order) and len({r["source"] for r in got[:40]}) >= 3
+    goal, had, done = brute_mix(spark, rows)[2], {}, 0
+    total = sum(goal.values())
+    for r in got:
+        n = len(r["text"].split())
+        had[r["source"]], done = had.get(r["source"], 0) + n, done + n
+        assert all(abs(had.get(x, 0) - done * goal[x] / total) <= 0.004 * total + 2 * 2000 for x in goal)
+
+
 def brute_lines(rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda x: x.strip(" \t\n\v\f\r").translate(low)
