@@ -95,3 +95,7 @@ LEVELS = ["high_risk", "suspicious", "credible", "inconclusive"]
 LIMITS = {"aigc_hard": 0.99, "aigc_high": 0.9, "aigc_abstain": 0.2, "ela": 2.0, "spectral_strong": 0.8, "spectral_gray": 0.6, "edit_high": 0.9, "edit_suspicious": 0.5, "claims_high": 1, "claims_medium": 3}
 #: level, what to do, hours until then (null: no limit), must a person look
 PLAYBOOK = [("high_risk", "freeze", 2, True), ("suspicious", "hold", 24, True), ("credible", "release", None, False), ("inconclusive", "release_with_note", 48, False)]
+
+#: What the credential tool's output says where the tool is not there, and where there is no manifest.
+NO_TOOL = ["找不到 c2patool", "运行 c2patool"]
+NO_MANIFEST = ["no claim", "no manifest", "no embedded", "not found", "noclaim", "error", "unable", "no c2pa"]

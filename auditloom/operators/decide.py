@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
+from .evaluate import every
 
 L = lx.LIMITS
 
 
 def image_signals(evidence: DataFrame, profiles: DataFrame, decision_model: str = "origin_v4") -> DataFrame:
-    """Score only if available, decision score only for the profiled model, and the status by an approved profile of the same model.
+    """Score only if available, decision score only for the decision model without a profile, and the status by an approved profile of the same model, weights and preprocessing.
 
-    evidence: asset, model, available, review_only, raw_score; profiles: model, low, high, approved.
+    evidence: asset, model, weights, preprocessing, available, review_only, raw_score; profiles:
+    model, weights, preprocessing, low, high, approved. A profile counts if 0 <= low <= high <= 1 and
+    its identity is given; where several that differ have one identity, none does.
     """
-    rows = evidence.join(profiles.filter("approved").select("model", "low", "high"), "model", "left")
+    key = ["model", "weights", "preprocessing"]
+    valid = profiles.filter(every(F.col("approved"), F.col("low") >= 0, F.col("low") <= F.col("high"), F.col("high") <= 1, *(F.length(c) > 0 for c in key)))
+    bounds = valid.groupBy(*key).agg(F.min(F.struct("low", "high")).alias("a"), F.max(F.struct("low", "high")).alias("b")).filter("a = b").select(*key, "a.low", "a.high")
+    rows = evidence.join(bounds, key, "left")
     score = F.when(F.coalesce("available", F.lit(True)), F.col("raw_score"))
     status = F.when(score.isNull(), "unavailable").when(F.col("low").isNull(), "uncalibrated").when(score >= F.col("high"), "likely").when(score >= F.col("low"), "uncertain").otherwise("no_signal")
     return rows.select("asset", score.alias("score"), F.when((F.col("model") == decision_model) & ~F.col("review_only") & F.col("low").isNull(), score).alias("decision_score"), status.alias("status"))

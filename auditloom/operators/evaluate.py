@@ -6,6 +6,8 @@ one-row DataFrames; nothing is collected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,13 +57,32 @@ def origin_report(scores: DataFrame, low: float, high: float, keys: list[str] |
     return rates(out, {k: (f"{k}_count", f"{k}_n") for k in ("fp", "recall", "uncertain")})
 
 
+def every(*conditions: Column) -> Column:
+    """Do all conditions hold; one that is null does not."""
+    return F.coalesce(reduce(Column.__and__, conditions), F.lit(False))
+
+
+def tracked() -> Column:
+    """Are model, weights and preprocessing all given."""
+    return every(*(F.length(c) > 0 for c in ("model", "weights", "preprocessing")))
+
+
 def calibrated(scores: DataFrame, max_fp: float = 0.05, min_recall: float = 0.80, max_uncertain: float = 0.25) -> DataFrame:
-    """One row (low, high, fp_rate, recall) of thresholds chosen from the distinct scores, 0 and 1; no row if no high meets its limits.
+    """One row (model, weights, preprocessing, low, high, fp_rate, recall, approved) of thresholds chosen from the distinct scores, 0 and 1; no row if no high meets its limits.
 
     Rates change only where a group's largest real or least generated score lies. So these are
     counted by score, and running counts over distinct scores, in cells, give every candidate's rates.
     Distinct scores and the row of the chosen high are written, since several steps read them.
+    The row names the one model, weights and preprocessing of all scores, and is not approved: a
+    person does that. Refused with ValueError: a missing score, no or several identities, one kind only.
     """
+    identity = F.struct("model", "weights", "preprocessing")
+    seen = scores.agg(
+        F.count_if(F.col("score").isNull()).alias("missing scores"), F.count_if(~tracked()).alias("scores without model, weights or preprocessing"), F.count_if(~F.coalesce(F.col("kind").isin("real", "generated"), F.lit(False))).alias("other kinds"),
+        F.count_if(F.col("kind") == "real").alias("real"), F.count_if(F.col("kind") == "generated").alias("generated"), F.min(identity).alias("one"), F.max(identity).alias("other")).first()
+    wrong = [k for k in ("missing scores", "scores without model, weights or preprocessing", "other kinds") if seen[k]] + [f"no {k} score" for k in ("real", "generated") if not seen[k]]
+    if wrong or seen["one"] != seen["other"]:
+        raise ValueError("; ".join(wrong or ["several models, weights or preprocessings"]))
     by = scores.groupBy("grp", "kind").agg(F.max("score").alias("top"), F.min("score").alias("least"))
     cand = scores.select(F.col("score").alias("t")).unionByName(scores.sparkSession.createDataFrame([(0.0,), (1.0,)], "t double")).filter("t is not null").distinct()
     real = by.filter("kind = 'real'").groupBy(F.col("top").alias("t")).agg(F.count("*").alias("r"))
@@ -83,7 +104,7 @@ def calibrated(scores: DataFrame, max_fp: float = 0.05, min_recall: float = 0.80
     total = below.agg(F.count("*").alias("groups"))
     unsure = running(marks, [], "down", {"u": "k"}).join(F.broadcast(total)).filter(F.col("u") <= max_uncertain * F.col("groups"))
     low = unsure.join(lows, "t", "left_semi").agg(F.min("t").alias("low"))
-    return best.join(F.broadcast(low)).select("low", "high", "fp_rate", "recall")
+    return best.join(F.broadcast(low)).select(*(F.lit(seen["one"][k]).alias(k) for k in ("model", "weights", "preprocessing")), "low", "high", "fp_rate", "recall", F.lit(False).alias("approved"))
 
 
 def sweep(scores: DataFrame, baseline: float = 0.9, points: int = 100) -> DataFrame:
@@ -305,13 +326,19 @@ def separation(scores: DataFrame) -> DataFrame:
     return out.withColumn("gap", F.col("fake_least") - F.col("real_largest")).withColumn("mean_gap", F.col("fake_mean") - F.col("real_mean"))
 
 
-FIELDS = ("product", "metric", "value", "unit", "duration")
+#: What a claim is compared by, besides its case and quote.
+FIELDS = ("source", "quote", "product", "product_version", "metric", "value", "unit", "duration_days", "variant", "population", "conditions")
 
 
 def field_f1(expected: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Labels, predicted, matched and F1 over distinct (case, field, value, quote) cells."""
+    """Labels, predicted, matched and F1 over distinct (case, field, value, quote) cells.
+
+    Both tables have case, quote and any of FIELDS; a field that is null, or an empty list, is no cell.
+    """
     def cells(df: DataFrame) -> DataFrame:
-        pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in FIELDS))
+        kinds = dict(df.dtypes)
+        value = {f: F.when(F.size(f) > 0, F.to_json(f)) if kinds[f].startswith("array") else F.col(f).cast("string") for f in FIELDS if f in kinds}
+        pairs = F.array(*(F.struct(F.lit(f).alias("field"), v.alias("v")) for f, v in value.items()))
         return df.select("case", "quote", F.explode(pairs).alias("c")).select("case", "quote", "c.*").filter("v is not null").distinct()
 
     a, b = cells(expected), cells(predicted)
@@ -320,6 +347,17 @@ def field_f1(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     return out.withColumn("f1", 2 * F.col("matched") / F.nullif(F.col("labels") + F.col("predicted"), F.lit(0)))
 
 
+def unsupported_claims(claims: DataFrame, references: DataFrame) -> DataFrame:
+    """Claims called supported without a reference that a reviewer verified: an efficacy study with source and place that matches, of the case's market and the claim's product version.
+
+    claims: case, claim, status, market, product_version; references: case, claim, verification,
+    source_type, source, locator, matches, market, product_version.
+    """
+    given = [F.length(c) > 0 for c in ("source", "locator", "market", "product_version")]
+    good = references.filter((F.col("verification") == "reviewer_verified") & (F.col("source_type") == "efficacy_study") & every(F.col("matches"), *given))
+    return claims.filter("status = 'supported'").join(good, ["case", "claim", "market", "product_version"], "left_anti")
+
+
 def pair_rates(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Precision and recall with intervals of booleans (truth, found), and rows whose check was unavailable."""
     out = pairs.groupBy(*(keys or [])).agg(F.count("*").alias("cases"), F.count_if("found").alias("precision_n"), F.count_if(F.col("truth") & F.col("found")).alias("precision_count"), F.count_if("truth").alias("recall_n"), F.count_if("unavailable").alias("unavailable"))
@@ -327,11 +365,43 @@ def pair_rates(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return rates(out, {k: (f"{k}_count", f"{k}_n") for k in ("precision", "recall")})
 
 
+def packed(mask: Column) -> Column:
+    """A flat boolean mask as array<long>, 64 cells a word."""
+    def word(i: Column) -> Column:
+        return F.aggregate(F.slice(mask, i * 64 + 1, 64), F.lit(0).cast("long"), lambda bits, x: F.shiftleft(bits, 1).bitwiseOR(F.coalesce(x, F.lit(False)).cast("long")))
+
+    return F.when(F.size(mask) == 0, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(mask) - 1) / 64).cast("int")), word))
+
+
 def mask_iou(a: Column, b: Column) -> Column:
-    """Intersection over union of two flat boolean masks."""
-    both = F.size(F.filter(F.zip_with(a, b, lambda x, y: x & y), lambda x: x))
-    some = F.size(F.filter(F.zip_with(a, b, lambda x, y: x | y), lambda x: x))
-    return both / F.nullif(some, F.lit(0))
+    """Intersection over union of two masks, structs of height, width and packed bits; null where both are empty. Masks of other shapes than each other stop the job."""
+    def ones(op) -> Column:
+        return F.aggregate(F.zip_with(a["bits"], b["bits"], op), F.lit(0).cast("long"), lambda n, x: n + F.bit_count(x))
+
+    same = (a["height"] == b["height"]) & (a["width"] == b["width"])
+    iou = ones(lambda x, y: x.bitwiseAND(y)) / F.nullif(ones(lambda x, y: x.bitwiseOR(y)), F.lit(0))
+    return F.when(a.isNotNull() & b.isNotNull() & ~same, F.raise_error(F.lit("a predicted mask has another shape than the true one")).cast("double")).otherwise(iou)
+
+
+def localized(rows: DataFrame, alarm: float = 0.5) -> DataFrame:
+    """For each group of rows with a true mask: masks, mean_iou and missing_masks.
+
+    rows: grp, kind, score, model, weights, preprocessing, truth and predicted (masks or null). A
+    mask that is not detected, or whose prediction is missing, counts as an overlap of 0.
+    """
+    found = F.coalesce(F.col("score") >= alarm, F.lit(False))
+    iou = F.when(found & F.col("predicted").isNotNull(), mask_iou(F.col("truth"), F.col("predicted"))).otherwise(0.0)
+    return rows.filter("truth is not null").groupBy("grp").agg(F.count("*").alias("masks"), F.avg(iou).alias("mean_iou"), F.count_if(found & F.col("predicted").isNull()).alias("missing_masks"))
+
+
+def localization(rows: DataFrame, alarm: float = 0.5) -> DataFrame:
+    """One row: mask_groups, mean_iou over groups and missing_masks as localized() has them; over rows that are real or have a true mask, missing_scores, untracked_scores (without model, weights or preprocessing) and models (distinct identities); clean false positives over groups of real rows with a score."""
+    groups = localized(rows, alarm).agg(F.count("*").alias("mask_groups"), F.avg("mean_iou").alias("mean_iou"), F.coalesce(F.sum("missing_masks"), F.lit(0)).alias("missing_masks"))
+    judged = rows.filter("kind = 'real' or truth is not null")
+    there = F.col("score").isNotNull()
+    scores = judged.agg(F.count_if(~there).alias("missing_scores"), F.count_if(there & ~tracked()).alias("untracked_scores"), F.count_distinct(F.when(there & tracked(), F.struct("model", "weights", "preprocessing"))).alias("models"))
+    clean = rows.filter("kind = 'real' and score is not null").groupBy("grp").agg(F.max(F.col("score") >= alarm).alias("flagged")).agg(F.count("*").alias("clean_n"), F.count_if("flagged").alias("clean_count"))
+    return rates(groups.join(F.broadcast(scores)).join(F.broadcast(clean)), {"clean": ("clean_count", "clean_n")})
 
 
 def bootstrap_interval(means: DataFrame, draws: int = 1000, seed: int = 17) -> DataFrame:
@@ -353,12 +423,23 @@ def bootstrap_interval(means: DataFrame, draws: int = 1000, seed: int = 17) -> D
     return means.agg(F.count("*").alias("n"), F.avg("mean").alias("mean")).join(F.broadcast(band)).select("n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
-def release_checks(origin: DataFrame, families: DataFrame, editing: DataFrame, claims: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row of booleans: does each area meet its limits and least numbers."""
-    fam = families.agg(F.count("*").alias("families"), F.coalesce(F.min((F.col("recall_n") >= 50) & (F.col("recall_rate") >= 0.7)), F.lit(False)).alias("families_ok"))
-    o = origin.join(F.broadcast(fam))
-    o = o.select(F.coalesce((F.col("fp_n") >= 100) & (F.col("recall_n") >= 100) & (F.col("families") >= 2) & F.col("families_ok") & (F.col("fp_rate") <= 0.05) & (F.col("recall_rate") >= 0.8) & (F.col("uncertain_rate") <= 0.25) & (F.col("missing_real") + F.col("missing_generated") == 0), F.lit(False)).alias("origin"))
-    e = editing.select(F.coalesce((F.col("n") >= 60) & (F.col("mean") >= 0.4), F.lit(False)).alias("editing"))
-    c = claims.select(F.coalesce(F.col("f1") >= 0.85, F.lit(False)).alias("claims"))
-    x = pairs.select(F.coalesce((F.col("cases") >= 120) & (F.col("precision_rate") >= 0.9) & (F.col("recall_rate") >= 0.8), F.lit(False)).alias("crossmodal"), F.coalesce((F.col("cases") >= 60) & (F.col("precision_rate") >= 0.9) & (F.col("recall_rate") >= 0.8) & (F.col("unavailable") == 0), F.lit(False)).alias("context"))
-    return o.join(F.broadcast(e)).join(F.broadcast(c)).join(F.broadcast(x))
+def release_checks(origin: DataFrame, families: DataFrame, editing: DataFrame, claims: DataFrame, pairs: DataFrame, context: DataFrame, unavailable: DataFrame) -> DataFrame:
+    """One row of booleans: does each area meet its limits and least numbers, with nothing missing.
+
+    origin and families: origin_report() whole and by generator; editing: localization(); claims:
+    field_f1() with unsupported, the number of unsupported_claims(); pairs and context: pair_rates()
+    of the cross-modal and of the context pairs; unavailable: one row (origin_tool, editing_tool) of
+    how often each tool was not there. Each table but families has one row; what is null fails.
+    """
+    c = F.col
+    fam = families.agg(F.count("*").alias("families"), F.min(F.coalesce((c("recall_n") >= 50) & (c("recall_rate") >= 0.7), F.lit(False))).alias("families_ok"))
+    tools = unavailable.select("origin_tool", "editing_tool")
+    o = origin.join(F.broadcast(fam)).join(F.broadcast(tools.select("origin_tool"))).select(every(
+        c("fp_n") >= 100, c("recall_n") >= 100, c("families") >= 2, c("families_ok"), c("fp_rate") <= 0.05, c("recall_rate") >= 0.8, c("uncertain_rate") <= 0.25, c("missing_real") == 0, c("missing_generated") == 0, c("origin_tool") == 0).alias("origin"))
+    e = editing.join(F.broadcast(tools.select("editing_tool"))).select(every(
+        c("mask_groups") >= 60, c("clean_n") >= 100, c("mean_iou") >= 0.4, c("clean_rate") <= 0.1, c("missing_scores") == 0, c("missing_masks") == 0, c("untracked_scores") == 0, c("models") == 1, c("editing_tool") == 0).alias("editing"))
+    agreed = [c("precision_rate") >= 0.9, c("recall_rate") >= 0.8]
+    x = pairs.select(c("cases").alias("_cases"), every(c("cases") >= 120, *agreed).alias("crossmodal"))
+    f = claims.join(F.broadcast(x)).select(every(c("_cases") >= 120, c("f1") >= 0.85, c("unsupported") == 0).alias("claims"), "crossmodal")
+    t = context.select(every(c("cases") >= 60, *agreed, c("unavailable") == 0).alias("context"))
+    return o.join(F.broadcast(e)).join(F.broadcast(f)).join(F.broadcast(t))

@@ -49,13 +49,17 @@ def declared_tag(metadata: Column) -> tuple[Column, Column]:
     return F.when(there, label), F.when(there, F.coalesce(label == "1", F.lit(False)))
 
 
+def _has(text: Column, words: list[str]) -> Column:
+    return F.coalesce(F.greatest(*(F.contains(text, F.lit(w)) for w in words)), F.lit(False))
+
+
 def credential_status(stdout: Column, stderr: Column, code: Column) -> tuple[Column, Column]:
-    """Error, missing, present_unverified or present_verified, and is the content declared generated."""
+    """Error, missing, present_unverified or present_verified, and is the content declared generated. Output that hints at no manifest is missing, whatever else it has."""
     found = F.coalesce(F.get_json_object(stdout, "$.active_manifest"), F.get_json_object(stdout, "$.manifest"))
     manifest = F.when(F.coalesce(found, F.lit("")).startswith("{"), F.lower(found))
     verified = F.lower(F.coalesce(F.get_json_object(stdout, "$.validation_status"), F.lit(""))) == "valid"
     says = F.coalesce(F.contains(manifest, F.lit("ai-generated")) | F.contains(manifest, F.lit("ai_generated")) | F.contains(manifest, F.lit("is_ai")) | F.contains(manifest, F.lit('"ai"')), F.lit(False))
-    status = F.when(F.contains(stderr, F.lit("not found")), "error").when((code != 0) | (F.coalesce(stdout, F.lit("")) == "") | manifest.isNull(), "missing").when(verified, "present_verified").otherwise("present_unverified")
+    status = F.when(_has(stderr, lx.NO_TOOL), "error").when((code != 0) | (F.coalesce(stdout, F.lit("")) == "") | _has(F.lower(F.concat(F.coalesce(stdout, F.lit("")), F.coalesce(stderr, F.lit("")))), lx.NO_MANIFEST) | manifest.isNull(), "missing").when(verified, "present_verified").otherwise("present_unverified")
     return status, says & status.startswith("present")
 
 

@@ -233,13 +233,13 @@ T19_SQL = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 2)
 def t20_credentials(spark, sf_dir):
     k = F.col("o_orderkey")
     body = F.concat(F.lit('{"active_manifest": {"title": "a", "note": "'), F.when(k % 3 == 0, "AI-generated").otherwise("camera"), F.lit('"}, "validation_status": "'), F.when(k % 2 == 0, "Valid").otherwise("unknown"), F.lit('"}'))
-    out = F.when(k % 7 == 0, "").when(k % 7 == 1, "not json").when(k % 7 == 2, '{"active_manifest": "x"}').otherwise(body)
-    rows = tb.table(spark, sf_dir, "orders").select("o_orderkey", out.alias("out"), F.when(k % 11 == 0, "tool not found").otherwise("").alias("err"), (k % 5 == 0).cast("int").alias("code"))
+    out = F.when(k % 7 == 0, "").when(k % 7 == 1, "not json").when(k % 7 == 2, '{"active_manifest": "x"}').when(k % 13 == 0, F.replace(body, F.lit("camera"), F.lit("camera, Unable to read"))).otherwise(body)
+    rows = tb.table(spark, sf_dir, "orders").select("o_orderkey", out.alias("out"), F.when(k % 11 == 0, "找不到 c2patool").when(k % 17 == 0, "No claim").otherwise("").alias("err"), (k % 5 == 0).cast("int").alias("code"))
     status, says = tr.credential_status(F.col("out"), F.col("err"), F.col("code"))
     return rows.select("o_orderkey", status.alias("status"), says.alias("declares_ai"))
 
 
-T20_SQL = """WITH s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'error' WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 < 3 THEN 'missing' WHEN o_orderkey % 2 = 0 THEN 'present_verified' ELSE 'present_unverified' END AS status FROM orders)
+T20_SQL = """WITH s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'error' WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 < 3 OR o_orderkey % 17 = 0 OR (o_orderkey % 13 = 0 AND o_orderkey % 3 > 0) THEN 'missing' WHEN o_orderkey % 2 = 0 THEN 'present_verified' ELSE 'present_unverified' END AS status FROM orders)
 SELECT k AS o_orderkey, status, status LIKE 'present%' AND k % 3 = 0 AS declares_ai FROM s"""
 
 

@@ -33,13 +33,16 @@ j AS (SELECT *, split_part(r, ',', 1) AS level, split_part(r, ',', 2) AS reason
 def d1_signals(spark, sf_dir):
     o = tb.table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    e = o.select(k.alias("asset"), F.element_at(F.array(F.lit("origin_v4"), F.lit("origin_v7"), F.lit("other")), (k % 3 + 1).cast("int")).alias("model"), F.when(k % 10 > 0, k % 9 > 0).alias("available"), (k % 4 == 0).alias("review_only"), (k * 7919 % 1000 / 1000).alias("raw_score"))
-    profiles = spark.createDataFrame([("origin_v7", 0.4, 0.8, True), ("other", 0.1, 0.2, False)], "model string, low double, high double, approved boolean")
-    return dc.image_signals(e, profiles)
+    e = o.select(
+        k.alias("asset"), F.element_at(F.array(F.lit("origin_v4"), F.lit("origin_v7"), F.lit("other")), (k % 3 + 1).cast("int")).alias("model"), F.when(k % 8 > 0, F.concat(F.lit("w"), (k % 2).cast("string"))).alias("weights"), F.lit("resize").alias("preprocessing"),
+        F.when(k % 10 > 0, k % 9 > 0).alias("available"), (k % 4 == 0).alias("review_only"), (k * 7919 % 1000 / 1000).alias("raw_score"))
+    profiles = [("origin_v7", "w0", "resize", 0.4, 0.8, True), ("origin_v7", "w0", "resize", 0.4, 0.8, True), ("origin_v7", "w1", "crop", 0.1, 0.2, True), ("other", "w0", "resize", 0.1, 0.2, False), ("other", "w1", "resize", 0.3, 0.2, True), ("origin_v4", "w0", "resize", 0.3, 0.6, True), ("origin_v4", "w0", "resize", 0.2, 0.6, True), ("origin_v4", "w1", "resize", 0.2, 0.7, True), ("origin_v4", None, "resize", 0.0, 0.1, True)]
+    return dc.image_signals(e, spark.createDataFrame(profiles, "model string, weights string, preprocessing string, low double, high double, approved boolean"))
 
 
-D1_SQL = """WITH e AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 OR o_orderkey % 9 > 0 THEN o_orderkey * 7919 % 1000 / 1000 END AS s FROM orders)
-SELECT k AS asset, s AS score, CASE WHEN k % 3 = 0 AND k % 4 > 0 THEN s END AS decision_score, CASE WHEN s IS NULL THEN 'unavailable' WHEN k % 3 <> 1 THEN 'uncalibrated' WHEN s >= 0.8 THEN 'likely' WHEN s >= 0.4 THEN 'uncertain' ELSE 'no_signal' END AS status FROM e"""
+D1_SQL = """WITH e AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 OR o_orderkey % 9 > 0 THEN o_orderkey * 7919 % 1000 / 1000 END AS s, CASE WHEN o_orderkey % 8 > 0 THEN 'w' || o_orderkey % 2 END AS w FROM orders),
+p AS (SELECT *, CASE WHEN k % 3 = 1 AND w = 'w0' THEN 0.4 WHEN k % 3 = 0 AND w = 'w1' THEN 0.2 END AS low, CASE WHEN k % 3 = 1 AND w = 'w0' THEN 0.8 WHEN k % 3 = 0 AND w = 'w1' THEN 0.7 END AS high FROM e)
+SELECT k AS asset, s AS score, CASE WHEN k % 3 = 0 AND k % 4 > 0 AND low IS NULL THEN s END AS decision_score, CASE WHEN s IS NULL THEN 'unavailable' WHEN low IS NULL THEN 'uncalibrated' WHEN s >= high THEN 'likely' WHEN s >= low THEN 'uncertain' ELSE 'no_signal' END AS status FROM p"""
 
 
 def d2_verdicts(spark, sf_dir):

@@ -74,17 +74,41 @@ A12_SQL = f"""{S}, sliced AS (SELECT *, unnest(['tag:' || tag, 'generator:' || g
 
 
 def _claims(spark, sf_dir):
+    """Expected and predicted claims of orders' lines, with all fields and nulls and empty lists among them."""
     c = tb.captions(spark, sf_dir)
-    base = c.select(F.col("asset").alias("case"), F.col("line").cast("string").alias("quote"), F.concat(F.lit("P"), F.col("part").cast("string")).alias("product"), F.lit("moist").alias("metric"), F.lit("%").alias("unit"), F.col("days").cast("string").alias("duration"), "value", "image_value")
-    return base.drop("image_value"), base.filter("image_value is not null").drop("value").withColumnRenamed("image_value", "value")
+    line, days = F.col("line"), F.col("days")
+    base = c.select(
+        F.col("asset").alias("case"), line.cast("string").alias("quote"), F.lit("copy").alias("source"), F.concat(F.lit("P"), F.col("part").cast("string")).alias("product"), F.when(line % 2 == 0, "v1").alias("product_version"), F.lit("moist").alias("metric"), F.lit("%").alias("unit"),
+        days.alias("duration_days"), F.when(line == 3, "red").alias("variant"), F.lit(None).cast("string").alias("population"), F.when(line % 3 == 0, F.array(F.lit("dry"), F.lit("cold"))).otherwise(F.array().cast("array<string>")).alias("conditions"), "value", "image_value", "kind")
+    expected = base.drop("image_value", "kind")
+    predicted = base.filter("image_value is not null").withColumns({"value": F.col("image_value"), "variant": F.when(F.col("kind") > 0, F.col("variant"))}).drop("image_value", "kind")
+    return expected, predicted
+
+
+def _supported(spark, sf_dir):
+    """Claims called supported, and their references with each fault in turn."""
+    c = tb.captions(spark, sf_dir)
+    key = F.col("asset") + F.col("line")
+    claims = c.select(F.col("asset").alias("case"), F.col("line").alias("claim"), F.when(key % 3 > 0, "supported").otherwise("insufficient").alias("status"), F.when(key % 29 > 0, "CN").otherwise("").alias("market"), F.when(key % 5 > 0, "v1").alias("product_version"))
+    at = lambda n, bad, good: F.when(key % 11 == n, bad).otherwise(good)
+    refs = c.select(
+        F.col("asset").alias("case"), F.col("line").alias("claim"), at(1, "brand", "reviewer_verified").alias("verification"), at(2, "advert", "efficacy_study").alias("source_type"), at(3, "", "lab").alias("source"), at(4, F.lit(None), "p. 1").alias("locator"),
+        at(5, F.lit(None), key % 7 > 0).alias("matches"), at(6, "US", F.when(key % 29 > 0, "CN").otherwise("")).alias("market"), at(7, "v2", "v1").alias("product_version"))
+    return claims, refs
 
 
 def a13_field_f1(spark, sf_dir):
-    return rounded(ev.field_f1(*_claims(spark, sf_dir)))
+    n = ev.unsupported_claims(*_supported(spark, sf_dir)).agg(F.count("*").alias("unsupported"))
+    return rounded(ev.field_f1(*_claims(spark, sf_dir)).join(F.broadcast(n)))
 
 
-A13_BODY = "SELECT 5 * count(*) AS labels, 5 * count(image_value) AS predicted, 4 * count(image_value) + count(*) FILTER (image_value = value) AS matched FROM caption"
-A13_SQL = f"WITH {tb.CAPTIONS_SQL}, m AS ({A13_BODY}) SELECT labels, predicted, matched, round(2 * matched / nullif(labels + predicted, 0), 6) AS f1 FROM m"
+A13_CTE = """k13 AS (SELECT asset, line, 'copy' AS source, line::VARCHAR AS quote, 'P' || part AS product, CASE WHEN line % 2 = 0 THEN 'v1' END AS product_version, 'moist' AS metric, value::VARCHAR AS value, image_value::VARCHAR AS image_value, '%' AS unit, days::VARCHAR AS days,
+  CASE WHEN line = 3 THEN 'red' END AS variant, CASE WHEN line = 3 AND kind > 0 THEN 'red' END AS seen_variant, CASE WHEN line % 3 = 0 THEN '["dry","cold"]' END AS conditions FROM caption),
+x13 AS (SELECT DISTINCT asset, quote, unnest(['source', 'quote', 'product', 'product_version', 'metric', 'value', 'unit', 'duration_days', 'variant', 'conditions']) AS f, unnest([source, quote, product, product_version, metric, value, unit, days, variant, conditions]) AS v FROM k13),
+y13 AS (SELECT DISTINCT asset, quote, unnest(['source', 'quote', 'product', 'product_version', 'metric', 'value', 'unit', 'duration_days', 'variant', 'conditions']) AS f, unnest([source, quote, product, product_version, metric, image_value, unit, days, seen_variant, conditions]) AS v FROM k13 WHERE image_value IS NOT NULL),
+m13 AS (SELECT (SELECT count(v) FROM x13) AS labels, (SELECT count(v) FROM y13) AS predicted, (SELECT count(*) FROM x13 JOIN y13 USING (asset, quote, f, v)) AS matched),
+u13 AS (SELECT count(*) AS unsupported FROM (SELECT asset + line AS k FROM caption) WHERE k % 3 > 0 AND NOT (k % 11 NOT IN (1, 2, 3, 4, 5, 6, 7) AND k % 7 > 0 AND k % 29 > 0 AND k % 5 > 0))"""
+A13_SQL = f"WITH {tb.CAPTIONS_SQL}, {A13_CTE} SELECT labels, predicted, matched, round(2 * matched / nullif(labels + predicted, 0), 6) AS f1, unsupported FROM m13, u13"
 
 
 def _pairs(spark, sf_dir):
@@ -101,53 +125,85 @@ r AS (SELECT set, count(*) AS cases, count(*) FILTER (found) AS precision_n, cou
 A14_SQL = f"{S}, {A14_CTE} SELECT set, cases, precision_n, precision_count, recall_n, recall_count, unavailable, {_rates_sql('precision', 'recall')} FROM r"
 
 
-def _masks(spark, sf_dir):
-    e = tb.table(spark, sf_dir, "embeddings")
-    grid = F.transform("embedding", lambda x: x > 0)
-    other = F.transform("embedding", lambda x, i: (x + F.when(i % 3 == 0, 0.2).otherwise(-0.05)) > 0.05)
-    return e.select("vec_id", (F.col("vec_id") % 97).alias("grp"), ev.mask_iou(grid, other).alias("iou"))
+def _edits(spark, sf_dir):
+    """Edited and clean images rendered from embeddings: 8 x 8 masks, and scores, masks and identities that are missing for some."""
+    e, k = tb.table(spark, sf_dir, "embeddings"), F.col("vec_id")
+
+    def mask(cells):
+        return F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), ev.packed(cells).alias("bits"))
+
+    grid = mask(F.transform("embedding", lambda x: x > 0))
+    other = mask(F.transform("embedding", lambda x, i: (x + F.when(i % 3 == 0, 0.2).otherwise(-0.05)) > 0.05))
+    score = F.when(k % 31 > 0, F.when(k % 4 == 0, k * 7919 % 1000 / 1800).otherwise(0.4 + k * 7919 % 1000 / 1000))
+    return e.select(
+        k.alias("id"), (k % 97).alias("grp"), F.when(k % 4 == 0, "real").otherwise("edited").alias("kind"), score.alias("score"), F.when(k % 5 == 0, "m2").otherwise("m1").alias("model"), F.when(k % 23 > 0, "w").otherwise("").alias("weights"), F.when(k % 19 > 0, "p").alias("preprocessing"),
+        F.when(k % 4 > 0, grid).alias("truth"), F.when(k % 13 > 0, other).alias("predicted"))
+
+
+EDITS_SQL = """edit AS (
+  SELECT vec_id AS k, vec_id % 97 AS grp, CASE WHEN vec_id % 31 > 0 THEN CASE WHEN vec_id % 4 = 0 THEN vec_id * 7919 % 1000 / 1800 ELSE 0.4::DOUBLE + vec_id * 7919 % 1000 / 1000 END END AS score, vec_id % 23 > 0 AND vec_id % 19 > 0 AS tracked, vec_id % 5 = 0 AS m2,
+         [x > 0 for x in embedding] AS a, [(x::DOUBLE + CASE WHEN (i - 1) % 3 = 0 THEN 0.2 ELSE -0.05 END) > 0.05 for x, i in embedding] AS b FROM embeddings),
+mask AS (SELECT grp, coalesce(score >= 0.5, false) AS found, k % 13 > 0 AS there, len([i for i in range(1, len(a) + 1) if a[i] AND b[i]]) / nullif(len([i for i in range(1, len(a) + 1) if a[i] OR b[i]]), 0) AS iou FROM edit WHERE k % 4 > 0),
+bygrp AS (SELECT grp, count(*) AS masks, avg(CASE WHEN found AND there THEN iou ELSE 0 END) AS mean_iou, count(*) FILTER (found AND NOT there) AS missing_masks FROM mask GROUP BY grp),
+local AS (
+  SELECT (SELECT count(*) FROM bygrp) AS mask_groups, (SELECT avg(mean_iou) FROM bygrp) AS mean_iou, (SELECT coalesce(sum(missing_masks), 0)::BIGINT FROM bygrp) AS missing_masks, count(*) FILTER (score IS NULL) AS missing_scores, count(*) FILTER (score IS NOT NULL AND NOT tracked) AS untracked_scores,
+         count(DISTINCT CASE WHEN score IS NOT NULL AND tracked THEN m2 END) AS models, (SELECT count(*) FROM (SELECT grp FROM edit WHERE k % 4 = 0 AND score IS NOT NULL GROUP BY grp)) AS clean_n,
+         (SELECT count(*) FROM (SELECT grp FROM edit WHERE k % 4 = 0 AND score IS NOT NULL GROUP BY grp HAVING max(score) >= 0.5)) AS clean_count FROM edit)"""
 
 
 def a15_mask_iou(spark, sf_dir):
-    return rounded(_masks(spark, sf_dir).groupBy("grp").agg(F.count("*").alias("masks"), F.avg("iou").alias("mean_iou")))
+    return rounded(ev.localized(_edits(spark, sf_dir)))
+
+
+A15_SQL = f"WITH {EDITS_SQL} SELECT grp, masks, round(mean_iou, 6) AS mean_iou, missing_masks FROM bygrp"
 
 
-A15_SQL = """
-WITH m AS (SELECT vec_id % 97 AS grp, [x > 0 for x in embedding] AS a, [(x::DOUBLE + CASE WHEN (i - 1) % 3 = 0 THEN 0.2 ELSE -0.05 END) > 0.05 for x, i in embedding] AS b FROM embeddings),
-u AS (SELECT grp, len([i for i in range(1, len(a) + 1) if a[i] AND b[i]]) / nullif(len([i for i in range(1, len(a) + 1) if a[i] OR b[i]]), 0) AS iou FROM m)
-SELECT grp, count(*) AS masks, round(avg(iou), 6) AS mean_iou FROM u GROUP BY grp"""
+def a15_localization(spark, sf_dir):
+    return rounded(ev.localization(_edits(spark, sf_dir)))
+
+
+A15L_SQL = f"WITH {EDITS_SQL} SELECT mask_groups, round(mean_iou, 6) AS mean_iou, missing_masks, missing_scores, untracked_scores, models, clean_n, clean_count, {_rates_sql('clean')} FROM local"
 
 
 def a15_bootstrap(spark, sf_dir):
-    means = _masks(spark, sf_dir).groupBy("grp").agg(F.avg("iou").alias("mean"))
-    return rounded(ev.bootstrap_interval(means))
+    return rounded(ev.bootstrap_interval(ev.localized(_edits(spark, sf_dir)).select("grp", F.col("mean_iou").alias("mean"))))
 
 
-def a16_release_checks(spark, sf_dir):
+def _context(spark, sf_dir):
+    s = tb.scores(spark, sf_dir)
+    return s.filter("set = 1").select((F.col("qty") % 3 == 0).alias("truth"), (F.col("qty") % 3 == 0).alias("found"), F.lit(False).alias("unavailable"))
+
+
+def _release(spark, sf_dir):
     s = _small(spark, sf_dir)
     origin = ev.origin_report(s, 0.3, 0.7)
     families = ev.origin_report(s.filter("kind = 'generated'"), 0.3, 0.7, ["generator"])
-    editing = _masks(spark, sf_dir).groupBy("grp").agg(F.avg("iou").alias("m")).agg(F.count("*").alias("n"), F.avg("m").alias("mean"))
-    return ev.release_checks(origin, families, editing, ev.field_f1(*_claims(spark, sf_dir)), ev.pair_rates(_pairs(spark, sf_dir)))
+    n = ev.unsupported_claims(*_supported(spark, sf_dir)).filter("`case` < 0").agg(F.count("*").alias("unsupported"))
+    claims = ev.field_f1(*_claims(spark, sf_dir)).join(F.broadcast(n))
+    tools = s.agg(F.count_if(F.col("score").isNull()).alias("origin_tool"), F.lit(0).alias("editing_tool"))
+    return origin, families, ev.localization(_edits(spark, sf_dir)), claims, ev.pair_rates(_pairs(spark, sf_dir)), ev.pair_rates(_context(spark, sf_dir)), tools
+
+
+def a16_release_checks(spark, sf_dir):
+    return ev.release_checks(*_release(spark, sf_dir))
 
 
-A16_SQL = f"""{S}, {tb.CAPTIONS_SQL}, {_origin_sql(rows=SMALL)},
-fam AS (SELECT generator, count(*) AS n, count(*) FILTER (m = 0) AS rn, count(*) FILTER (m = 0 AND l >= 0.7) AS rc FROM (SELECT generator, grp, count(*) FILTER (score IS NULL) AS m, min(score) AS l FROM {SMALL} WHERE kind = 'generated' GROUP BY ALL) GROUP BY generator),
-f AS (SELECT count(*) AS families, coalesce(min((rn >= 50 AND rc / nullif(rn, 0) >= 0.7)::INT) = 1, false) AS ok FROM fam),
-mk AS (SELECT vec_id % 97 AS grp, [x > 0 for x in embedding] AS a, [(x::DOUBLE + CASE WHEN (i - 1) % 3 = 0 THEN 0.2 ELSE -0.05 END) > 0.05 for x, i in embedding] AS b FROM embeddings),
-e AS (SELECT count(*) AS n, avg(m) AS mean FROM (SELECT grp, avg(len([i for i in range(1, len(a) + 1) if a[i] AND b[i]]) / nullif(len([i for i in range(1, len(a) + 1) if a[i] OR b[i]]), 0)) AS m FROM mk GROUP BY grp)),
-c AS ({A13_BODY}),
-x AS (SELECT count(*) AS cases, count(*) FILTER (found) AS pn, count(*) FILTER (truth AND found) AS k, count(*) FILTER (truth) AS rn, count(*) FILTER (unavailable) AS un FROM (SELECT qty % 3 = 0 AS truth, coalesce(score, 0) >= 0.6 AS found, score IS NULL AS unavailable FROM score))
-SELECT coalesce(fp_n >= 100 AND recall_n >= 100 AND families >= 2 AND ok AND fp_count / nullif(fp_n, 0) <= 0.05 AND recall_count / nullif(recall_n, 0) >= 0.8 AND uncertain_count / uncertain_n <= 0.25 AND missing_real + missing_generated = 0, false) AS origin,
-  coalesce(e.n >= 60 AND e.mean >= 0.4, false) AS editing, coalesce(2 * matched / (labels + predicted) >= 0.85, false) AS claims,
-  coalesce(cases >= 120 AND k / pn >= 0.9 AND k / rn >= 0.8, false) AS crossmodal, coalesce(cases >= 60 AND k / pn >= 0.9 AND k / rn >= 0.8 AND un = 0, false) AS context
-FROM origin, f, e, c, x"""
+A16_SQL = f"""{S}, {tb.CAPTIONS_SQL}, {_origin_sql(rows=SMALL)}, {EDITS_SQL}, {A13_CTE},
+fam AS (SELECT generator, count(*) FILTER (m = 0) AS rn, count(*) FILTER (m = 0 AND l >= 0.7) AS rc FROM (SELECT generator, grp, count(*) FILTER (score IS NULL) AS m, min(score) AS l FROM {SMALL} WHERE kind = 'generated' GROUP BY ALL) GROUP BY generator),
+f AS (SELECT count(*) AS families, count(*) FILTER (rn >= 50 AND rc / rn >= 0.7) AS good FROM fam),
+x AS (SELECT count(*) AS cases, count(*) FILTER (found) AS pn, count(*) FILTER (truth AND found) AS k, count(*) FILTER (truth) AS rn FROM (SELECT qty % 3 = 0 AS truth, coalesce(score, 0) >= 0.6 AS found FROM score)),
+t AS (SELECT count(*) AS cases, count(*) FILTER (qty % 3 = 0) AS hits FROM score WHERE set = 1)
+SELECT coalesce(fp_n >= 100 AND recall_n >= 100 AND families >= 2 AND good = families AND fp_count / fp_n <= 0.05 AND recall_count / recall_n >= 0.8 AND uncertain_count / uncertain_n <= 0.25 AND missing_real = 0 AND missing_generated = 0 AND (SELECT count(*) FROM score WHERE score IS NULL) = 0, false) AS origin,
+  coalesce(mask_groups >= 60 AND clean_n >= 100 AND mean_iou >= 0.4 AND clean_count / clean_n <= 0.1 AND missing_scores = 0 AND missing_masks = 0 AND untracked_scores = 0 AND models = 1, false) AS editing,
+  coalesce(x.cases >= 120 AND 2 * matched / (labels + predicted) >= 0.85, false) AS claims,
+  coalesce(x.cases >= 120 AND k / pn >= 0.9 AND k / rn >= 0.8, false) AS crossmodal, t.cases >= 60 AND hits > 0 AS context
+FROM origin, f, local, m13, x, t"""
 
 
 def a17_calibration(spark, sf_dir):
     # a score that separates the kinds with some overlap, so that thresholds exist
     s = tb.scores(spark, sf_dir).filter("score is not null").withColumn("score", F.when(F.col("kind") == "real", F.col("score") * 0.55).otherwise(0.5 + F.col("score") * 0.5)).withColumn("score", F.round("score", 4))
-    return rounded(ev.calibrated(s.withColumn("grp", F.floor(F.col("file") / 8))))
+    return rounded(ev.calibrated(s.withColumn("grp", F.floor(F.col("file") / 8)).withColumns({"model": F.lit("m"), "weights": F.lit("w"), "preprocessing": F.lit("p")})))
 
 
 A17_SQL = f"""{S}, s AS (SELECT file // 8 AS grp, kind, round(CASE WHEN kind = 'real' THEN score * 0.55 ELSE 0.5 + score * 0.5 END, 4) AS score FROM score WHERE score IS NOT NULL),
@@ -157,7 +213,7 @@ m AS (SELECT t, (SELECT count(*) FROM r WHERE top >= t) / (SELECT count(*) FROM
 b AS (SELECT t AS high, fp_rate, recall FROM m WHERE fp_rate <= 0.05 AND recall >= 0.8 ORDER BY recall DESC, fp_rate, t DESC LIMIT 1),
 near AS (SELECT grp, max(score) FILTER (score < high) AS near FROM s, b GROUP BY grp),
 l AS (SELECT min(t) AS low FROM cand, b WHERE t <= high AND (SELECT count(*) FROM near WHERE near >= t) <= 0.25 * (SELECT count(*) FROM near))
-SELECT round(low, 6) AS low, round(high, 6) AS high, round(fp_rate, 6) AS fp_rate, round(recall, 6) AS recall FROM b, l"""
+SELECT 'm' AS model, 'w' AS weights, 'p' AS preprocessing, round(low, 6) AS low, round(high, 6) AS high, round(fp_rate, 6) AS fp_rate, round(recall, 6) AS recall, false AS approved FROM b, l"""
 
 
 def a18_sweep(spark, sf_dir):
@@ -379,7 +435,7 @@ SELECT round(a, 6) AS real_least, round(b, 6) AS real_mean, round(c, 6) AS real_
 
 QUERIES = {
     "a10_wilson": (a10_wilson, A10_SQL), "a11_origin_report": (a11_origin_report, A11_SQL), "a12_origin_by_tag": (a12_origin_by_tag, A12_SQL), "a13_field_f1": (a13_field_f1, A13_SQL),
-    "a14_pair_rates": (a14_pair_rates, A14_SQL), "a15_mask_iou": (a15_mask_iou, A15_SQL), "a15_bootstrap": (a15_bootstrap, None), "a16_release_checks": (a16_release_checks, A16_SQL),
+    "a14_pair_rates": (a14_pair_rates, A14_SQL), "a15_mask_iou": (a15_mask_iou, A15_SQL), "a15_localization": (a15_localization, A15L_SQL), "a15_bootstrap": (a15_bootstrap, None), "a16_release_checks": (a16_release_checks, A16_SQL),
     "a17_calibration": (a17_calibration, A17_SQL), "a18_sweep": (a18_sweep, A18_SQL), "a18_sweep_verdict": (a18_sweep_verdict, A18V_SQL), "a19_auc": (a19_auc, A19_SQL), "a20_policies": (a20_policies, A20_SQL),
     "a21_ablation": (a21_ablation, A21_SQL), "a22_band_policy": (a22_band_policy, A22_SQL), "a22_band_adoption": (a22_band_adoption, A22V_SQL), "a23_set_statistics": (a23_set_statistics, A23_SQL),
     "a23_misses": (a23_misses, A23M_SQL), "a24_promotion": (a24_promotion, A24_SQL), "a25_dataset_report": (a25_dataset_report, A25_SQL), "a26_dispositions": (a26_dispositions, A26_SQL),
