@@ -1,6 +1,7 @@
 """Text scanning: clauses with spans, a scanner for tables of patterns, stances, and the parts of claims.
 
-One Arrow helper finds where the patterns of a table match in a text's clauses; texts and clauses
+Arrow helpers find where the patterns of a table, or the words of a list (by one automaton), match in
+a text's clauses; texts and clauses
 without a word that a match needs are left out before. What a match means (stance, severity, metric,
 product, period, version) are column expressions over its row. Places count characters from 0.
 """
@@ -9,7 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +59,6 @@ def _reported(text: str) -> list[tuple[int, int]]:
 def _scanner(patterns: list[tuple[str, tuple[str, ...]]], hint: str, compatible: bool) -> Callable[[pa.Array], pa.Array]:
     """From texts to lists of MATCH rows: what each pattern of the table finds in the clauses that hint matches and that have one of the pattern's words."""
     table, need, clause = [(re.compile(p), words) for p, words in patterns], re.compile(hint), re.compile(f"[^{lx.STOPS}]+")
-    names = [x.split()[0] for x in MATCH.split(", ")]
-    kinds = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in MATCH.split(", ")]
 
     def of_text(text: str) -> list[tuple]:
         rows, spans = [], None
@@ -78,13 +79,68 @@ def _scanner(patterns: list[tuple[str, tuple[str, ...]]], hint: str, compatible:
                     seen |= 1 << i
         return rows
 
-    def scan(texts: pa.Array) -> pa.Array:
-        found = [of_text(t) if t else [] for t in texts.to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(rows) for rows in found])]).astype(np.int32)
-        cols = list(zip(*(r for rows in found for r in rows), strict=True)) or [()] * len(names)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names))
+    return lambda texts: _listed(texts, of_text)
+
 
-    return scan
+def _listed(texts: pa.Array, of_text: Callable[[str], list[tuple]]) -> pa.Array:
+    """Lists of MATCH rows of texts."""
+    names = [x.split()[0] for x in MATCH.split(", ")]
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in MATCH.split(", ")]
+    found = [of_text(t) if t else [] for t in texts.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum([len(rows) for rows in found])]).astype(np.int32)
+    cols = list(zip(*(r for rows in found for r in rows), strict=True)) or [()] * len(names)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names))
+
+
+@lru_cache(8)
+def _automaton(words: tuple[str, ...]):
+    """Of all words, each with its entries; built once in a Python worker. None without words."""
+    import ahocorasick
+
+    entries: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        entries.setdefault(w, []).append(i)
+    entries.pop("", None)
+    out = ahocorasick.Automaton()
+    for w, own in entries.items():
+        out.add_word(w, (len(w), own))
+    out.make_automaton()
+    return out if entries else None
+
+
+def _words_of(text: str, words: tuple[str, ...]) -> list[tuple]:
+    """MATCH rows of words: one pass over the text, whatever the number of words. Matches across ends of clauses don't count, nor do those of a word that overlap its match before."""
+    automaton = _automaton(words)
+    hits = [(end - n + 1, end + 1, i) for end, (n, own) in automaton.iter(text) for i in own] if automaton else []
+    if not hits:
+        return []
+    clauses = list(re.finditer(f"[^{lx.STOPS}]+", text))
+    starts, spans = [c.start() for c in clauses], _reported(text)
+    inside = []
+    for at, end, i in hits:
+        nth = bisect_right(starts, at) - 1
+        if nth >= 0 and end <= clauses[nth].end():
+            inside.append((nth, i, at, end))
+    rows, last, k = [], None, 0
+    for nth, i, at, end in sorted(inside):
+        k = k + 1 if last and last[:2] == (nth, i) else 0
+        if k and at < last[2]:
+            k -= 1
+            continue
+        last, c = (nth, i, end), clauses[nth]
+        rows.append((nth, c[0], c[0], c.start(), text[c.end() : c.end() + 1], i, k, 0, at - c.start(), None, None, None, any(a < at < b for a, b in spans), text[max(0, at - 12) : end + 12]))
+    return rows
+
+
+#: Words beyond which texts reach the automaton without a test in the JVM, whose patterns try word after word.
+TESTED_WORDS = 200
+
+
+def words_found(text: Column, words: list[str]) -> Column:
+    """Array of MATCH rows for words, in the order of clause, word and place; seen is 0."""
+    own = tuple(words)
+    scan = F.arrow_udf(lambda texts: _listed(texts, lambda t: _words_of(t, own)), f"array<struct<{MATCH}>>")
+    return scan(F.when(text.rlike(_either(dict.fromkeys(w for w in own if w))), text) if 0 < len(own) <= TESTED_WORDS else text)
 
 
 def found(text: Column, patterns: list[tuple[str, tuple[str, ...]]], hint: str, compatible: bool = False) -> Column:
@@ -104,7 +160,7 @@ def scanned(text: Column, words: dict[str, list[str]] | None = None, severity: d
     words, severity = words or lx.CLAIM_WORDS, severity or lx.CLAIM_SEVERITY
     entries = [(category, word) for category, ws in words.items() for word in ws]
     columns = [F.array(*map(F.lit, xs)) for xs in ([c for c, _ in entries], [w for _, w in entries], [severity[c] for c, _ in entries])]
-    rows = F.transform(found(text, [(re.escape(w), (w,)) for _, w in entries], _either(dict.fromkeys(w for _, w in entries))), lambda r: F.struct(r["entry"].alias("entry"), stance(r).alias("stance"), (r["start"] + r["at"]).alias("position"), r["context"].alias("context")))
+    rows = F.transform(words_found(text, [w for _, w in entries]), lambda r: F.struct(r["entry"].alias("entry"), stance(r).alias("stance"), (r["start"] + r["at"]).alias("position"), r["context"].alias("context")))
 
     def hit(r: Column) -> Column:
         category, word, level = (F.get(c, r["entry"]) for c in columns)
@@ -116,7 +172,7 @@ def scanned(text: Column, words: dict[str, list[str]] | None = None, severity: d
 def marked(text: Column, markers: list[str], negations: list[str] | None = None) -> Column:
     """Distinct markers in the order of place, the first one's place and context, and how many were denied or not asserted."""
     before, names = rf"(?:{_either(negations or lx.MARKER_NEGATIONS)})\z", F.array(*map(F.lit, markers))
-    rows = F.transform(found(F.coalesce(text, F.lit("")), [(re.escape(w), (w,)) for w in markers], _either(markers)), lambda r: F.struct(
+    rows = F.transform(words_found(F.coalesce(text, F.lit("")), markers), lambda r: F.struct(
         (r["start"] + r["at"]).alias("at"), r["entry"].alias("entry"), (~F.left(r["quote"], r["at"]).rlike(before) & (stance(r) == "asserted")).alias("good"), r["context"].alias("context")))
 
     def merged(rs: Column) -> Column:

@@ -6,6 +6,8 @@ days, population, conditions, metric, variant, value, shade, unit and stance.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,22 +171,71 @@ def span_lines(lines: DataFrame, spans: DataFrame) -> DataFrame:
 def eligible_references(posts: DataFrame, refs: DataFrame, keep: int = 8) -> DataFrame:
     """References of a post's product and market and a compatible version: chosen ones first, then in catalogue order; total before the cut.
 
-    posts: post, product, market, version (or null), chosen (ids in order); refs: ref_id, ord, product, market, version.
+    posts: post (unique), product, market, version (or null), chosen (ids in order); refs: ref_id
+    (unique), ord, product, market, version. A version that is null is compatible with any.
+    A post meets lists of at most keep references, made once for each product, market and version,
+    and its own chosen ones by an equi-join on ref_id; so a product with very many references and
+    posts has no row for each pair of them.
+    """
+    place, key = F.struct("ord", "ref_id"), ["product", "market"]
+
+    def firsts(df: DataFrame, by: list[str]) -> DataFrame:
+        """The keep first references by a key, as rows; the limit is applied before rows are shuffled."""
+        w = Window.partitionBy(*by).orderBy("ord", "ref_id")
+        return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= keep).drop("_n")
+
+    def lists(df: DataFrame, by: list[str], name: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.array_sort(F.collect_list(place)).alias(name))
+
+    counts = refs.groupBy(*key, "version").agg(F.count("*").alias("n"))
+    totals = counts.groupBy(*key).agg(F.sum("n").alias("all_n"), F.coalesce(F.sum(F.when(F.col("version").isNull(), F.col("n"))), F.lit(0)).alias("open_n"))
+    best = firsts(refs.select(*key, "version", "ord", "ref_id"), [*key, "version"])
+    by_product = totals.join(lists(firsts(best, key), key, "all_list"), key).join(lists(best.filter("version is null"), key, "open_list"), key, "left")
+    by_version = counts.filter("version is not null").join(lists(best.filter("version is not null"), [*key, "version"], "own_list"), [*key, "version"]).withColumnRenamed("n", "own_n")
+    met = posts.join(by_product, key).join(by_version, [*key, "version"], "left")
+    none = F.slice("all_list", 1, 0)
+    some = met.select(
+        "post", *key, "version", "chosen", F.when(F.col("version").isNull(), F.col("all_n")).otherwise(F.col("open_n") + F.coalesce("own_n", F.lit(0))).alias("total"),
+        F.when(F.col("version").isNull(), F.col("all_list")).otherwise(F.slice(F.array_sort(F.concat(F.coalesce("open_list", none), F.coalesce("own_list", none))), 1, keep)).alias("listed"))
+    asked = some.select("post", *key, "version", F.posexplode(F.array_distinct("chosen")).alias("nth", "ref_id"))
+    r = refs.select("ref_id", *(F.col(c).alias(f"ref_{c}") for c in (*key, "version")))
+    fits = (F.col("product") == F.col("ref_product")) & (F.col("market") == F.col("ref_market")) & (F.col("version").isNull() | F.col("ref_version").isNull() | (F.col("version") == F.col("ref_version")))
+    chosen = asked.join(r, "ref_id").filter(fits).groupBy("post").agg(F.array_sort(F.collect_list(F.struct("nth", "ref_id"))).alias("picked"))
+    out = some.join(chosen, "post", "left").withColumn("first", F.coalesce(F.col("picked.ref_id"), F.slice("listed.ref_id", 1, 0)))
+    rest = F.filter(F.col("listed.ref_id"), lambda x: ~F.array_contains("first", x))
+    return out.select("post", "total", F.posexplode(F.slice(F.concat("first", rest), 1, keep)).alias("place", "ref_id")).select("post", "ref_id", (F.col("place") + 1).alias("place"), "total")
+
+
+#: What of a reference goes with a finding, where it is given.
+CONDITIONS = ("version", "product_version", "market", "method", "sample", "population", "period", "conditions")
+
+
+def occurrences(text: Column, part: Column) -> Column:
+    """How often part occurs in text without overlap, from the left; null for an empty part."""
+    return F.when(F.length(part) > 0, ((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("long"))
+
+
+def anchored(rows: DataFrame, refs: DataFrame, types: tuple[str, ...], default: str, body: str = "正文", longest: int = 500) -> DataFrame:
+    """Model findings whose two quotes each stand exactly once where they should.
+
+    rows: doc, text, quote, other_quote, ref_id (null or empty: none), type, reason; refs: ref_id
+    (unique), excerpt, source, source_type, locator and CONDITIONS, as strings. quote must stand once in
+    the text; other_quote once in the reference's excerpt or, without a reference, in the text, and
+    differ from quote. Blank quotes or reasons and unknown references are refused; unknown types
+    become the default, and reasons are cut. Result: doc, type, quote, other_quote, reason, ref_id,
+    source, source_type, locator, reference_conditions (a map of those that are given).
     """
-    r = refs.withColumnRenamed("version", "ref_version")
-    both = posts.join(r, ["product", "market"]).filter("version is null or ref_version is null or version = ref_version")
-    manual = F.array_position("chosen", F.col("ref_id"))
-    w = Window.partitionBy("post")
-    ranked = both.withColumn("place", F.row_number().over(w.orderBy(F.when(manual > 0, manual).otherwise(F.lit(1 << 30)), "ord"))).withColumn("total", F.count("*").over(w))
-    return ranked.filter(F.col("place") <= keep).select("post", "ref_id", "place", "total")
-
-
-def anchored(rows: DataFrame, known: DataFrame, types: tuple[str, ...], default: str, longest: int = 500) -> DataFrame:
-    """Model rows (doc, text, quote, ref_id or null, type, reason) whose quote occurs exactly once and whose reference exists; unknown types become the default, reasons are cut."""
-    once = F.length("text") - F.length(F.replace("text", F.col("quote"), F.lit(""))) == F.length("quote")
-    found = rows.filter(F.length("quote") > 0).filter(once).join(known.select("ref_id").distinct().withColumn("there", F.lit(True)), "ref_id", "left")
-    ok = found.filter("ref_id is null or there")
-    return ok.select("doc", "quote", "ref_id", F.when(F.col("type").isin(*types), F.col("type")).otherwise(default).alias("type"), F.substring("reason", 1, longest).alias("reason"))
+    said = [F.coalesce(F.col(c).rlike(r"(?U)\S"), F.lit(False)) for c in ("quote", "other_quote", "reason")]
+    asked = rows.filter(reduce(Column.__and__, said)).withColumn("ref_id", F.nullif(F.col("ref_id").cast("string"), F.lit("")))
+    asked = asked.filter(occurrences(F.col("text"), F.col("quote")) == 1)  # before texts meet references
+    known = refs.select(F.col("ref_id").cast("string").alias("ref_id"), "excerpt", F.col("source").alias("ref_source"), "source_type", "locator", *CONDITIONS, F.lit(True).alias("there"))
+    found = asked.join(known, "ref_id", "left").filter("ref_id is null or there")
+    once = occurrences(F.coalesce("excerpt", F.when(F.col("ref_id").isNull(), F.col("text"))), F.col("other_quote")) == 1
+    found = found.filter(once & (F.col("ref_id").isNotNull() | (F.col("quote") != F.col("other_quote"))))
+    given = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in CONDITIONS)), lambda x: F.length(x["value"]) > 0))
+    return found.select(
+        "doc", F.when(F.col("type").isin(*types), F.col("type")).otherwise(default).alias("type"), "quote", "other_quote", F.substring("reason", 1, longest).alias("reason"), "ref_id",
+        F.when(F.col("ref_id").isNull(), F.lit(body)).otherwise(F.col("ref_source")).alias("source"), "source_type", "locator", given.alias("reference_conditions"))
 
 
 def attributed(facts: DataFrame, rows: DataFrame) -> DataFrame:

@@ -168,11 +168,21 @@ def rewritten_lineage(manifest: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.withColumn("sha256", F.coalesce("_a", "sha256")).withColumn("original_sha256", F.coalesce("_b", "original_sha256")).withColumn("reviewed", F.lit(False)).withColumn("label_present", F.lit(None).cast("boolean")).drop("_a", "_b")
 
 
-def packages(manifest: DataFrame, truths: DataFrame, copies: DataFrame, files: DataFrame) -> DataFrame:
-    """Manifest rows (stem, kind) with truth (default unknown), the first copy by pos, and whether the file is there."""
+#: Truth, scene and source of a kind that the table of kinds lacks.
+UNKNOWN_KIND = {"truth": "unknown", "scene": "generated", "source": "own"}
+
+
+def packages(manifest: DataFrame, kinds: DataFrame, copies: DataFrame, files: DataFrame) -> DataFrame:
+    """Manifest rows (stem, kind) with truth, scene and source of the kind (UNKNOWN_KIND where kinds lacks it or has null), the first copy by pos, and whether the file is there."""
     first = copies.groupBy("stem").agg(F.min_by("text", F.struct("pos", "text")).alias("copy"))
     there = files.select("stem", F.lit(True).alias("there")).distinct()
-    return manifest.join(truths, "kind", "left").join(first, "stem", "left").join(there, "stem", "left").select("stem", F.coalesce("truth", F.lit("unknown")).alias("truth"), "copy", F.coalesce("there", F.lit(False)).alias("there"))
+    rows = manifest.join(kinds, "kind", "left").join(first, "stem", "left").join(there, "stem", "left")
+    return rows.select("stem", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in UNKNOWN_KIND.items()), "copy", F.coalesce("there", F.lit(False)).alias("there"))
+
+
+def missing_files(packed: DataFrame) -> DataFrame:
+    """Packages whose file is not there."""
+    return packed.filter("not there").select("stem", "truth")
 
 
 def compared_runs(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -245,15 +245,30 @@ SELECT * FROM k WHERE place <= 8"""
 
 
 def j12_anchors(spark, sf_dir):
-    d = tb.table(spark, sf_dir, "documents")
-    quote = F.expr("substring(text, cast(1 + doc_id % 50 as int), 12)")
-    rows = d.select(F.col("doc_id").alias("doc"), "text", quote.alias("quote"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 30).cast("int").alias("ref_id"), F.element_at(F.array(F.lit("fact"), F.lit("tone"), F.lit("other")), (F.col("doc_id") % 3 + 1).cast("int")).alias("type"), F.col("text").alias("reason"))
-    known = tb.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ref_id"))
-    return cl.anchored(rows, known, ("fact", "tone"), "fact").select("doc", "quote", "ref_id", "type", F.length("reason").alias("reason_chars"))
-
-
-J12_SQL = """WITH r AS (SELECT doc_id AS doc, text, substring(text, 1 + doc_id % 50, 12) AS quote, CASE WHEN doc_id % 4 > 0 THEN (doc_id % 30)::INT END AS ref_id, ['fact', 'tone', 'fact'][doc_id % 3 + 1] AS type FROM documents)
-SELECT doc, quote, ref_id, type, least(500, length(text)) AS reason_chars FROM r WHERE length(quote) > 0 AND length(text) - length(replace(text, quote, '')) = length(quote) AND (ref_id IS NULL OR ref_id IN (SELECT n_nationkey FROM nation))"""
+    """Findings on documents: a third cites an excerpt of the benchmark table, some of an unknown one; some quotes are made up, ambiguous or blank."""
+    k = F.col("doc_id")
+    refs = tb.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("ref_id"), F.col("text").alias("excerpt"), F.concat(F.lit("study "), F.col("item_id").cast("string")).alias("source"), F.lit("efficacy_study").alias("source_type"), F.when(F.col("item_id") % 2 == 0, "p. 1").alias("locator"),
+        *(F.when(F.col("item_id") % 3 == i % 3, F.lit(c)).otherwise(F.lit("" if i % 2 else None)).alias(c) for i, c in enumerate(cl.CONDITIONS)))
+    d = tb.table(spark, sf_dir, "documents").withColumn("ref_id", F.when(k % 3 == 0, k % 60)).join(refs.select("ref_id", "excerpt"), "ref_id", "left")
+    place = F.coalesce(F.when(k % 3 == 0, F.col("excerpt")), F.col("text"))
+    rows = d.select(
+        k.alias("doc"), "text", F.expr("substring(text, cast(1 + doc_id % 50 as int), 12)").alias("quote"), F.when(k % 9 == 1, F.lit("made up ~")).when(k % 31 == 0, F.lit(" ")).otherwise(F.substring(place, F.lit(3) + (k % 40).cast("int"), F.lit(14))).alias("other_quote"), "ref_id",
+        F.element_at(F.array(F.lit("fact"), F.lit("tone"), F.lit("other")), (k % 5 % 3 + 1).cast("int")).alias("type"), F.when(k % 37 == 0, "\n ").otherwise(F.col("text")).alias("reason"))
+    found = cl.anchored(rows, refs, ("fact", "tone"), "fact")
+    return found.select("doc", "type", "quote", "other_quote", F.length("reason").alias("reason_chars"), "ref_id", "source", "source_type", "locator", F.array_join(F.map_keys("reference_conditions"), ",").alias("conditions"))
+
+
+_GIVEN = ", ".join(f"CASE WHEN ref % 3 = {i % 3} THEN '{c}' END" for i, c in enumerate(cl.CONDITIONS))
+J12_SQL = f"""WITH r AS (
+  SELECT d.doc_id AS doc, d.text, substring(d.text, 1 + doc_id % 50, 12) AS quote, CASE WHEN doc_id % 3 = 0 THEN doc_id % 60 END AS ref, b.text AS excerpt, b.item_id,
+         CASE WHEN doc_id % 9 = 1 THEN 'made up ~' WHEN doc_id % 31 = 0 THEN ' ' ELSE substring(coalesce(CASE WHEN doc_id % 3 = 0 THEN b.text END, d.text), 3 + doc_id % 40, 14) END AS other_quote,
+         ['fact', 'tone', 'fact'][doc_id % 5 % 3 + 1] AS type, CASE WHEN doc_id % 37 = 0 THEN chr(10) || ' ' ELSE d.text END AS reason
+  FROM documents d LEFT JOIN benchmark b ON b.item_id = doc_id % 60 AND doc_id % 3 = 0),
+a AS (SELECT *, CASE WHEN ref IS NULL THEN text ELSE excerpt END AS place FROM r WHERE regexp_matches(quote, '[^\\s]') AND regexp_matches(other_quote, '[^\\s]') AND regexp_matches(reason, '[^\\s]'))
+SELECT doc, type, quote, other_quote, least(500, length(reason)) AS reason_chars, ref::VARCHAR AS ref_id, CASE WHEN ref IS NULL THEN '正文' ELSE 'study ' || ref END AS source, CASE WHEN ref IS NOT NULL THEN 'efficacy_study' END AS source_type,
+       CASE WHEN ref % 2 = 0 THEN 'p. 1' END AS locator, CASE WHEN ref IS NULL THEN '' ELSE concat_ws(',', {_GIVEN}) END AS conditions
+FROM a WHERE length(text) - length(replace(text, quote, '')) = length(quote) AND length(place) - length(replace(place, other_quote, '')) = length(other_quote) AND (ref IS NULL OR item_id IS NOT NULL) AND (ref IS NOT NULL OR quote <> other_quote)"""
 
 
 def j13_attribution(spark, sf_dir):

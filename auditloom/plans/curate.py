@@ -151,18 +151,29 @@ def p9_lineage(spark, sf_dir):
 P9_SQL = f"{M}, o AS (SELECT DISTINCT sha256 FROM manifest WHERE sha256 LIKE '%2' OR sha256 LIKE '%4') SELECT CASE WHEN m.sha256 LIKE '%2' OR m.sha256 LIKE '%4' THEN 'n' ELSE '' END || m.sha256 AS sha256, CASE WHEN o.sha256 IS NOT NULL THEN 'n' ELSE '' END || m.original_sha256 AS original_sha256, false AS reviewed, NULL::BOOLEAN AS label_present FROM manifest m LEFT JOIN o ON o.sha256 = m.original_sha256"
 
 
-def j18_packages(spark, sf_dir):
+def _packages(spark, sf_dir):
     d = tb.table(spark, sf_dir, "documents")
     m = d.select(F.col("doc_id").alias("stem"), F.col("lang").alias("kind"))
-    truths = spark.createDataFrame([("en", "clean"), ("de", "ai")], "kind string, truth string")
+    kinds = spark.createDataFrame([("en", "clean", "photo", "shop"), ("de", "ai", None, "camera")], "kind string, truth string, scene string, source string")
     copies = tb.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stem"), F.col("turn").alias("pos"), F.md5("text").alias("text"))
-    return cu.packages(m, truths, copies, tb.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("stem")))
+    return cu.packages(m, kinds, copies, tb.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("stem")))
+
+
+def j18_packages(spark, sf_dir):
+    return _packages(spark, sf_dir)
 
 
-J18_SQL = """SELECT doc_id AS stem, CASE lang WHEN 'en' THEN 'clean' WHEN 'de' THEN 'ai' ELSE 'unknown' END AS truth, c.copy, doc_id IN (SELECT doc_id FROM labels) AS there
+J18_SQL = """SELECT doc_id AS stem, CASE lang WHEN 'en' THEN 'clean' WHEN 'de' THEN 'ai' ELSE 'unknown' END AS truth, CASE WHEN lang = 'en' THEN 'photo' ELSE 'generated' END AS scene, CASE lang WHEN 'en' THEN 'shop' WHEN 'de' THEN 'camera' ELSE 'own' END AS source, c.copy, doc_id IN (SELECT doc_id FROM labels) AS there
 FROM documents LEFT JOIN (SELECT conv_id, md5(arg_min(text, turn)) AS copy FROM conversations GROUP BY 1) c ON conv_id = doc_id"""
 
 
+def j18_missing(spark, sf_dir):
+    return cu.missing_files(_packages(spark, sf_dir))
+
+
+J18M_SQL = f"SELECT stem, truth FROM ({J18_SQL}) WHERE NOT there"
+
+
 def j19_runs(spark, sf_dir):
     s = tb.scores(spark, sf_dir).groupBy(F.col("file").alias("case"), F.col("set").alias("family")).agg(F.max("score").alias("a"), F.max("spectral").alias("b"))
     old, new = s.select("case", "family", (F.coalesce("a", F.lit(0.0)) >= 0.5).alias("ok")), s.select("case", (F.col("b") >= 0.5).alias("ok"))
@@ -329,4 +340,4 @@ D12_SQL = f"WITH {_J8}, {_D10} SELECT CASE WHEN risk = 'high' THEN 'high_risk' W
 
 QUERIES = {n: (globals()[n], globals()[f"{n.split('_')[0].upper()}_SQL"]) for n in (
     "p1_row_rules", "p2_leaks", "p3_frozen", "p4_split", "p5_provenance", "p6_pseudo_labels", "p7_weights", "p8_label_gate", "p9_lineage", "j8_categories", "j9_originals", "j10_import", "j14_orphans", "j15_fingerprints", "j16_predictions",
-    "j18_packages", "j19_runs", "w1_first_content", "t15_watermarks", "t16_source_claims", "t17_brands", "t18_labels", "t19_tags", "t20_credentials", "t21_licenses", "t23_reports", "t24_gates", "t25_references", "d10_trace_verdicts", "d12_with_matrix")}
+    "j18_packages", "j19_runs", "w1_first_content", "t15_watermarks", "t16_source_claims", "t17_brands", "t18_labels", "t19_tags", "t20_credentials", "t21_licenses", "t23_reports", "t24_gates", "t25_references", "d10_trace_verdicts", "d12_with_matrix")} | {"j18_missing": (j18_missing, J18M_SQL)}

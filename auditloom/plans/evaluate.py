@@ -394,6 +394,13 @@ A30_SQL = f"""{S}, {CHANGED_SQL} SELECT perturbation, count(*) AS runs, count(*)
   count(*) FILTER ((score >= 0.9)::INT + (score >= 0.5)::INT <> (base >= 0.9)::INT + (base >= 0.5)::INT) = 0 AS safe FROM c GROUP BY 1"""
 
 
+def a30_largest_drops(spark, sf_dir):
+    return rounded(ev.largest_drops(*_changed(spark, sf_dir)))
+
+
+A30D_SQL = f"{S}, {CHANGED_SQL}, d AS (SELECT sample, perturbation, score - base AS delta FROM c WHERE score - base < 0 ORDER BY delta, sample, perturbation LIMIT 3) SELECT sample, perturbation, round(delta, 6) AS delta FROM d"
+
+
 def a31_level_totals(spark, sf_dir):
     v = _levels(spark, sf_dir)
     return ev.level_totals(v.filter("level is not null"), v.filter("level is null"))
@@ -439,6 +446,6 @@ QUERIES = {
     "a17_calibration": (a17_calibration, A17_SQL), "a18_sweep": (a18_sweep, A18_SQL), "a18_sweep_verdict": (a18_sweep_verdict, A18V_SQL), "a19_auc": (a19_auc, A19_SQL), "a20_policies": (a20_policies, A20_SQL),
     "a21_ablation": (a21_ablation, A21_SQL), "a22_band_policy": (a22_band_policy, A22_SQL), "a22_band_adoption": (a22_band_adoption, A22V_SQL), "a23_set_statistics": (a23_set_statistics, A23_SQL),
     "a23_misses": (a23_misses, A23M_SQL), "a24_promotion": (a24_promotion, A24_SQL), "a25_dataset_report": (a25_dataset_report, A25_SQL), "a26_dispositions": (a26_dispositions, A26_SQL),
-    "a27_subtypes": (a27_subtypes, A27_SQL), "a28_rescue": (a28_rescue, A28_SQL), "a29_case_report": (a29_case_report, A29_SQL), "a30_flips": (a30_flips, A30_SQL), "a31_level_totals": (a31_level_totals, A31_SQL),
+    "a27_subtypes": (a27_subtypes, A27_SQL), "a28_rescue": (a28_rescue, A28_SQL), "a29_case_report": (a29_case_report, A29_SQL), "a30_flips": (a30_flips, A30_SQL), "a30_largest_drops": (a30_largest_drops, A30D_SQL), "a31_level_totals": (a31_level_totals, A31_SQL),
     "a32_video_rollup": (a32_video_rollup, A32_SQL), "a33_split_accuracy": (a33_split_accuracy, A33_SQL), "a35_separation": (a35_separation, A35_SQL),
 }
