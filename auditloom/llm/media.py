@@ -129,16 +129,21 @@ def media_row(raw: bytes, kind: str) -> tuple:
     return len(raw), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, tile
 
 
-def media_columns(docs: DataFrame, kind: str = "ppm") -> DataFrame:
+def kind_of(raw: bytes) -> str:
+    """ppm or bmp, by a hash of the text, so that equal texts have equal forms and both are in use."""
+    return ("ppm", "bmp")[zlib.crc32(raw) & 1]
+
+
+def media_columns(docs: DataFrame, kind: str | None = None) -> DataFrame:
     """A row for each document: the stored image's digests, its difference hash and an NPY tile of 16 x 16 gray means.
 
-    kind is ppm or bmp; both store the payload losslessly.
+    kind is ppm or bmp, or None for either by kind_of(); both store the payload losslessly.
     """
     python_ready(docs.sparkSession)
 
     def rows(batches):
         for b in batches:
-            got = [media_row(x or b"", kind) for x in b.column(1).to_pylist()]
+            got = [media_row(x or b"", kind or kind_of(x or b"")) for x in b.column(1).to_pylist()]
             cols = list(zip(*got, strict=True)) if got else [()] * 8
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [x.split()[0] for x in _OUT.split(", ")])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, language, lexical, line_dedup, media, mixing, near_dedup, packing, sharding, substring, url_filter, whitening
 
@@ -60,7 +59,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(_documents(spark, sf_dir)).withColumn("tile_bytes", F.length("tile_npy").cast("long")).drop("tile_npy")
+    return media.media_columns(_documents(spark, sf_dir))
 
 
 def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
