@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
+from ..sources.io import written
 from .evaluate import every
 
 L = lx.LIMITS
@@ -154,27 +157,80 @@ def skin_type(answers: Column) -> Column:
     return F.when(~all_known | both, "unclear").when((t_oil >= 2) & (c_oil < 2) & (c_dry >= 2), "mixed").when((t_oil >= 2) & (c_oil >= 2), "oily").when((t_dry >= 2) & (c_dry >= 2), "dry").when(calm, "neutral").otherwise("unclear")
 
 
+def avoided_terms(lists: DataFrame, terms: DataFrame) -> DataFrame:
+    """ingredients, hits: for each distinct list of ingredients the terms that occur in one of them, case of the ingredient aside; null if an ingredient is null.
+
+    Each distinct ingredient is cut into its substrings of the lengths that terms have, which meet the
+    terms by an equi-join; so lists and terms are never compared one by one.
+    """
+    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()]  # as many as the longest term has characters, at most
+    every = lists.select("ingredients").distinct()
+    one = every.select(F.explode("ingredients").alias("g")).distinct().filter("g is not null").withColumn("low", F.lower("g"))
+
+    def cut(n: int) -> Column:
+        every_place = F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.substring("low", i, F.lit(n)))
+        return F.when(F.length("low") >= n, every_place).otherwise(F.array().cast("array<string>"))
+
+    cuts = [cut(n) for n in lengths]
+    found = one.select("g", F.explode(F.array_distinct(F.flatten(F.array(*cuts)))).alias("term")).join(terms, "term") if cuts else one.select("g", F.lit(None).cast("string").alias("term")).limit(0)
+    hits = every.select("ingredients", F.explode("ingredients").alias("g")).join(found, "g").groupBy("ingredients").agg(F.sort_array(F.collect_set("term")).alias("hits"))
+    known = F.col("ingredients").isNotNull() & ~F.exists("ingredients", lambda g: g.isNull())
+    none = F.array().cast("array<string>")
+    return every.join(hits, "ingredients", "left").select("ingredients", F.when(known, F.coalesce("hits", none)).alias("hits"))
+
+
 def recommendations(profiles: DataFrame, catalog: DataFrame, market: str, keep: int = 3) -> DataFrame:
-    """The keep best items for each profile, by score then name.
+    """The keep best items for each profile, by score then name: profile, place, name, score.
 
     profiles: profile, type, goals, textures, avoid (array), sensitivity. catalog: name, market,
-    category, skin, goals, textures, gentle, ingredients (null: unknown). An unknown list of
-    ingredients excludes an item if something is avoided. Neither side meets row by row: profiles with
-    the same answers are one signature, and of items alike in all but name the first keep by name
-    stay. Signatures meet by skin type; Spark limits a signature's ranking before it shuffles.
+    category, skin, goals, textures, gentle, ingredients (null: unknown). The score counts goals and
+    textures in common; a null list or entry of these counts as none. Where something is avoided, an
+    item with an unknown ingredient is left out, and a null among the avoided terms leaves out all.
+
+    Profiles of the same answers are one signature; items of the same type, goals, textures,
+    gentleness and avoided terms are one class, of which the first keep by name stay. Postings by
+    type and word give the score of each wanted set of words on each offered one. Signatures then meet
+    classes from the highest score down, and one that has keep items meets no lower score; only those
+    still short at the end meet the classes of their type without a common word. So work follows the
+    number of distinct answers and sets of words, not of profiles and items.
     """
-    items = catalog.filter(F.col("market") == market).select("name", F.explode("skin").alias("type"), F.coalesce("gentle", F.lit(False)).alias("gentle"), *(F.sort_array(c).alias(a) for c, a in (("ingredients", "ingredients"), ("goals", "has_goals"), ("textures", "has_textures"))))
-    alike = Window.partitionBy(*(c for c in items.columns if c != "name")).orderBy("name")
-    items = items.withColumn("nth", F.row_number().over(alike)).filter(F.col("nth") <= keep)
+    none = F.array().cast("array<string>")
+    words = lambda c: F.sort_array(F.array_distinct(F.array_compact(F.coalesce(c, none))))
     calm = F.col("sensitivity").isNull() | (F.col("sensitivity") < 2)
-    people = profiles.filter("type <> 'unclear'").select("profile", F.struct("type", calm.alias("calm"), *(F.sort_array(c).alias(c) for c in ("goals", "textures", "avoid"))).alias("sig"))
-    both = people.select("sig").distinct().select("sig", "sig.*").join(items, "type")
-    safe = (F.size("avoid") == 0) | F.coalesce(~F.exists("ingredients", lambda g: F.exists("avoid", lambda t: F.contains(F.lower(g), t))), F.lit(False))
-    ok = both.filter((F.col("calm") | F.col("gentle")) & safe)
-    score = F.size(F.array_intersect("goals", "has_goals")) + F.size(F.array_intersect("textures", "has_textures"))
-    w = Window.partitionBy("sig").orderBy(F.desc("score"), "name")
-    best = ok.withColumn("score", score).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= keep).select(F.col("sig").alias("of"), "place", "name", "score")
-    return people.join(best, F.col("sig").eqNullSafe(F.col("of"))).select("profile", "place", "name", "score")
+    want = F.struct("type", words(F.col("goals")).alias("goals"), words(F.col("textures")).alias("textures"))
+    people = profiles.filter("type <> 'unclear'").select("profile", F.struct(want.alias("want"), calm.alias("calm"), F.sort_array(F.coalesce("avoid", F.array(F.lit(None).cast("string")))).alias("avoid")).alias("sig"))
+    pending = written(people.select("sig").distinct().withColumn("need", F.lit(keep)), "recommend-signatures")
+    terms = pending.select(F.explode("sig.avoid").alias("term")).filter("term is not null").distinct()
+    raw = catalog.filter(F.col("market") == market).select("name", F.explode(F.array_distinct("skin")).alias("type"), F.coalesce("gentle", F.lit(False)).alias("gentle"), F.sort_array("ingredients").alias("ingredients"), "goals", "textures")
+    known = raw.join(avoided_terms(raw, terms), "ingredients", "left")
+    items = known.select("name", F.struct("type", words(F.col("goals")).alias("goals"), words(F.col("textures")).alias("textures")).alias("offer"), "gentle", "hits")
+    first = F.row_number().over(Window.partitionBy("offer", "gentle", "hits").orderBy("name"))
+    classes = written(items.withColumn("nth", first).filter(F.col("nth") <= keep).select("offer", "gentle", "hits", "name"), "recommend-classes")
+
+    def postings(rows: DataFrame, name: str) -> DataFrame:
+        both = [rows.select(name).distinct().select(name, F.col(f"{name}.type").alias("type"), F.lit(kind).alias("kind"), F.explode(f"{name}.{kind}").alias("word")) for kind in ("goals", "textures")]
+        return both[0].unionByName(both[1])
+
+    wants = pending.select("sig.want")
+    scores = written(postings(wants, "want").join(postings(classes, "offer"), ["type", "kind", "word"]).groupBy("want", "offer").agg(F.count("*").cast("int").alias("score")), "recommend-scores")
+    safe = (F.size("sig.avoid") == 0) | F.coalesce(~F.exists("sig.avoid", lambda t: t.isNull()) & ~F.arrays_overlap("hits", "sig.avoid"), F.lit(False))
+    ok = (F.col("sig.calm") | F.col("gentle")) & safe
+    best = []
+    for level in [*sorted((r[0] for r in scores.select("score").distinct().collect()), reverse=True), 0]:  # as many as an item has words, at most
+        if level:
+            met = pending.withColumn("want", F.col("sig.want")).join(scores.filter(F.col("score") == level), "want").join(classes, "offer")
+        else:
+            short = pending.select("sig", "need", F.col("sig.want").alias("want"), F.col("sig.want.type").alias("type"))
+            met = short.join(classes.withColumn("type", F.col("offer.type")), "type").join(scores.select("want", "offer"), ["want", "offer"], "left_anti")
+        place = F.row_number().over(Window.partitionBy("sig").orderBy("name"))
+        top = met.filter(ok).select("sig", "need", "name").withColumn("nth", place).filter((F.col("nth") <= keep) & (F.col("nth") <= F.col("need")))
+        top = written(top.select("sig", (F.lit(keep) - F.col("need") + F.col("nth")).alias("place"), "name", F.lit(level).alias("score")), "recommend-level")
+        best.append(top)
+        got = top.groupBy("sig").agg(F.count("*").cast("int").alias("got"))
+        pending = written(pending.join(got, "sig", "left").select("sig", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need")).filter("need > 0"), "recommend-pending")
+        if pending.isEmpty():
+            break
+    return people.join(reduce(DataFrame.unionByName, best), "sig").select("profile", "place", "name", "score")
 
 
 def severity(level: Column) -> Column:
