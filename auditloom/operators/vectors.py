@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from ..sources.io import written
 from .evaluate import auc
 
-#: Rows in a block of the neighbour search.
+#: Rows in a part of a cell of the neighbour search, about.
 BLOCK = 2048
 
 # Fixed values of the image features: bands of the radius (1: Nyquist), sectors of the outer ring,
@@ -21,34 +22,105 @@ SIGMA, LONGEST, TINY = 2, 1600, 1e-12
 LUMA = np.array([0.114, 0.587, 0.299])
 
 
+#: Pivots of the neighbour search at most; they, and two rows of bounds for each, go to every task.
+PIVOTS = 1024
+NEAR = "id long, positive boolean, sim double"
+
+
+def nearest(queries: pd.DataFrame, others: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k largest similarities of each query to other rows of each class."""
+    out = []
+    if len(queries) and len(others):
+        sims = np.stack(queries["vec"]).astype(float) @ np.stack(others["vec"]).astype(float).T
+        sims[queries["id"].to_numpy()[:, None] == others["id"].to_numpy()[None, :]] = -np.inf
+        for flag in (True, False):
+            part = sims[:, others["positive"].to_numpy() == flag]
+            part = -np.sort(-(np.partition(part, -k, axis=1)[:, -k:] if part.shape[1] > k else part), axis=1)
+            for i, row in zip(queries["id"], part, strict=True):
+                out += [(i, flag, float(s)) for s in row if s > -np.inf]
+    return pd.DataFrame(out, columns=["id", "positive", "sim"]).astype({"id": "int64", "positive": bool, "sim": float})
+
+
+def in_cells(rows: DataFrame, blocks: int) -> tuple[DataFrame, np.ndarray]:
+    """rows (id, vec, positive) with the nearest pivot as cell, the distance to it, the norm, and a part of about BLOCK rows of the cell; and the pivots.
+
+    Pivots are the vectors with the smallest hashes of their ids: four a block, PIVOTS at most.
+    """
+    base = rows.filter("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec"), "positive")
+    first = base.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, 4 * blocks))
+    pivots = np.array([r["vec"] for r in first.collect()], dtype=float)
+
+    def assign(batches):
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["vec"])
+                cell = ((pivots**2).sum(axis=1) - 2 * x @ pivots.T).argmin(axis=1)
+                yield batch.assign(cell=cell.astype("int32"), dist=np.linalg.norm(x - pivots[cell], axis=1), norm=np.linalg.norm(x, axis=1))
+
+    celled = written(base.mapInPandas(assign, "id long, vec array<double>, positive boolean, cell int, dist double, norm double"), "knn-cells")
+    parts = celled.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    return celled.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), pivots
+
+
+def open_parts(rows: DataFrame, pivots: np.ndarray, own: DataFrame, k: int) -> DataFrame:
+    """id, vec, cell, part, other, opart: each row with the parts, its own aside, that may hold one of its k best of a class.
+
+    rows, pivots: of in_cells; own: the best (id, positive, sim) in a row's own part. With p the pivot
+    of a cell, x a row there and q the query, q.x is at most q.p + |q| max|x - p|, and at most
+    (|q|^2 + max|x|^2 - g^2) / 2, g being the least |q - x| by the triangle inequality. A cell whose
+    bound is below the k-th best so far, in each class, is skipped; where the own part has fewer than k,
+    what the nearest cells hold at least, q.p - |q| max|x - p|, stands for it.
+    """
+    stats = rows.groupBy("cell", "positive").agg(F.min("dist"), F.max("dist"), F.max("norm"), F.count("*")).collect()  # two rows a pivot, at most
+    cell, flag, low, high, longest, size = (np.array([r[i] for r in stats]) for i in range(6))
+    kth = own.groupBy("id").agg(*(F.sort_array(F.collect_list(F.when(test, F.col("sim")))).alias(n) for n, test in (("good", F.col("positive")), ("bad", ~F.col("positive")))))
+    kth = kth.select("id", *(F.when(F.size(n) >= k, F.get(n, F.lit(0))).alias(n) for n in ("good", "bad")))
+
+    def visit(batches):
+        for batch in batches:
+            if len(batch):
+                q = np.stack(batch["vec"])
+                dots, norm = q @ pivots[cell].T, batch["norm"].to_numpy()[:, None]
+                away = np.sqrt(np.maximum(0, norm**2 + (pivots[cell] ** 2).sum(axis=1) - 2 * dots))
+                gap = np.maximum(0, np.maximum(away - high, low - away))
+                bound = np.minimum(dots + norm * high, (norm**2 + longest**2 - gap**2) / 2) + 1e-6 * (1 + norm * longest)  # the last term covers rounding
+                floor = dots - norm * high - 1e-6 * (1 + norm * longest)
+                least = np.empty_like(bound)
+                for name, on in (("good", flag), ("bad", ~flag)):
+                    # nearest cells first: where they hold k rows besides the query, the last one's floor holds for the k-th best
+                    order = np.argsort(-floor[:, on], axis=1)
+                    enough = np.cumsum(size[on][order], axis=1) > k
+                    at = np.where(enough.any(axis=1), np.take_along_axis(np.take_along_axis(floor[:, on], order, 1), enough.argmax(axis=1)[:, None], 1)[:, 0], -np.inf) if on.any() else -np.inf
+                    least[:, on] = np.maximum(at, batch[name].to_numpy(float, na_value=-np.inf))[:, None]
+                yield batch[["id", "vec", "cell", "part"]].assign(others=[np.unique(cell[row]).astype("int32") for row in bound >= least])
+
+    seen = rows.join(kth, "id", "left").select("id", "vec", "cell", "part", "norm", "good", "bad")
+    seen = written(seen.mapInPandas(visit, "id long, vec array<double>, cell int, part int, others array<int>"), "knn-visits")
+    parts = rows.select(F.col("cell").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("opart")).distinct()
+    return seen.select("id", "vec", "cell", "part", F.explode("others").alias("other")).join(parts, "other").filter("cell <> other or part <> opart")
+
+
 def knn_margin(rows: DataFrame, k: int, blocks: int) -> DataFrame:
-    """M1: id, margin: mean of the k largest similarities to other positives less that to other negatives; rows: id, vec, positive.
+    """M1: id, margin: mean of the k largest similarities (dot products) to other positives less that to other negatives; rows: id (unique), vec, positive.
 
-    Every row meets every block of rows once, in tasks of two blocks each; a task keeps k of each
-    class for a query, so what is merged is k rows a query, class and block.
+    Exact for any vectors; rows without one are left out. Rows lie in cells of their nearest pivot.
+    A first round compares each part of a cell with itself, which gives every row a k-th best; a
+    second one compares it with the parts that bounds do not exclude, in tasks of two parts each.
+    Where vectors have no clusters few parts are excluded, and work grows with the square of the rows.
     """
     ship(rows.sparkSession)
-    base = rows.select("id", "vec", "positive", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = base.withColumn("q", F.col("own").cast("int")).withColumn("c", F.explode(every))
-    right = base.withColumn("c", F.col("own").cast("int")).withColumn("q", F.explode(every))
-
-    def near(queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(others):
-            sims = np.stack(queries["vec"]).astype(float) @ np.stack(others["vec"]).astype(float).T
-            sims[queries["id"].to_numpy()[:, None] == others["id"].to_numpy()[None, :]] = -np.inf
-            for flag in (True, False):
-                part = -np.sort(-sims[:, others["positive"].to_numpy() == flag], axis=1)[:, :k]
-                for i, row in zip(queries["id"], part, strict=True):
-                    out += [(i, flag, float(s)) for s in row if s > -np.inf]
-        return pd.DataFrame(out, columns=["id", "positive", "sim"]).astype({"id": "int64", "positive": bool, "sim": float})
-
-    best = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(near, "id long, positive boolean, sim double")
-    # a query has k rows a class and block here, so these lists are small
-    top = best.groupBy("id", "positive").agg(F.slice(F.sort_array(F.collect_list("sim"), asc=False), 1, k).alias("s"))
-    mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")
-    return top.withColumn("m", mean).groupBy("id").agg((F.max(F.when(F.col("positive"), F.col("m"))) - F.max(F.when(~F.col("positive"), F.col("m")))).alias("margin"))
+    celled, pivots = in_cells(rows, blocks)
+    if not len(pivots):
+        return rows.select("id", F.lit(None).cast("double").alias("margin")).limit(0)
+    own = written(celled.groupBy("cell", "part").applyInPandas(lambda part: nearest(part, part, k), NEAR), "knn-own")
+    visits = open_parts(celled, pivots, own, k)
+    pairs = visits.select(F.col("cell").alias("qcell"), F.col("part").alias("qpart"), "other", "opart").distinct()
+    met = celled.select(F.col("cell").alias("other"), F.col("part").alias("opart"), "id", "vec", "positive").join(pairs, ["other", "opart"])
+    sides = visits.groupBy("cell", "part", "other", "opart"), met.groupBy("qcell", "qpart", "other", "opart")
+    far = sides[0].cogroup(sides[1]).applyInPandas(lambda queries, others: nearest(queries, others, k), NEAR)
+    rank = F.row_number().over(Window.partitionBy("id", "positive").orderBy(F.desc("sim")))
+    top = own.unionByName(far).withColumn("nth", rank).filter(F.col("nth") <= k).groupBy("id").agg(*(F.avg(F.when(test, F.col("sim"))).alias(n) for n, test in (("good", F.col("positive")), ("bad", ~F.col("positive")))))
+    return top.select("id", (F.col("good") - F.col("bad")).alias("margin"))
 
 
 def dot(a: Column, b: Column) -> Column:
