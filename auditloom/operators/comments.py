@@ -5,7 +5,9 @@ comments: thread, idx (unique in the thread), content, text, and ts where rhythm
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
@@ -76,17 +78,66 @@ def burstiness(events: DataFrame, key: str = "thread", name: str = "burstiness")
     return sums.select(key, value.alias(name))
 
 
-#: Rows of a key that meet all others in one task at most, about.
-PAIR_BLOCK = 512
+#: Distinct texts of a key in a block, and characters in it, about; up to FEW texts of a key meet in a join.
+PAIR_BLOCK, PAIR_CHARS, FEW = 512, 1 << 20, 32
 
 
-def all_pairs(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """key, a, b: values of every pair of rows (key, idx, value) of a key once, in cells of blocks so that no task gets all pairs of a large key."""
-    blocks = rows.groupBy(key).agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("_blocks"))
-    own = rows.select(key, "idx", value).join(blocks, key).withColumn("_own", F.pmod(F.xxhash64("idx"), F.col("_blocks")).cast("int"))
-    a = own.select(key, F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_j"), F.col("idx").alias("i"), F.col(value).alias("a"))
-    b = own.select(key, F.explode(F.sequence(F.lit(0), "_own")).alias("_i"), F.col("_own").alias("_j"), F.col("idx").alias("j"), F.col(value).alias("b"))
-    return a.join(b, [key, "_i", "_j"]).filter("_i < _j or i < j").select(key, "a", "b")
+def overlap_sum(part: pd.DataFrame) -> float:
+    """Sum of ka * kb * Jaccard over the pairs of texts (own, g: sorted grams, k: copies) of block i with those of block j, each pair once.
+
+    Both blocks' grams are posting lists: lists of one gram meet, so texts without one in common cost
+    nothing; meetings are made by steps of some four million.
+    """
+    i, j = part["i"].iloc[0], part["j"].iloc[0]
+    sides = []
+    for block in (i, j):
+        rows = part[part["own"] == block]
+        sizes = rows["g"].str.len().to_numpy()
+        grams, who = np.concatenate([*rows["g"], np.zeros(0, np.int64)]), np.repeat(np.arange(len(rows)), sizes)
+        order = np.argsort(grams, kind="stable")
+        value, start, count = np.unique(grams[order], return_index=True, return_counts=True)
+        sides.append((value, start, count, who[order], sizes, rows["k"].to_numpy(float)))
+    (va, sa, ca, wa, na, ka), (vb, sb, cb, wb, nb, kb) = sides
+    if not len(na) or not len(nb):
+        return 0.0
+    _, at, bt = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+    meets = ca[at] * cb[bt]
+    shared = np.zeros(len(na) * len(nb), np.int64)
+    step = np.cumsum(meets) // (1 << 22)
+    for s in np.unique(step):
+        a, b, m = at[step == s], bt[step == s], meets[step == s]
+        nth = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        width = np.repeat(cb[b], m)
+        shared += np.bincount(wa[np.repeat(sa[a], m) + nth // width] * len(nb) + wb[np.repeat(sb[b], m) + nth % width], minlength=len(shared))
+    shared = shared.reshape(len(na), len(nb))
+    ratio = shared / np.maximum(na[:, None] + nb - shared, 1) * ka[:, None] * kb
+    return float((np.triu(ratio, 1) if i == j else ratio).sum())
+
+
+def mean_similarity(rows: DataFrame, key: str, name: str, blank: float = 1.0) -> DataFrame:
+    """key, name: mean Jaccard of gram sets over all pairs of a key's rows (key, idx, norm); null for a single row. Two empty texts count as blank, an empty and another one as 0.
+
+    Copies fold to one text with a count, so pairs of copies are a product and no work. Texts of keys
+    with few meet by a join; those of larger keys in cells of two blocks, one task a cell, by the
+    posting lists of their grams, and a cell gives one sum: no pair becomes a row.
+    """
+    pairs = F.col("k") * (F.col("k") - 1) / 2
+    texts = rows.groupBy(key, "norm").agg(F.count("*").alias("k"), F.min("idx").alias("idx"))
+    sizes = texts.groupBy(key).agg(
+        F.sum("k").alias("n"), F.sum(pairs * F.when(F.col("norm") == "", blank).otherwise(1.0)).alias("same"), F.count("*").alias("texts"),
+        F.greatest(F.ceil(F.count("*") / PAIR_BLOCK), F.ceil(F.sum(F.length("norm")) / PAIR_CHARS)).cast("int").alias("blocks"))
+    full = texts.filter("norm <> ''").join(sizes.select(key, "texts", "blocks"), key)
+    small = (F.col("texts") <= FEW) & (F.col("blocks") <= 1)
+    few = full.filter(small).select(key, "idx", "k", tx.gram_hashes(F.col("norm")).alias("g"))
+    a, b = (few.select(key, *(F.col(c).alias(f"{c}_{x}") for c in ("idx", "k", "g"))) for x in "ab")
+    near = a.join(b, key).filter("idx_a < idx_b").groupBy(key).agg(F.sum(F.col("k_a") * F.col("k_b") * tx.jaccard(F.col("g_a"), F.col("g_b"))).alias("apart"))
+    many = full.filter(~small).select(key, "k", F.pmod(F.xxhash64("norm"), F.col("blocks")).cast("int").alias("own"), "blocks", tx.gram_hashes(F.col("norm")).alias("g"))
+    cells = many.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(key, F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "k", "g")
+    kind = rows.select(key).schema[0].dataType.simpleString()
+    sums = cells.groupBy(key, "i", "j").applyInPandas(lambda part: pd.DataFrame({key: part[key].iloc[:1], "apart": [overlap_sum(part)]}), f"`{key}` {kind}, apart double")
+    apart = near.unionByName(sums).groupBy(key).agg(F.sum("apart").alias("apart"))
+    every = F.col("n") * (F.col("n") - 1) / 2
+    return sizes.join(apart, key, "left").select(key, F.when(F.col("n") > 1, (F.col("same") + F.coalesce("apart", F.lit(0.0))) / every).alias(name))
 
 
 def cross_posts(comments: DataFrame, least: int = lx.CROSS_POSTS) -> DataFrame:
@@ -135,8 +186,7 @@ def account_profiles(posts: DataFrame, max_posts: int | None = None, positive: l
     if max_posts:
         order = F.row_number().over(Window.partitionBy("account").orderBy(F.xxhash64("account", "idx"), "idx"))
         paired = rows.withColumn("o", order).filter(F.col("o") <= max_posts)
-    grams = paired.select("account", "idx", tx.gram_hashes(F.col("norm")).alias("g"))
-    reuse = all_pairs(grams, "account", "g").groupBy("account").agg(F.avg(tx.jaccard(F.col("a"), F.col("b"))).alias("text_reuse_rate"))
+    reuse = mean_similarity(paired.select("account", "idx", "norm"), "account", "text_reuse_rate")
     n, mean = F.count("*"), F.avg(F.length("norm"))
     sizes = rows.groupBy("account").agg(n.alias("post_count"), mean.alias("mean_length"), F.when(n > 1, F.stddev_pop(F.length("norm")) / mean).alias("length_cv"), F.avg("glad").alias("mean_positive_hits"))
     out = sizes.join(reuse, "account", "left").join(burstiness(posts.select("account", "ts"), "account", "publish_regularity"), "account", "left")
@@ -146,18 +196,11 @@ def account_profiles(posts: DataFrame, max_posts: int | None = None, positive: l
     return out.withColumn("n_flags", F.when(F.col("post_count") >= 2, count)).withColumn("verdict", verdict)
 
 
-def matrix_grams(text: Column) -> Column:
-    """Hashes of 4-grams of the word characters; none for a text without any."""
-    norm = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]", "")
-    return F.when(F.length(norm) == 0, F.array().cast("array<bigint>")).otherwise(tx.gram_hashes(norm))
-
-
 def content_matrix(records: DataFrame) -> DataFrame:
     """A row for each batch of records (batch, idx, text, handle): distinct handles, mean similarity, flags, verdict."""
     ship(records.sparkSession)
-    grams = records.select("batch", "idx", matrix_grams(F.col("text")).alias("g"))
-    same = F.when((F.size("a") > 0) & (F.size("b") > 0), tx.jaccard(F.col("a"), F.col("b"))).otherwise(0.0)
-    reuse = all_pairs(grams, "batch", "g").groupBy("batch").agg(F.avg(same).alias("reuse"))
+    norm = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}_]", "")
+    reuse = mean_similarity(records.select("batch", "idx", norm.alias("norm")), "batch", "reuse", blank=0.0)
     sizes = records.groupBy("batch").agg(F.count("*").alias("content_count"), F.countDistinct("handle").alias("handles"))
     out = sizes.join(reuse, "batch", "left")
     flags = (F.col("handles") > 1).cast("int") + (F.coalesce("reuse", F.lit(0.0)) >= 0.5).cast("int") + (F.col("handles") == 0).cast("int")
