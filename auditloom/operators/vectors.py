@@ -11,8 +11,8 @@ from ..functions.shipping import ship
 from ..sources.io import written
 from .evaluate import auc
 
-#: Rows in a part of a cell of the neighbour search, about.
-BLOCK = 2048
+#: Rows in a block of the neighbour search at most, about, and queries whose similarities are in memory together.
+BLOCK, STEP = 8192, 1024
 
 # Fixed values of the image features: bands of the radius (1: Nyquist), sectors of the outer ring,
 # the residual's Gaussian, the longest side, and luma weights of blue, green and red.
@@ -30,56 +30,82 @@ NEAR = "id long, positive boolean, sim double"
 def nearest(queries: pd.DataFrame, others: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k largest similarities of each query to other rows of each class."""
     out = []
-    if len(queries) and len(others):
-        sims = np.stack(queries["vec"]).astype(float) @ np.stack(others["vec"]).astype(float).T
-        sims[queries["id"].to_numpy()[:, None] == others["id"].to_numpy()[None, :]] = -np.inf
+    x = np.stack(others["vec"]).astype(float) if len(others) else None
+    for at in range(0, len(queries) if len(others) else 0, STEP):
+        some = queries.iloc[at : at + STEP]
+        sims = np.stack(some["vec"]).astype(float) @ x.T
+        sims[some["id"].to_numpy()[:, None] == others["id"].to_numpy()[None, :]] = -np.inf
         for flag in (True, False):
             part = sims[:, others["positive"].to_numpy() == flag]
             part = -np.sort(-(np.partition(part, -k, axis=1)[:, -k:] if part.shape[1] > k else part), axis=1)
-            for i, row in zip(queries["id"], part, strict=True):
+            for i, row in zip(some["id"], part, strict=True):
                 out += [(i, flag, float(s)) for s in row if s > -np.inf]
     return pd.DataFrame(out, columns=["id", "positive", "sim"]).astype({"id": "int64", "positive": bool, "sim": float})
 
 
-def in_cells(rows: DataFrame, blocks: int) -> tuple[DataFrame, np.ndarray]:
-    """rows (id, vec, positive) with the nearest pivot as cell, the distance to it, the norm, and a part of about BLOCK rows of the cell; and the pivots.
+def blocks_of(sizes: dict[int, int], pivots: np.ndarray) -> list[tuple[int, int, int]]:
+    """(cell, first block, blocks) of each cell: whole cells, along a chain of near pivots, fill a block of BLOCK rows; a larger cell has blocks of its own."""
+    left, chain = sorted(sizes), []
+    while left:
+        apart = [float(((pivots[c] - pivots[chain[-1]]) ** 2).sum()) for c in left] if chain else [0.0]
+        chain.append(left.pop(int(np.argmin(apart))))
+    out, block, filled = [], -1, BLOCK
+    for cell in chain:
+        if sizes[cell] > BLOCK:
+            many = -(-sizes[cell] // BLOCK)
+            out.append((cell, block + 1, many))
+            block, filled = block + many, BLOCK
+            continue
+        if filled + sizes[cell] > BLOCK:
+            block, filled = block + 1, 0
+        out.append((cell, block, 1))
+        filled += sizes[cell]
+    return out
+
+
+def in_cells(rows: DataFrame, blocks: int) -> tuple[DataFrame, np.ndarray, list[tuple[int, int, int]]]:
+    """rows (id, vec, positive) with the nearest pivot as cell, the distance to it, the norm, and a block; the pivots; and blocks_of the cells.
 
     Pivots are the vectors with the smallest hashes of their ids: four a block, PIVOTS at most.
     """
-    base = rows.filter("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec"), "positive")
+    base = rows.filter("vec is not null").select("id", "vec", "positive")
     first = base.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, 4 * blocks))
     pivots = np.array([r["vec"] for r in first.collect()], dtype=float)
 
     def assign(batches):
         for batch in batches:
             if len(batch):
-                x = np.stack(batch["vec"])
+                x = np.stack(batch["vec"]).astype(float)
                 cell = ((pivots**2).sum(axis=1) - 2 * x @ pivots.T).argmin(axis=1)
                 yield batch.assign(cell=cell.astype("int32"), dist=np.linalg.norm(x - pivots[cell], axis=1), norm=np.linalg.norm(x, axis=1))
 
-    celled = written(base.mapInPandas(assign, "id long, vec array<double>, positive boolean, cell int, dist double, norm double"), "knn-cells")
-    parts = celled.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    return celled.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), pivots
+    kind = base.schema["vec"].dataType.simpleString()
+    celled = written(base.mapInPandas(assign, f"id long, vec {kind}, positive boolean, cell int, dist double, norm double"), "knn-cells")
+    places = blocks_of({r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()}, pivots)  # a row a pivot, at most
+    table = rows.sparkSession.createDataFrame(places, "cell int, first int, many int")
+    block = F.col("first") + F.pmod(F.xxhash64("id"), F.col("many")).cast("int")
+    return celled.join(F.broadcast(table), "cell").withColumn("block", block).drop("first", "many"), pivots, places
 
 
-def open_parts(rows: DataFrame, pivots: np.ndarray, own: DataFrame, k: int) -> DataFrame:
-    """id, vec, cell, part, other, opart: each row with the parts, its own aside, that may hold one of its k best of a class.
+def open_blocks(rows: DataFrame, pivots: np.ndarray, places: list[tuple[int, int, int]], own: DataFrame, k: int) -> DataFrame:
+    """id, vec, block, other: each row with the blocks, its own aside, that may hold one of its k best of a class.
 
-    rows, pivots: of in_cells; own: the best (id, positive, sim) in a row's own part. With p the pivot
+    rows, pivots, places: of in_cells; own: the best (id, positive, sim) in a row's own block. With p the pivot
     of a cell, x a row there and q the query, q.x is at most q.p + |q| max|x - p|, and at most
     (|q|^2 + max|x|^2 - g^2) / 2, g being the least |q - x| by the triangle inequality. A cell whose
-    bound is below the k-th best so far, in each class, is skipped; where the own part has fewer than k,
+    bound is below the k-th best so far, in each class, is skipped; where the own block has fewer than k,
     what the nearest cells hold at least, q.p - |q| max|x - p|, stands for it.
     """
     stats = rows.groupBy("cell", "positive").agg(F.min("dist"), F.max("dist"), F.max("norm"), F.count("*")).collect()  # two rows a pivot, at most
     cell, flag, low, high, longest, size = (np.array([r[i] for r in stats]) for i in range(6))
+    spans = {c: np.arange(first, first + many) for c, first, many in places}
     kth = own.groupBy("id").agg(*(F.sort_array(F.collect_list(F.when(test, F.col("sim")))).alias(n) for n, test in (("good", F.col("positive")), ("bad", ~F.col("positive")))))
     kth = kth.select("id", *(F.when(F.size(n) >= k, F.get(n, F.lit(0))).alias(n) for n in ("good", "bad")))
 
     def visit(batches):
         for batch in batches:
             if len(batch):
-                q = np.stack(batch["vec"])
+                q = np.stack(batch["vec"]).astype(float)
                 dots, norm = q @ pivots[cell].T, batch["norm"].to_numpy()[:, None]
                 away = np.sqrt(np.maximum(0, norm**2 + (pivots[cell] ** 2).sum(axis=1) - 2 * dots))
                 gap = np.maximum(0, np.maximum(away - high, low - away))
@@ -92,31 +118,31 @@ def open_parts(rows: DataFrame, pivots: np.ndarray, own: DataFrame, k: int) -> D
                     enough = np.cumsum(size[on][order], axis=1) > k
                     at = np.where(enough.any(axis=1), np.take_along_axis(np.take_along_axis(floor[:, on], order, 1), enough.argmax(axis=1)[:, None], 1)[:, 0], -np.inf) if on.any() else -np.inf
                     least[:, on] = np.maximum(at, batch[name].to_numpy(float, na_value=-np.inf))[:, None]
-                yield batch[["id", "vec", "cell", "part"]].assign(others=[np.unique(cell[row]).astype("int32") for row in bound >= least])
+                met = (np.unique(np.concatenate([spans[c] for c in cell[row]] or [[]])) for row in bound >= least)
+                yield batch[["id", "vec", "block"]].assign(others=[m[m != b].astype("int32") for m, b in zip(met, batch["block"], strict=True)])
 
-    seen = rows.join(kth, "id", "left").select("id", "vec", "cell", "part", "norm", "good", "bad")
-    seen = written(seen.mapInPandas(visit, "id long, vec array<double>, cell int, part int, others array<int>"), "knn-visits")
-    parts = rows.select(F.col("cell").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("opart")).distinct()
-    return seen.select("id", "vec", "cell", "part", F.explode("others").alias("other")).join(parts, "other").filter("cell <> other or part <> opart")
+    seen = rows.join(kth, "id", "left").select("id", "vec", "block", "norm", "good", "bad")
+    seen = written(seen.mapInPandas(visit, f"id long, vec {rows.schema['vec'].dataType.simpleString()}, block int, others array<int>"), "knn-visits")
+    return seen.select("id", "vec", "block", F.explode("others").alias("other"))
 
 
 def knn_margin(rows: DataFrame, k: int, blocks: int) -> DataFrame:
     """M1: id, margin: mean of the k largest similarities (dot products) to other positives less that to other negatives; rows: id (unique), vec, positive.
 
     Exact for any vectors; rows without one are left out. Rows lie in cells of their nearest pivot.
-    A first round compares each part of a cell with itself, which gives every row a k-th best; a
-    second one compares it with the parts that bounds do not exclude, in tasks of two parts each.
-    Where vectors have no clusters few parts are excluded, and work grows with the square of the rows.
+    Near cells share a block. A first round compares each block with itself, which gives every row a
+    k-th best; a second one compares it with the blocks that bounds do not exclude, in tasks of two
+    blocks each. Where vectors have no clusters few are excluded, and work grows with the square of the rows.
     """
     ship(rows.sparkSession)
-    celled, pivots = in_cells(rows, blocks)
+    celled, pivots, places = in_cells(rows, blocks)
     if not len(pivots):
         return rows.select("id", F.lit(None).cast("double").alias("margin")).limit(0)
-    own = written(celled.groupBy("cell", "part").applyInPandas(lambda part: nearest(part, part, k), NEAR), "knn-own")
-    visits = open_parts(celled, pivots, own, k)
-    pairs = visits.select(F.col("cell").alias("qcell"), F.col("part").alias("qpart"), "other", "opart").distinct()
-    met = celled.select(F.col("cell").alias("other"), F.col("part").alias("opart"), "id", "vec", "positive").join(pairs, ["other", "opart"])
-    sides = visits.groupBy("cell", "part", "other", "opart"), met.groupBy("qcell", "qpart", "other", "opart")
+    own = written(celled.groupBy("block").applyInPandas(lambda block: nearest(block, block, k), NEAR), "knn-own")
+    visits = open_blocks(celled, pivots, places, own, k)
+    pairs = visits.select(F.col("block").alias("of"), "other").distinct()
+    met = celled.select(F.col("block").alias("other"), "id", "vec", "positive").join(pairs, "other")
+    sides = visits.groupBy("block", "other"), met.groupBy("of", "other")
     far = sides[0].cogroup(sides[1]).applyInPandas(lambda queries, others: nearest(queries, others, k), NEAR)
     rank = F.row_number().over(Window.partitionBy("id", "positive").orderBy(F.desc("sim")))
     top = own.unionByName(far).withColumn("nth", rank).filter(F.col("nth") <= k).groupBy("id").agg(*(F.avg(F.when(test, F.col("sim"))).alias(n) for n, test in (("good", F.col("positive")), ("bad", ~F.col("positive")))))
