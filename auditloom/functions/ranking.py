@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Values of the order column in a block.
@@ -24,6 +24,20 @@ def ranked(df: DataFrame, group: str, order: str, name: str = "nth", block: int
     return rows.withColumn("_own", own).join(base, [group, "_blk"]).withColumn(name, (F.col("_base") + F.col("_own")).cast("long")).drop("_blk", "_own", "_base")
 
 
+def summed_before(df: DataFrame, group: str, order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+    """df with name: the sum of value over the group's rows before this one by an integer order column, unique in the group; nulls add nothing.
+
+    A window sums within blocks of order values, and one over the blocks' sums gives what comes
+    before, so a task holds the rows of a block or the blocks of a group. Null groups are one group.
+    """
+    rows = df.withColumns({"_blk": F.floor(F.col(order) / block), "_v": value})
+    before = F.sum("_s").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    base = rows.groupBy(F.col(group).alias("_g"), F.col("_blk").alias("_b")).agg(F.sum("_v").alias("_s")).withColumn("_base", F.coalesce(before, F.lit(0))).drop("_s")
+    own = F.sum("_v").over(Window.partitionBy(group, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    met = rows.withColumn("_own", F.coalesce(own, F.lit(0))).join(base, F.col(group).eqNullSafe(F.col("_g")) & F.col("_blk").eqNullSafe(F.col("_b")))
+    return met.select(*df.columns, (F.col("_base") + F.col("_own")).cast("long").alias(name))
+
+
 def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], cells: int = CELLS) -> DataFrame:
     """df with name: the sum of a column over the rows of the keys up to this one by order, for each name: column of sums.
 

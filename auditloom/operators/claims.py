@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import scan
+from ..functions.ranking import summed_before
 from ..functions.shipping import ship
 
 
@@ -157,15 +158,33 @@ def assess(claims: DataFrame, facts: DataFrame, conflicts: DataFrame, market: st
 
 
 def line_offsets(lines: DataFrame) -> DataFrame:
-    """Lines (doc, line_no, text) with start and end in the text joined by line ends."""
-    before = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long")
-    return lines.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
+    """Lines (doc, line_no, text) with start and end in the text joined by line ends. A null text has no end and takes no place.
 
+    The sums go by blocks of lines, so a document of very many lines is no single task.
+    """
+    placed = summed_before(lines, "doc", "line_no", F.length("text") + 1, "start")
+    return placed.withColumn("end", F.col("start") + F.length("text"))
+
+
+#: Characters of a bin in which lines and spans of a document meet.
+SPAN_BIN = 4096
+
+
+def span_lines(lines: DataFrame, spans: DataFrame, width: int = SPAN_BIN) -> DataFrame:
+    """Doc, line_no, start and end of the lines that a span (doc, from_, to_, more columns) touches, with the span's columns.
+
+    A line and a span meet in the bins of offsets that both reach, and count in the first of these
+    alone, so lines and spans that are far apart never meet and no pair comes twice. An empty line
+    or span is touched inside the other, not at its ends; a span that ends before it starts, or has
+    no end, touches nothing.
+    """
+    def bins(at: str, to: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(at) / width), F.floor(F.col(to) / width)))
 
-def span_lines(lines: DataFrame, spans: DataFrame) -> DataFrame:
-    """Lines that a span (doc, from_, to_) touches."""
-    return line_offsets(lines).join(spans, "doc").filter((F.col("start") < F.col("to_")) & (F.col("end") > F.col("from_")))
+    placed = line_offsets(lines).filter("end is not null").select("doc", "line_no", "start", "end", bins("start", "end").alias("_bin"))
+    asked = spans.filter("from_ <= to_").select("*", bins("from_", "to_").alias("_bin"))
+    first = F.floor(F.greatest("start", "from_") / width)
+    return placed.join(asked, ["doc", "_bin"]).filter((F.col("start") < F.col("to_")) & (F.col("end") > F.col("from_")) & (F.col("_bin") == first)).drop("_bin")
 
 
 def eligible_references(posts: DataFrame, refs: DataFrame, keep: int = 8) -> DataFrame:
