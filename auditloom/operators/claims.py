@@ -15,6 +15,7 @@ from ..functions import lexicons as lx
 from ..functions import scan
 from ..functions.ranking import summed_before
 from ..functions.shipping import ship
+from ..sources.io import written
 
 
 def claim_table(texts: DataFrame, keys: list[str], text: str = "text", product: Column | None = None) -> DataFrame:
@@ -92,11 +93,28 @@ def value_text() -> Column:
     return F.coalesce("shade", F.col("value").cast("string"))
 
 
+def comparable(claims: DataFrame, *more: str) -> DataFrame:
+    """What J3 needs of claims: doc, idx, quote, stance, v (the value), key (of J2, null for a claim that can't be compared), and more columns."""
+    return claims.select("doc", "idx", "quote", "stance", value_text().alias("v"), comparable_key().alias("key"), *more)
+
+
 def align(body: DataFrame, image: DataFrame) -> DataFrame:
     """Each asserted body claim with a value: equal, conflict, or none / many candidates in its document's image."""
-    left = body.filter("stance = 'asserted' and (value is not null or shade is not null)").select("doc", "idx", "quote", value_text().alias("v"), comparable_key().alias("key"))
+    return _aligned(comparable(body), comparable(image))
+
+
+def align_sides(texts: DataFrame, body: str = "body", image: str = "image") -> DataFrame:
+    """J3 for texts (doc, a column of body text, one of image text): claims of both sides come from one scan and are written once, then meet as in align."""
+    sides = F.array(*(F.struct(F.lit(name).alias("side"), F.col(c).alias("text")) for name, c in (("body", body), ("image", image))))
+    each = texts.select("doc", F.explode(sides).alias("_s")).select("doc", "_s.side", "_s.text")
+    claims = written(comparable(claim_table(each, ["doc", "side"]), "side"), "claim-sides")
+    return _aligned(claims.filter("side = 'body'"), claims.filter("side = 'image'"))
+
+
+def _aligned(body: DataFrame, image: DataFrame) -> DataFrame:
+    left = body.filter("stance = 'asserted' and v is not null").select("doc", "idx", "quote", "v", "key")
     # candidates fold to a count and one value before the join
-    other = image.select("doc", comparable_key().alias("key"), value_text().alias("w")).filter("key is not null").groupBy("doc", "key").agg(F.count("*").alias("n"), F.min("w").alias("w"))
+    other = image.filter("key is not null").groupBy("doc", "key").agg(F.count("*").alias("n"), F.min("v").alias("w"))
     found = left.join(other, ["doc", "key"], "left")
     status = F.when(F.coalesce("n", F.lit(0)) == 0, "none").when(F.col("n") > 1, "many").when(F.col("v") == F.col("w"), "equal").otherwise("conflict")
     return found.select("doc", "idx", "quote", "v", F.when(F.col("n") == 1, F.col("w")).alias("w"), status.alias("status"))

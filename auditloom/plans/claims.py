@@ -129,17 +129,22 @@ SELECT asset, line, array_to_string(t, ',') AS tiers, t[1] AS top_tier FROM t WH
 
 def _joined(c, line, keep):
     """Rows' lines of an asset in order, joined by line ends."""
-    lines = F.array_sort(F.collect_list(F.struct("line", line.alias("t"))))
-    return c.filter(keep).groupBy(F.col("asset").alias("doc")).agg(F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("text"))
+    return c.filter(keep).groupBy(F.col("asset").alias("doc")).agg(_text(line).alias("text"))
 
 
-def _body_image(spark, sf_dir):
+def _text(line):
+    """A group's lines in order, joined by line ends; null ones are left out."""
+    lines = F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct("line", line.alias("t")))))
+    return F.array_join(F.transform(lines, lambda x: x["t"]), "\n")
+
+
+def _aligned(spark, sf_dir):
     c = tb.captions(spark, sf_dir)
-    return tuple(cl.claim_table(_joined(c, F.col(k), F.col(k).isNotNull()), ["doc"]) for k in ("copy", "image"))
+    return cl.align_sides(c.groupBy(F.col("asset").alias("doc")).agg(_text(F.col("copy")).alias("body"), _text(F.col("image")).alias("image")))
 
 
 def j3_alignment(spark, sf_dir):
-    return cl.align(*_body_image(spark, sf_dir)).select("doc", F.regexp_extract("quote", "P([0-9]+)", 1).cast("long").alias("part"), F.col("v").cast("double").alias("v"), F.col("w").cast("double").alias("w"), "status")
+    return _aligned(spark, sf_dir).select("doc", F.regexp_extract("quote", "P([0-9]+)", 1).cast("long").alias("part"), F.col("v").cast("double").alias("v"), F.col("w").cast("double").alias("w"), "status")
 
 
 J3_BODY = "SELECT asset AS doc, part, value::DOUBLE AS v, image_value::DOUBLE AS w, CASE WHEN image_value IS NULL THEN 'none' WHEN image_value = value THEN 'equal' ELSE 'conflict' END AS status FROM caption WHERE kind IN (0, 4, 5)"
@@ -159,7 +164,7 @@ J4_BODY = f"""SELECT doc, 'number' AS kind, 'medium' AS severity FROM ({J3_BODY}
 
 
 def j4_contradictions(spark, sf_dir):
-    return cl.contradictions(cl.align(*_body_image(spark, sf_dir)), _signals(spark, sf_dir))
+    return cl.contradictions(_aligned(spark, sf_dir), _signals(spark, sf_dir))
 
 
 J4_SQL = f"{C}, {SIGNALS_SQL} {J4_BODY}"
@@ -167,7 +172,7 @@ J4_SQL = f"{C}, {SIGNALS_SQL} {J4_BODY}"
 
 def d11_conflict_levels(spark, sf_dir):
     s = _signals(spark, sf_dir)
-    found = cl.contradictions(cl.align(*_body_image(spark, sf_dir)), s)
+    found = cl.contradictions(_aligned(spark, sf_dir), s)
     return cl.conflict_levels(s.withColumn("comparable", F.col("has_image")), found)
 
 
