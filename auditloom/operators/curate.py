@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,10 +87,23 @@ def known_originals(items: DataFrame, catalog: DataFrame) -> DataFrame:
     return out.select("name", "digest", F.when(F.col("n1") != F.col("name"), F.col("n1")).otherwise(F.col("n2")).alias("known_original"))
 
 
+def new_rows(rows: DataFrame, catalog: DataFrame, key: list[str], kind: str | None = "brand_claim") -> DataFrame:
+    """Rows of the allowed kind (None: any) whose key the catalogue lacks, one a key; null parts of a key count as equal.
+
+    Keys of the rows are looked up in the catalogue, so a small import moves no catalogue.
+    """
+    fresh = (rows.filter(F.col("source_type") == kind) if kind else rows).dropDuplicates(key)
+
+    def same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        other = right.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key)))
+        return left.join(other, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key))), how)
+
+    return same(fresh, same(catalog.select(*key), fresh, "left_semi"), "left_anti")
+
+
 def imported(rows: DataFrame, catalog: DataFrame, key: list[str], kind: str = "brand_claim") -> DataFrame:
     """Catalogue with the rows of the allowed kind that it doesn't have yet; importing twice changes nothing."""
-    new = rows.filter(F.col("source_type") == kind).dropDuplicates(key).join(catalog, key, "left_anti")
-    return catalog.unionByName(new.select(*catalog.columns))
+    return catalog.unionByName(new_rows(rows, catalog, key, kind).select(*catalog.columns))
 
 
 def first_of_content(items: DataFrame, least_side: int = 200) -> DataFrame:

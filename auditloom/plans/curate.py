@@ -8,6 +8,8 @@ from ..functions import text as tx
 from ..operators import curate as cu
 from ..operators import decide as dc
 from ..operators import tracing as tr
+from ..sources import io
+from ..streaming import intake
 from . import tables as tb
 
 M = f"WITH {tb.MANIFEST_SQL}"
@@ -81,6 +83,18 @@ J10_SQL = """WITH d AS (SELECT source, lang, md5(text) AS e, doc_id FROM documen
 u AS (SELECT * FROM a UNION SELECT * FROM b) SELECT source, count(*) AS n FROM u GROUP BY source"""
 
 
+def j10_stream(spark, sf_dir):
+    """J10 as a stream whose rows are all delivered twice, with a stop between: the batch query's rows."""
+    d = tb.table(spark, sf_dir, "documents").select("source", F.col("lang").alias("product"), F.md5("text").alias("excerpt"), F.when(F.col("doc_id") % 3 > 0, "brand_claim").otherwise("method").alias("source_type"), "doc_id")
+    key = ["source", "product", "excerpt"]
+    cat = d.filter("doc_id % 5 = 0").dropDuplicates(key).select(*key, "source_type")
+    incoming, path, checkpoint = (io.new_path(spark, f"intake-{x}") for x in ("files", "catalogue", "checkpoint"))
+    for _ in range(2):
+        d.write.mode("append").parquet(incoming)
+        intake.import_stream(spark.readStream.schema(d.schema).parquet(incoming), cat, path, checkpoint, key).awaitTermination()
+    return intake.batches(spark, path, cat.schema).groupBy("source").agg(F.count("*").alias("n"))
+
+
 def w1_first_content(spark, sf_dir):
     d = tb.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.sha2("text", 256).alias("digest"), F.col("n_chars").alias("side"))
     return cu.first_of_content(d)
@@ -339,5 +353,5 @@ def d12_with_matrix(spark, sf_dir):
 D12_SQL = f"WITH {_J8}, {_D10} SELECT CASE WHEN risk = 'high' THEN 'high_risk' WHEN risk = 'medium' OR (asset % 50) % 3 = 0 THEN 'suspicious' ELSE 'credible' END AS level, count(*) AS n FROM d GROUP BY 1"
 
 QUERIES = {n: (globals()[n], globals()[f"{n.split('_')[0].upper()}_SQL"]) for n in (
-    "p1_row_rules", "p2_leaks", "p3_frozen", "p4_split", "p5_provenance", "p6_pseudo_labels", "p7_weights", "p8_label_gate", "p9_lineage", "j8_categories", "j9_originals", "j10_import", "j14_orphans", "j15_fingerprints", "j16_predictions",
+    "p1_row_rules", "p2_leaks", "p3_frozen", "p4_split", "p5_provenance", "p6_pseudo_labels", "p7_weights", "p8_label_gate", "p9_lineage", "j8_categories", "j9_originals", "j10_import", "j10_stream", "j14_orphans", "j15_fingerprints", "j16_predictions",
     "j18_packages", "j19_runs", "w1_first_content", "t15_watermarks", "t16_source_claims", "t17_brands", "t18_labels", "t19_tags", "t20_credentials", "t21_licenses", "t23_reports", "t24_gates", "t25_references", "d10_trace_verdicts", "d12_with_matrix")} | {"j18_missing": (j18_missing, J18M_SQL)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decide as dc
+from ..sources import io
+from ..streaming import intake
 from . import tables as tb
 from .evaluate import rounded
 
@@ -169,6 +171,20 @@ _D = "d AS (SELECT event_id % 3000 AS asset, arg_max(event_type, event_id) AS de
 W2_SQL = f"WITH {_D} SELECT * FROM d"
 
 
+#: Seconds that numbers of events are moved by when they stand for stamps, as watermarks begin at 1970.
+EPOCH = 1_000_000_000
+
+
+def w2_stream(spark, sf_dir):
+    """W2 as a stream whose rows are all delivered twice, with a stop between: the batch query's rows."""
+    d = _decisions(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("ts") + EPOCH))
+    incoming, path, checkpoint = (io.new_path(spark, f"intake-{x}") for x in ("files", "decisions", "checkpoint"))
+    for _ in range(2):
+        d.write.mode("append").parquet(incoming)
+        intake.decision_stream(spark.readStream.schema(d.schema).parquet(incoming), path, checkpoint).awaitTermination()
+    return intake.latest(spark, path, d.schema).withColumn("ts", F.unix_seconds("ts") - EPOCH)
+
+
 def k2_queue(spark, sf_dir):
     v = dc.judged(_evidence(spark, sf_dir)).select("asset", "level", F.col("ai_score").alias("score"))
     return dc.review_queue(v, _decisions(spark, sf_dir))
@@ -214,5 +230,5 @@ U3_SQL = "SELECT c_name AS name, c_custkey, c_name IN (SELECT c_name FROM custom
 QUERIES = {
     "d1_signals": (d1_signals, D1_SQL), "d2_verdicts": (d2_verdicts, D2_SQL), "d3_overlay": (d3_overlay, D3_SQL), "d4_playbook": (d4_playbook, D4_SQL), "d5_skips": (d5_skips, D5_SQL), "d6_follow_ups": (d6_follow_ups, D6_SQL),
     "d7_trace": (d7_trace, D7_SQL), "d8_roles": (d8_roles, D8_SQL), "d9_checks": (d9_checks, D9_SQL), "d13_skin": (d13_skin, D13_SQL), "j17_recommendations": (j17_recommendations, J17_SQL), "k1_board": (k1_board, K1_SQL),
-    "w2_latest": (w2_latest, W2_SQL), "k2_queue": (k2_queue, K2_SQL), "k3_records": (k3_records, K3_SQL), "u1_export": (u1_export, U1_SQL), "u2_overlay": (u2_overlay, U2_SQL), "u3_membership": (u3_membership, U3_SQL),
+    "w2_latest": (w2_latest, W2_SQL), "w2_stream": (w2_stream, W2_SQL), "k2_queue": (k2_queue, K2_SQL), "k3_records": (k3_records, K3_SQL), "u1_export": (u1_export, U1_SQL), "u2_overlay": (u2_overlay, U2_SQL), "u3_membership": (u3_membership, U3_SQL),
 }

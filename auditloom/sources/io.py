@@ -49,7 +49,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_evidence(spark: SparkSession, path: str, tools: list[str]) -> DataFrame:
     """A row for each asset with a column for each tool of a fixed list; unreadable rows and rows without a tool are left out."""
-    rows = spark.read.schema(EVIDENCE).option("mode", "PERMISSIVE").json(path).filter("tool is not null and source_asset_id is not null")
+    return evidence_table(spark.read.schema(EVIDENCE).option("mode", "PERMISSIVE").json(path), tools)
+
+
+def evidence_table(rows: DataFrame, tools: list[str]) -> DataFrame:
+    """S4 of rows that were read, or gathered from a stream."""
+    rows = rows.filter("tool is not null and source_asset_id is not null")
     return rows.groupBy(F.col("source_asset_id").alias("asset")).agg(*(F.max(F.when(F.col("tool") == t, F.get("evidence", F.lit(0)))).alias(t) for t in tools))
 
 
