@@ -48,21 +48,26 @@ def orphans(manifest: DataFrame) -> DataFrame:
 def near_fingerprints(prints: DataFrame, most: int = 4, bits: int = 64) -> DataFrame:
     """Pairs of fingerprints of different splits within most bits: a, b, distance.
 
-    Of 2 * most blocks of the bits at least most agree, so a join on each choice of most blocks (half
-    of the bits) is exact; a pair counts under the first choice that it agrees on only. Rows fold to
-    one a fingerprint, with its least and greatest split, first: flat images with one are one row.
+    Of most + 3 blocks of the bits at least three agree, so a join on each choice of three blocks is
+    exact; a pair counts under the first choice that it agrees on only. Rows fold to one a
+    fingerprint, with its least and greatest split, first: flat images with one are one row. Only
+    fingerprints move by block, and pairs within the distance look up their splits. The joins are
+    merges: Spark's estimate leaves out how many rows the choices make, so it would broadcast them.
     """
-    edges = [round(i * bits / (2 * most)) for i in range(2 * most + 1)]
+    edges = [round(i * bits / (most + 3)) for i in range(most + 4)]
     blocks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
-    masks = [sum(c) for c in combinations(blocks, most)]
+    masks = [sum(c) for c in combinations(blocks, 3)]
     masks = F.array(*(F.lit(m - (1 << 64) if m >= 1 << 63 else m) for m in masks))
-    rows = prints.groupBy("fp").agg(F.min("split").alias("s"), F.max("split").alias("t"))
-    rows = rows.select("fp", "s", "t", F.posexplode(masks).alias("i", "mask")).select("i", F.col("fp").bitwiseAND(F.col("mask")).alias("v"), "fp", "s", "t")
-    a, b = (rows.select("i", "v", F.col("fp").alias(x), F.col("s").alias(f"s{x}"), F.col("t").alias(f"t{x}")) for x in "ab")
+    rows = prints.filter("fp is not null").groupBy("fp").agg(F.min("split").alias("s"), F.max("split").alias("t"))
+    keys = rows.select("fp", F.posexplode(masks).alias("i", "mask")).select("i", F.col("fp").bitwiseAND(F.col("mask")).alias("v"), "fp")
+    a, b = (keys.select("i", "v", F.col("fp").alias(x)).hint("merge") for x in "ab")
     apart = F.col("a").bitwiseXOR(F.col("b"))
-    other_split = (F.col("sa") != F.col("tb")) | (F.col("ta") != F.col("sb"))
     first = F.array_position(F.transform(masks, lambda m: m.bitwiseAND(apart) == 0), True) == F.col("i") + 1
-    return a.join(b, ["i", "v"]).filter((F.col("a") <= F.col("b")) & other_split & (F.bit_count(apart) <= most) & first).select("a", "b", F.bit_count(apart).alias("distance"))
+    near = a.join(b, ["i", "v"]).filter((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most) & first).select("a", "b")
+    for x in "ab":
+        near = near.join(rows.select(F.col("fp").alias(x), F.col("s").alias(f"s{x}"), F.col("t").alias(f"t{x}")), x)
+    near = near.filter((F.col("sa") != F.col("tb")) | (F.col("ta") != F.col("sb"))).select("a", "b", F.bit_count(apart).alias("distance"))
+    return near.unionByName(rows.filter("s <> t").select(F.col("fp").alias("a"), F.col("fp").alias("b"), F.lit(0).alias("distance")))
 
 
 def matched_predictions(manifest: DataFrame, predictions: DataFrame) -> DataFrame:
