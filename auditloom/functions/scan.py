@@ -2,7 +2,7 @@
 
 Arrow helpers find where the patterns of a table, or the words of a list (by one automaton), match in
 a text's clauses; texts and clauses
-without a word that a match needs are left out before. What a match means (stance, severity, metric,
+without a word that a match needs are left out before, texts by one test of a whole batch. What a match means (stance, severity, metric,
 product, period, version) are column expressions over its row. Places count characters from 0.
 """
 
@@ -25,7 +25,12 @@ from .text import let
 
 #: Java reads \s, \d and \w as Python does with this flag.
 UNICODE = "(?U)"
-MATCH = "nth int, quote string, line string, start int, stop string, entry int, k int, seen long, at int, g1 string, g2 string, g3 string, reported boolean, context string"
+MATCH = "nth int, quote string, line string, start int, stop string, entry int, k int, seen long, at int, g1 string, g2 string, g3 string, reported boolean, context string, may int"
+
+#: Bits of may: what a row's clause may have, by a test of all rows at once that leaves nothing out; where it says no, the pattern proper is not tried.
+MAY_DENY, MAY_EDITION, MAY_PEOPLE, MAY_TERMS, MAY_PRODUCT, HAS_PRODUCT = (1 << i for i in range(6))
+#: For each bit, the column that is tested (its place in MATCH) and what any match of the pattern proper has; for the last one, the pattern itself, so it says yes only where the clause surely names a product (\\s is ASCII here).
+MAY = [(1, "[不无非]|没有|未见|错误|虚假"), (2, "[版代]"), (2, lx.PEOPLE), (2, lx.TERMS), (1, "产品|【"), (1, lx.PRODUCT)]
 
 
 def _either(words) -> str:
@@ -50,46 +55,80 @@ def clause_spans(text: Column) -> Column:
     return F.arrow_udf(spans, "array<struct<quote string, start int, end int>>")(F.coalesce(text, F.lit("")))
 
 
+_QUOTED, _NEAR, _CLAUSE = re.compile(lx.QUOTED), re.compile(f"{lx.REPORTING}|{lx.UNTRUE}"), re.compile(f"[^{lx.STOPS}]+")
+
+
 def _reported(text: str) -> list[tuple[int, int]]:
     """Spans of quotes with a word of reporting or of denial near them."""
-    near = re.compile(f"{lx.REPORTING}|{lx.UNTRUE}")
-    return [q.span() for q in re.finditer(lx.QUOTED, text) if near.search(text, max(0, q.start() - 16), q.start()) or near.search(text, q.end(), q.end() + 12)]
+    return [q.span() for q in _QUOTED.finditer(text) if _NEAR.search(text, max(0, q.start() - 16), q.start()) or _NEAR.search(text, q.end(), q.end() + 12)]
 
 
 def _scanner(patterns: list[tuple[str, tuple[str, ...]]], hint: str, compatible: bool) -> Callable[[pa.Array], pa.Array]:
-    """From texts to lists of MATCH rows: what each pattern of the table finds in the clauses that hint matches and that have one of the pattern's words."""
-    table, need, clause = [(re.compile(p), words) for p, words in patterns], re.compile(hint), re.compile(f"[^{lx.STOPS}]+")
+    """From texts to lists of MATCH rows: what each pattern of the table finds in the clauses that hint matches and that have one of the pattern's words.
 
-    def of_text(text: str) -> list[tuple]:
+    Which patterns have a word anywhere in a text is found for all texts at once, so that a clause
+    meets these alone.
+    """
+    table, need = [(re.compile(p), words) for p, words in patterns], re.compile(hint)
+
+    def of_text(text: str, plain: bool, some: list[int]) -> list[tuple]:
         rows, spans = [], None
-        for nth, c in enumerate(clause.finditer(text)):
-            quote, start, seen = c[0], c.start(), 0
-            if not need.search(quote):
-                continue
-            line = quote if not compatible or unicodedata.is_normalized("NFKC", quote) else unicodedata.normalize("NFKC", quote)
-            for i, (pattern, words) in enumerate(table):
-                if not any(w in line for w in words):
+        for nth, c in enumerate(_CLAUSE.finditer(text)):
+            quote, start, seen, needed = c[0], c.start(), 0, False
+            line = quote if plain else unicodedata.normalize("NFKC", quote)
+            for i in some:
+                pattern, words = table[i]
+                for w in words:
+                    if w in line:
+                        break
+                else:
                     continue
-                before = seen
+                if not needed and not need.search(quote):
+                    break
+                needed, before = True, seen
                 for k, m in enumerate(pattern.finditer(line)):
                     spans = _reported(text) if spans is None else spans
-                    at = start + m.start()
+                    own = m.start()
+                    at = start + own
                     groups = (*m.groups(), None, None, None)[:3]
-                    rows.append((nth, quote, line, start, text[c.end() : c.end() + 1], i, k, before, m.start(), *groups, any(a < at < b for a, b in spans), text[max(0, at - 12) : at + len(m[0]) + 12]))
+                    rows.append((nth, quote, line, start, text[c.end() : c.end() + 1], i, k, before, own, *groups, any([a < at < b for a, b in spans]), text[max(0, at - 12) : at + len(m[0]) + 12]))
                     seen |= 1 << i
         return rows
 
-    return lambda texts: _listed(texts, of_text)
-
-
-def _listed(texts: pa.Array, of_text: Callable[[str], list[tuple]]) -> pa.Array:
-    """Lists of MATCH rows of texts."""
+    def scan(texts: pa.Array) -> pa.Array:
+        has = pc.fill_null(pc.match_substring_regex(texts, hint), False)
+        out: list[list[tuple]] = [[] for _ in range(len(texts))]
+        few = texts.filter(has)
+        given = few.to_pylist()
+        plain = [not compatible or unicodedata.is_normalized("NFKC", t) for t in given]
+        lines = few if all(plain) else pa.array([t if p else unicodedata.normalize("NFKC", t) for t, p in zip(given, plain, strict=True)], pa.string())
+        some: list[list[int]] = [[] for _ in given]
+        for i, (_, words) in enumerate(table):
+            if words:
+                for at in np.flatnonzero(pc.match_substring_regex(lines, _either(words)).to_numpy(zero_copy_only=False)).tolist():
+                    some[at].append(i)
+        for at, t, p, own in zip(np.flatnonzero(has.to_numpy(zero_copy_only=False)).tolist(), given, plain, some, strict=True):
+            out[at] = of_text(t, p, own) if own else []
+        return _listed(out)
+
+    return scan
+
+
+def _listed(found: list[list[tuple]]) -> pa.Array:
+    """Lists of MATCH rows as Arrow's."""
     names = [x.split()[0] for x in MATCH.split(", ")]
     kinds = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in MATCH.split(", ")]
-    found = [of_text(t) if t else [] for t in texts.to_pylist()]
     offsets = np.concatenate([[0], np.cumsum([len(rows) for rows in found])]).astype(np.int32)
-    cols = list(zip(*(r for rows in found for r in rows), strict=True)) or [()] * len(names)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names))
+    cols = list(zip(*(r for rows in found for r in rows), strict=True)) or [()] * (len(names) - 1)
+    arrays = [pa.array(c, k) for c, k in zip(cols, kinds[:-1], strict=True)]
+    may = np.zeros(len(arrays[0]), np.int32)
+    for bit, (place, pattern) in enumerate(MAY):
+        may |= pc.match_substring_regex(arrays[place], pattern).to_numpy(zero_copy_only=False).astype(np.int32) << bit
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([*arrays, pa.array(may)], names))
+
+
+def may(row: Column, bit: int) -> Column:
+    return row["may"].bitwiseAND(F.lit(bit)) != 0
 
 
 @lru_cache(8)
@@ -114,7 +153,7 @@ def _words_of(text: str, words: tuple[str, ...]) -> list[tuple]:
     hits = [(end - n + 1, end + 1, i) for end, (n, own) in automaton.iter(text) for i in own] if automaton else []
     if not hits:
         return []
-    clauses = list(re.finditer(f"[^{lx.STOPS}]+", text))
+    clauses = list(_CLAUSE.finditer(text))
     starts, spans = [c.start() for c in clauses], _reported(text)
     inside = []
     for at, end, i in hits:
@@ -132,27 +171,34 @@ def _words_of(text: str, words: tuple[str, ...]) -> list[tuple]:
     return rows
 
 
-#: Words beyond which texts reach the automaton without a test in the JVM, whose patterns try word after word.
+#: Words beyond which texts reach the automaton without a test of all texts at once.
 TESTED_WORDS = 200
 
 
 def words_found(text: Column, words: list[str]) -> Column:
     """Array of MATCH rows for words, in the order of clause, word and place; seen is 0."""
     own = tuple(words)
-    scan = F.arrow_udf(lambda texts: _listed(texts, lambda t: _words_of(t, own)), f"array<struct<{MATCH}>>")
-    return scan(F.when(text.rlike(_either(dict.fromkeys(w for w in own if w))), text) if 0 < len(own) <= TESTED_WORDS else text)
+    tested = _either(dict.fromkeys(w for w in own if w)) if 0 < len(own) <= TESTED_WORDS else ""
+
+    def scan(texts: pa.Array) -> pa.Array:
+        out: list[list[tuple]] = [[] for _ in range(len(texts))]
+        has = pc.fill_null(pc.match_substring_regex(texts, tested), False)
+        for at, t in zip(np.flatnonzero(has.to_numpy(zero_copy_only=False)).tolist(), texts.filter(has).to_pylist(), strict=True):
+            out[at] = _words_of(t, own)
+        return _listed(out)
+
+    return F.arrow_udf(scan, f"array<struct<{MATCH}>>")(text)
 
 
 def found(text: Column, patterns: list[tuple[str, tuple[str, ...]]], hint: str, compatible: bool = False) -> Column:
-    """Array of MATCH rows for the patterns of a table; texts that hint does not match have none and don't reach Python."""
-    scan = F.arrow_udf(_scanner(patterns, hint, compatible), f"array<struct<{MATCH}>>")
-    return scan(F.when(text.rlike(hint), text))
+    """Array of MATCH rows for the patterns of a table; texts that hint does not match have none: Arrow tests all texts of a batch at once."""
+    return F.arrow_udf(_scanner(patterns, hint, compatible), f"array<struct<{MATCH}>>")(text)
 
 
 def stance(row: Column) -> Column:
     """asserted, negated, quoted or question, of a MATCH row; negation goes first, then quotes."""
     denied = F.left(row["quote"], row["at"]).rlike(rf"{UNICODE}(?:{lx.DENIALS})\s*(?:(?:{lx.ACTIONS})\s*)?\z") | F.substring(row["quote"], row["at"] + 1, F.length(row["quote"])).rlike(lx.FALSE_TAIL)
-    return F.when(denied, "negated").when(row["reported"], "quoted").when(row["stop"].isin("？", "?"), "question").otherwise("asserted")
+    return F.when(may(row, MAY_DENY) & denied, "negated").when(row["reported"], "quoted").when(row["stop"].isin("？", "?"), "question").otherwise("asserted")
 
 
 def scanned(text: Column, words: dict[str, list[str]] | None = None, severity: dict[str, str] | None = None, review: str = lx.REVIEW_WORD) -> Column:
@@ -207,10 +253,12 @@ def declared_product(text: Column) -> Column:
     return F.when(text.rlike(UNICODE + lx.PRODUCT), let(names, lambda ns: F.when(F.size(ns) == 1, ns[0])))
 
 
-def product_of(quote: Column, known: Column) -> Column:
-    """A clause's product: its own, or the known one where the clause names it."""
-    own = F.array_max(F.array(*(F.regexp_extract(quote, UNICODE + lx.PRODUCT, i) for i in (1, 2))))
-    return F.when(quote.rlike(UNICODE + lx.PRODUCT), stripped(own)).when(names_product(quote, known), known)
+def product_of(row: Column, known: Column) -> Column:
+    """The product of a MATCH row's clause: its own, or the known one where the clause names it."""
+    quote = row["quote"]
+    named, declared = (F.regexp_extract(quote, UNICODE + lx.PRODUCT, i) for i in (2, 1))
+    own = stripped(let(named, lambda x: F.when(x != "", x).otherwise(declared)))  # one of the groups is empty
+    return F.when(may(row, HAS_PRODUCT), own).when(may(row, MAY_PRODUCT) & quote.rlike(UNICODE + lx.PRODUCT), own).when(names_product(quote, known), known)
 
 
 def _all(line: Column, pattern: str, group: int = 0) -> Column:
@@ -219,13 +267,14 @@ def _all(line: Column, pattern: str, group: int = 0) -> Column:
 
 def days_of(line: Column) -> Column:
     """The one period of a clause in days, or null."""
-    def days(n: Column, unit: Column) -> Column:
-        return n.cast("double") * F.when(unit == "周", 7).otherwise(1)
+    def days(period: Column) -> Column:
+        return F.regexp_extract(period, r"\A[0-9.]+", 0).cast("double") * F.when(F.right(period, F.lit(1)) == "周", 7).otherwise(1)
+
+    def one(periods: Column) -> Column:
+        each = let(F.array_distinct(F.transform(periods, days)), lambda ds: F.when(F.size(ds) == 1, ds[0]))
+        return F.when(F.size(periods) == 1, days(F.get(periods, F.lit(0)))).when(F.size(periods) > 1, each)
 
-    n = F.regexp_count(line, F.lit(UNICODE + lx.PERIOD))
-    one = days(*(F.regexp_extract(line, UNICODE + lx.PERIOD, i) for i in (1, 2)))
-    each = F.zip_with(_all(line, lx.PERIOD, 1), _all(line, lx.PERIOD, 2), days)
-    return F.when(n == 1, one).when(n > 1, let(F.array_distinct(each), lambda ds: F.when(F.size(ds) == 1, ds[0])))
+    return let(_all(line, lx.PERIOD), one)
 
 
 def version_of(line: Column) -> Column:
@@ -259,7 +308,7 @@ def stated(row: Column) -> dict[str, Column]:
         variant = F.when(own, row[f"g{groups['variant']}"]).otherwise(variant) if "variant" in groups else variant
     metric = F.when(entry == shade, "色号").when(entry == effect, F.substring(row["line"], row["at"] + 1, F.lit(2))).when(entry > effect, lx.METRIC_PHOTO).otherwise(metric)
     names = F.create_map(*(F.lit(x) for kv in lx.UNIT_NAMES.items() for x in kv))
-    unit = F.when(entry == shade, "色号").otherwise(F.coalesce(names[F.lower(unit)], F.lower(unit)))
+    unit = F.when(entry == shade, "色号").when(unit == "%", unit).otherwise(F.coalesce(names[F.lower(unit)], F.lower(unit)))
     hours = (metric == lx.METRIC_HOURS) & (unit == "天")
     real = F.when(entry == effect, row["seen"].bitwiseAND((1 << n) - 1) == 0).when(entry == pair, row["k"] == 0).when(entry == plain, (row["k"] == 0) & (row["seen"].bitwiseAND(1 << pair) == 0)).otherwise(True)
     return {

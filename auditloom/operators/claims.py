@@ -26,16 +26,20 @@ def claim_table(texts: DataFrame, keys: list[str], text: str = "text", product:
     """
     ship(texts.sparkSession)
     given = F.lit(None).cast("string") if product is None else product
-    rows = texts.select(*keys, F.col(text).alias("_text"), given.alias("_given")).filter(F.col("_text").rlike(lx.CLAIM_HINT))
-    known = F.when(F.coalesce("_given", F.lit("")) != "", F.col("_given")).otherwise(scan.declared_product(F.col("_text")))
-    rows = rows.select(*keys, known.alias("_known"), F.explode(scan.found(F.col("_text"), scan.CLAIMS, lx.CLAIM_HINT, compatible=True)).alias("_m"))
+    rows = texts.select(*keys, F.col(text).alias("_text"), given.alias("_given"))
+    rows = rows.withColumn("_ms", scan.found(F.col("_text"), scan.CLAIMS, lx.CLAIM_HINT, compatible=True))
+    # what the whole text declares is asked only where a clause names no product itself
+    asked = F.exists("_ms", lambda r: ~scan.may(r, scan.HAS_PRODUCT))
+    known = F.when(asked, F.when(F.coalesce("_given", F.lit("")) != "", F.col("_given")).otherwise(scan.declared_product(F.col("_text"))))
+    rows = rows.select(*keys, known.alias("_known"), F.explode("_ms").alias("_m"))
     m, quote, line = F.col("_m"), F.col("_m.quote"), F.col("_m.line")
     said = scan.stated(m)
     rows = rows.filter(said["real"])
+    none = F.array().cast("array<string>")
     fields = {
         "idx": F.col("_m.nth").cast("long") * (1 << 20) + F.col("_m.entry") * (1 << 14) + F.col("_m.k"), "quote": scan.stripped(quote), "start": F.col("_m.start"), "end": F.col("_m.start") + F.length(quote),
-        "product": scan.product_of(quote, F.col("_known")), "version": scan.version_of(line), "days": F.when(said["timed"], scan.days_of(line)),
-        "population": scan.sorted_set(line, lx.PEOPLE), "conditions": scan.sorted_set(line, lx.TERMS),
+        "product": scan.product_of(m, F.col("_known")), "version": F.when(scan.may(m, scan.MAY_EDITION), scan.version_of(line)), "days": F.when(said["timed"], scan.days_of(line)),
+        "population": F.when(scan.may(m, scan.MAY_PEOPLE), scan.sorted_set(line, lx.PEOPLE)).otherwise(none), "conditions": F.when(scan.may(m, scan.MAY_TERMS), scan.sorted_set(line, lx.TERMS)).otherwise(none),
         **{c: said[c] for c in ("metric", "variant", "value", "shade", "unit")}, "stance": scan.stance(m),
     }
     return rows.select(*keys, *(x.alias(name) for name, x in fields.items()))

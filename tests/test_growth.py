@@ -1,5 +1,10 @@
 """What must hold when the tables grow: plans that stay bounded, and inputs that only large tables show."""
 
+import pyarrow as pa
+
+from auditloom.functions import lexicons as lx
+from auditloom.functions import scan
+from auditloom.operators import claims as cl
 from auditloom.operators import curate as cu
 from auditloom.operators import vectors as ve
 
@@ -26,3 +31,18 @@ def test_calibration_without_a_telling_feature(spark):
     rows = [(i, i % 2 == 0, float(i // 2 % 4), None) for i in range(400)]
     found = ve.calibration(spark.createDataFrame(rows, "id long, positive boolean, f0 double, f1 double"), ["f0", "f1"], least=0.45)
     assert found.collect() == [] and found.columns[0] == "feature"
+
+
+def test_claim_texts_are_tested_outside_the_jvm(spark):
+    texts = [(0, "产品：甲精华，14天水分提升20%；每天提升水分", None), (1, "【乙面霜】2周水分提升8%。水分提升9%", None), (2, "nothing", "丙"), (3, None, None), (4, "丙7天水分提升５％", "丙"), (5, "【a】丙 1 周2天水分提升5%", "丙"), (6, "产品：丁；乙面霜不能水分提升3%", "")]
+    rows = spark.createDataFrame(texts, "doc long, text string, own string")
+    found = cl.claim_table(rows, ["doc"], product=rows["own"])
+    assert "RLIKE(text" not in plan(found)
+    got = sorted(((r["doc"], r["product"], r["days"], r["value"], r["stance"]) for r in found.collect()), key=str)
+    assert got == [(0, "甲精华", 14.0, 20.0, "asserted"), (1, "乙面霜", 14.0, 8.0, "asserted"), (1, None, None, 9.0, "asserted"), (4, "丙", 7.0, 5.0, "asserted"), (5, "丙", None, 5.0, "asserted"), (6, None, None, 3.0, "negated")]
+
+
+def test_bounds_of_clauses_leave_nothing_out():
+    texts = ["14天水分提升20%", "【甲精华】不能水分提升3%", "第二代水分提升3%", "敏感肌每天水分提升3%的说法错误", "产品: 乙，水分提升3%", "产品水分提升3%"]
+    rows = [r for rs in scan._scanner(scan.CLAIMS, lx.CLAIM_HINT, True)(pa.array(texts)).to_pylist() for r in rs]
+    assert [r["may"] for r in rows] == [0, scan.MAY_DENY | scan.MAY_PRODUCT | scan.HAS_PRODUCT, scan.MAY_EDITION, scan.MAY_DENY | scan.MAY_PEOPLE | scan.MAY_TERMS, scan.MAY_PRODUCT | scan.HAS_PRODUCT, scan.MAY_PRODUCT]
