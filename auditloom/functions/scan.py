@@ -17,8 +17,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import lexicons as lx
 from .text import let
@@ -294,6 +295,137 @@ CLAIMS = [
 ]
 
 
+#: Texts of these characters, without quotes, are scanned by Arrow for all clauses of a batch: of their white space only the blank and the line end occur, their compatible form has as many characters, and both readers of patterns see them alike.
+PLAIN = r"\A[\n -!#-~一-鿿。、【】《》！-～]*\z"
+#: What claim_rows gives for each match: MATCH without seldom used fields, and what Arrow finds of a plain text's clause: own (the product that it names), periods (how many; null: not known) and days of the only one, trim (may the quote have white space at an end).
+CLAIM_ROW = "nth int, quote string, line string, start int, stop string, entry int, k int, seen long, at int, g1 string, g2 string, g3 string, reported boolean, may int, own string, periods int, days double, trim boolean, known string"
+_ROW = [(x.split()[0], {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}[x.split()[1]]) for x in CLAIM_ROW.split(", ")]
+
+
+def _groups(pattern: str) -> str:
+    """The pattern with names for its groups, after what stands before its first match (pre)."""
+    nth = iter(range(1, 99))
+    named = re.sub(r"(?<!\\)\((?!\?)", lambda _: f"(?P<g{next(nth)}>", pattern.removeprefix("(?i)"))
+    return f"(?{'i' if pattern.startswith('(?i)') else ''}s)\\A(?P<pre>.*?)(?:{named})"
+
+
+_GROUPS, _PRODUCT, _PERIOD = {}, _groups(lx.PRODUCT), _groups(lx.PERIOD)
+#: White space as Java's (?U)\s has it.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_DECLARED = re.compile(lx.PRODUCT.replace(r"\s", f"[{_SPACE}]"))
+
+
+def _declared(text: str) -> str | None:
+    """declared_product() of one text."""
+    names = {re.sub(rf"\A[{_SPACE}]+|[{_SPACE}]+\Z", "", x) for found in _DECLARED.findall(text) for x in found if x}
+    return names.pop() if len(names) == 1 else None
+
+
+def _flags(mask: pa.Array) -> np.ndarray:
+    return pc.fill_null(mask, False).to_numpy(zero_copy_only=False)
+
+
+def _plain_claims(texts: pa.Array, patterns: list[tuple[str, tuple[str, ...]]], hint: str) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """Matches in plain texts, by Arrow for all clauses at once: which texts have a pattern twice in a clause (their matches don't count), each match's text, and its CLAIM_ROW but may and known."""
+    parts = pc.split_pattern_regex(texts, f"[{lx.STOPS}]")
+    flat, offsets = parts.flatten(), parts.offsets.to_numpy()
+    sizes = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(parts)), np.diff(offsets))
+    before = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+    codes = np.frombuffer("\n".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+    full = sizes > 0
+    nth = np.cumsum(full) - 1
+    nth -= (np.concatenate([[0], np.cumsum(full)])[offsets[:-1]])[owner]
+    start, after = before - before[offsets[:-1]][owner], before + sizes
+    last = np.zeros(len(flat), bool)
+    last[offsets[1:] - 1] = True
+    keep = full & _flags(pc.match_substring_regex(flat, hint))
+    quote, owner, nth, start, after, last, sizes = flat.filter(pa.array(keep)), owner[keep], nth[keep], start[keep], after[keep], last[keep], sizes[keep]
+    wide = pc.match_substring_regex(quote, "[！-～]")
+    line = pc.replace_with_mask(quote, wide, pa.array([unicodedata.normalize("NFKC", q) for q in quote.filter(wide).to_pylist()], pa.string()))
+    seen, twice, found = np.zeros(len(quote), np.int64), np.zeros(len(texts), bool), []
+    for i, (pattern, words) in enumerate(patterns):
+        at = np.flatnonzero(_flags(pc.match_substring_regex(line, _either(words))))
+        n = pc.count_substring_regex(line.take(pa.array(at)), pattern).to_numpy(zero_copy_only=False)
+        twice[owner[at[n > 1]]] = True
+        at = at[n == 1]
+        if len(at):
+            got = pc.extract_regex(line.take(pa.array(at)), _GROUPS.get(pattern) or _GROUPS.setdefault(pattern, _groups(pattern)))
+            names = [f.name for f in got.type]
+            groups = [pc.struct_field(got, g) if g in names else pa.nulls(len(at), pa.string()) for g in ("g1", "g2", "g3")]
+            found.append((at, np.full(len(at), i, np.int32), seen[at], pc.utf8_length(pc.struct_field(got, "pre")).to_numpy(zero_copy_only=False), groups))
+            seen[at] |= 1 << i
+    if not found:
+        return twice, np.zeros(0, np.int64), pa.table({n: pa.array([], k) for n, k in _ROW})
+    at = np.concatenate([f[0] for f in found])
+    some = pa.array(at)
+    product, period, periods = pc.extract_regex(quote, _PRODUCT), pc.extract_regex(line, _PERIOD), pc.count_substring_regex(line, lx.PERIOD)
+    declared, named = (pc.struct_field(product, g) for g in ("g1", "g2"))  # one of them is empty; null where nothing matches
+    one = pc.if_else(pc.not_equal(named, ""), named, declared)
+    days = pc.multiply(pc.cast(pc.struct_field(period, "g1"), pa.float64()), pc.if_else(pc.equal(pc.struct_field(period, "g2"), "周"), 7.0, 1.0))
+    single = pc.equal(periods, 1)
+    stop = np.where(last[at], 0, codes[np.minimum(after[at], max(len(codes) - 1, 0))])
+    chars = {int(c): chr(c) if c else "" for c in np.unique(stop)}
+    cols = {
+        "nth": nth[at], "quote": quote.take(some), "line": pc.if_else(wide, line, None).take(some), "start": start[at], "stop": [chars[c] for c in stop.tolist()], "entry": np.concatenate([f[1] for f in found]), "k": np.zeros(len(at)), "seen": np.concatenate([f[2] for f in found]),
+        "at": np.concatenate([f[3] for f in found]), **{g: pa.concat_arrays([f[4][j] for f in found]) for j, g in enumerate(("g1", "g2", "g3"))}, "reported": np.zeros(len(at), bool), "may": np.zeros(len(at)),
+        "own": pc.utf8_trim(one, " ").take(some), "periods": periods.take(some), "days": pc.if_else(single, days, None).take(some), "trim": pc.match_substring_regex(quote, r"\A | \z").take(some), "known": pa.nulls(len(at), pa.string()),
+    }
+    return twice, owner[at], pa.table({n: c if isinstance(c := cols[n], pa.Array | pa.ChunkedArray) and c.type == k else pa.array(c).cast(k) for n, k in _ROW})
+
+
+def _claims_of(texts: pa.Array, given: pa.Array, patterns: list[tuple[str, tuple[str, ...]]], hint: str, plain: str) -> tuple[np.ndarray, pa.Table]:
+    """Each match's text and its CLAIM_ROW: of plain texts by Arrow, of others clause by clause."""
+    texts, given = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (texts, given))
+    has = _flags(pc.match_substring_regex(texts, hint))
+    easy = np.flatnonzero(has & _flags(pc.match_substring_regex(texts, plain)))
+    parts, hard = [], has.copy()
+    if len(easy):
+        twice, owner, rows = _plain_claims(texts.take(pa.array(easy)), patterns, hint)
+        good = ~twice[owner]
+        parts.append((easy[owner[good]], rows.filter(pa.array(good))))
+        hard[easy[~twice]] = False
+    at = np.flatnonzero(hard)
+    if len(at):
+        lists = _scanner(patterns, hint, True)(texts.take(pa.array(at)))
+        cells = lists.flatten()
+        cols = {f.name: cells.field(f.name) for f in cells.type}
+        rows = pa.table({n: cols[n] if n in cols else pa.array([True] * len(cells)) if n == "trim" else pa.nulls(len(cells), k) for n, k in _ROW})
+        parts.append((np.repeat(at, np.diff(lists.offsets.to_numpy())), rows))
+    if not parts:
+        return np.zeros(0, np.int64), pa.table({n: pa.array([], k) for n, k in _ROW})
+    owner, rows = np.concatenate([p[0] for p in parts]), pa.concat_tables([p[1] for p in parts]).combine_chunks()
+    may = np.zeros(len(rows), np.int32)
+    quote, line = rows["quote"], pc.coalesce(rows["line"], rows["quote"])
+    for bit, (place, pattern) in enumerate(MAY):
+        may |= _flags(pc.match_substring_regex((quote, line)[place - 1], pattern)).astype(np.int32) << bit
+    # what the whole text declares is asked only where a clause names no product itself
+    lost = np.flatnonzero(may & HAS_PRODUCT == 0)
+    known: list[str | None] = [None] * len(rows)
+    if len(lost):
+        asked = np.unique(owner[lost])
+        declared = dict(zip(asked.tolist(), (g or _declared(t) for g, t in zip(given.take(pa.array(asked)).to_pylist(), texts.take(pa.array(asked)).to_pylist(), strict=True)), strict=True))
+        for i in lost.tolist():
+            known[i] = declared[owner[i]]
+    names = [n for n, _ in _ROW]
+    return owner, rows.set_column(names.index("may"), "may", pa.array(may)).set_column(names.index("known"), "known", pa.array(known, pa.string()))
+
+
+def claim_rows(rows: DataFrame, keys: list[str], plain: str = PLAIN) -> DataFrame:
+    """keys and, for each match of CLAIMS in _text, CLAIM_ROW, its names with an underscore before; known is _given or the declared product, where a clause names none. line is null where it is the quote."""
+    out = StructType([*rows.select(*keys).schema.fields, *(StructField(f"_{f.name}", f.dataType) for f in StructType.fromDDL(CLAIM_ROW))])
+    n, patterns, hint = len(keys), CLAIMS, lx.CLAIM_HINT
+
+    def scan(batches):
+        for b in batches:
+            owner, found = _claims_of(b.column(n), b.column(n + 1), patterns, hint, plain)
+            for at in range(0, len(owner), 1 << 14):
+                some, part = pa.array(owner[at : at + (1 << 14)]), found.slice(at, 1 << 14)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(some) for i in range(n)), *(c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in part.columns)], out.names)
+
+    return rows.select(*keys, "_text", "_given").mapInArrow(scan, out)
+
+
 def stated(row: Column) -> dict[str, Column]:
     """metric, variant, value, shade, unit and timed (may it have a period) of a MATCH row of CLAIMS, and is it a claim at all.
 

@@ -18,27 +18,26 @@ from ..functions.shipping import ship
 from ..sources.io import written
 
 
-def claim_table(texts: DataFrame, keys: list[str], text: str = "text", product: Column | None = None) -> DataFrame:
+def claim_table(texts: DataFrame, keys: list[str], text: str = "text", product: Column | None = None, plain: str = scan.PLAIN) -> DataFrame:
     """Keys, idx (rises through the text, with gaps) and a claim's fields, for each claim of the texts.
 
-    Texts and clauses without a word that a claim needs end before any pattern is tried. Places of
-    matches are those in the clause's compatible form.
+    Texts without a word that a claim needs end before any pattern is tried; those of plain
+    characters (a pattern) are scanned for a batch at once. Places of matches are those in the
+    clause's compatible form.
     """
     ship(texts.sparkSession)
     given = F.lit(None).cast("string") if product is None else product
-    rows = texts.select(*keys, F.col(text).alias("_text"), given.alias("_given"))
-    rows = rows.withColumn("_ms", scan.found(F.col("_text"), scan.CLAIMS, lx.CLAIM_HINT, compatible=True))
-    # what the whole text declares is asked only where a clause names no product itself
-    asked = F.exists("_ms", lambda r: ~scan.may(r, scan.HAS_PRODUCT))
-    known = F.when(asked, F.when(F.coalesce("_given", F.lit("")) != "", F.col("_given")).otherwise(scan.declared_product(F.col("_text"))))
-    rows = rows.select(*keys, known.alias("_known"), F.explode("_ms").alias("_m"))
-    m, quote, line = F.col("_m"), F.col("_m.quote"), F.col("_m.line")
+    rows = scan.claim_rows(texts.select(*keys, F.col(text).alias("_text"), given.alias("_given")), keys, plain)
+    m = {name.split()[0]: F.col(f"_{name.split()[0]}") for name in scan.CLAIM_ROW.split(", ")}
+    quote, line = m["quote"], F.coalesce(m["line"], m["quote"])
+    m["line"] = line
     said = scan.stated(m)
     rows = rows.filter(said["real"])
     none = F.array().cast("array<string>")
     fields = {
-        "idx": F.col("_m.nth").cast("long") * (1 << 20) + F.col("_m.entry") * (1 << 14) + F.col("_m.k"), "quote": scan.stripped(quote), "start": F.col("_m.start"), "end": F.col("_m.start") + F.length(quote),
-        "product": scan.product_of(m, F.col("_known")), "version": F.when(scan.may(m, scan.MAY_EDITION), scan.version_of(line)), "days": F.when(said["timed"], scan.days_of(line)),
+        "idx": m["nth"].cast("long") * (1 << 20) + m["entry"] * (1 << 14) + m["k"], "quote": F.when(m["trim"], scan.stripped(quote)).otherwise(quote), "start": m["start"], "end": m["start"] + F.length(quote),
+        "product": F.coalesce(m["own"], scan.product_of(m, m["known"])), "version": F.when(scan.may(m, scan.MAY_EDITION), scan.version_of(line)),
+        "days": F.when(said["timed"] & (m["periods"].isNull() | (m["periods"] > 0)), F.when(m["periods"] == 1, m["days"]).otherwise(scan.days_of(line))),
         "population": F.when(scan.may(m, scan.MAY_PEOPLE), scan.sorted_set(line, lx.PEOPLE)).otherwise(none), "conditions": F.when(scan.may(m, scan.MAY_TERMS), scan.sorted_set(line, lx.TERMS)).otherwise(none),
         **{c: said[c] for c in ("metric", "variant", "value", "shade", "unit")}, "stance": scan.stance(m),
     }

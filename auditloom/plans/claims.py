@@ -127,20 +127,14 @@ A9_SQL = f"""{C}, t AS (SELECT asset, line, [x for x in [CASE WHEN kind = 4 THEN
 SELECT asset, line, array_to_string(t, ',') AS tiers, t[1] AS top_tier FROM t WHERE len(t) > 0"""
 
 
-def _joined(c, line, keep):
-    """Rows' lines of an asset in order, joined by line ends."""
-    return c.filter(keep).groupBy(F.col("asset").alias("doc")).agg(_text(line).alias("text"))
-
-
-def _text(line):
-    """A group's lines in order, joined by line ends; null ones are left out."""
-    lines = F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct("line", line.alias("t")))))
-    return F.array_join(F.transform(lines, lambda x: x["t"]), "\n")
+def _joined(c, **texts):
+    """An asset's lines in order, for each text joined by line ends; null ones are left out."""
+    lines = c.groupBy(F.col("asset").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("line", *(t.alias(n) for n, t in texts.items())))).alias("lines"))
+    return lines.select("doc", *(F.array_join(F.col(f"lines.{n}"), "\n").alias(n) for n in texts))
 
 
 def _aligned(spark, sf_dir):
-    c = tb.captions(spark, sf_dir)
-    return cl.align_sides(c.groupBy(F.col("asset").alias("doc")).agg(_text(F.col("copy")).alias("body"), _text(F.col("image")).alias("image")))
+    return cl.align_sides(_joined(tb.captions(spark, sf_dir), body=F.col("copy"), image=F.col("image")))
 
 
 def j3_alignment(spark, sf_dir):
@@ -183,7 +177,7 @@ SELECT doc, coalesce(h, 0) AS hard, coalesce(m, 0) AS medium, CASE WHEN h > 0 TH
 def j5_context_conflicts(spark, sf_dir):
     c = tb.captions(spark, sf_dir)
     line = F.concat(F.lit("【P"), (F.col("asset") % 50).cast("string"), F.lit("精华】14天水分提升"), F.col("value").cast("string"), F.lit("%"))
-    docs = _joined(c, line, F.lit(True))
+    docs = _joined(c, text=line)
     return cl.context_conflicts(cl.claim_table(docs, ["doc"])).groupBy("doc").agg(F.count("*").alias("conflicts"))
 
 

@@ -123,3 +123,25 @@ def test_assessment_binds_product_and_version(ready):
     assert status(bare) == "supported" and status(bare.replace("30", "40")) == "conflict" and status(bare, clash=True) == "conflict"
     for odd in ({"product": "乙精华"}, {"version": "2023版"}, {"version": None}, {"reviewed": False}, {"market": "US"}, {"kind": "brand_claim"}, {"stated": ("每日",)}):
         assert status(bare, **odd) == "insufficient"
+
+
+def test_plain_texts_are_scanned_as_others_are(ready):
+    """The scan of a batch at once against the one clause by clause, on texts mixed from parts of claims, stops, quotes, wide and odd characters."""
+    import random
+
+    parts = ["水分提升", "含水量 增加", "30%", "５ %", "98%的天然来源", "天然来源占比达 9%", "斑点减少4%", "2周", "14 天", "3日", "保湿长达3天", "24H保湿", "正装：30ML", "小样5克", "色号：a1", "# B3", "美白", "祛斑", "实拍", "真人使用前后", "。", "？", "?", "!", "\n", "；", "，", " ", "不能", "没有", "的说法错误", "第二代", "2024版", "旧版", "敏感肌", "每天", "产品：甲 ", "产品 : 乙，", "【丙精华】", "【 丁面膜 】", "【x】", "」", "「", '"', "　", " ", "㎡", "é", "豈"]
+    draw = random.Random(5)
+    texts = [(i, "".join(draw.choice(parts) for _ in range(draw.randint(1, 14))), draw.choice([None, "", "甲", "丁"])) for i in range(3000)] + [(-1, None, None), (-2, "", None)]
+    rows = ready.createDataFrame(texts, "i int, text string, own string")
+    quick, slow = (sorted(map(str, cl.claim_table(rows, ["i"], product=rows["own"], **more).collect())) for more in ({}, {"plain": r"\Anone\z"}))
+    assert quick == slow and len(quick) > 2000
+
+
+def test_captions_are_scanned_by_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(scan, "_scanner", lambda *_: lambda texts: pytest.fail(f"{len(texts)} texts clause by clause"))
+    texts = pa.array(["【P1精华】2天水分提升5%。\n【P2精华】3天水分提升6%，治疗。", "【P3精华】2天不能水分提升5%。", None, "words", "【P4精华】2天水分提升5%？"])
+    owner, rows = scan._claims_of(texts, pa.nulls(5, pa.string()), scan.CLAIMS, lx.CLAIM_HINT, scan.PLAIN)
+    got = sorted(zip(owner.tolist(), *(rows[c].to_pylist() for c in ("nth", "own", "days", "g1", "at", "stop", "entry")), strict=True), key=str)
+    assert got == [(0, 0, "P1精华", 2.0, "5", 8, "。", 0), (0, 1, "P2精华", 3.0, "6", 8, "。", 0), (0, 1, "P2精华", 3.0, None, 15, "。", 8), (1, 0, "P3精华", 2.0, "5", 10, "。", 0), (4, 0, "P4精华", 2.0, "5", 8, "？", 0)]
