@@ -6,6 +6,7 @@ from auditloom.functions import lexicons as lx
 from auditloom.functions import scan
 from auditloom.operators import claims as cl
 from auditloom.operators import curate as cu
+from auditloom.operators import evaluate as ev
 from auditloom.operators import vectors as ve
 
 
@@ -46,3 +47,14 @@ def test_bounds_of_clauses_leave_nothing_out():
     texts = ["14天水分提升20%", "【甲精华】不能水分提升3%", "第二代水分提升3%", "敏感肌每天水分提升3%的说法错误", "产品: 乙，水分提升3%", "产品水分提升3%"]
     rows = [r for rs in scan._scanner(scan.CLAIMS, lx.CLAIM_HINT, True)(pa.array(texts)).to_pylist() for r in rs]
     assert [r["may"] for r in rows] == [0, scan.MAY_DENY | scan.MAY_PRODUCT | scan.HAS_PRODUCT, scan.MAY_EDITION, scan.MAY_DENY | scan.MAY_PEOPLE | scan.MAY_TERMS, scan.MAY_PRODUCT | scan.HAS_PRODUCT, scan.MAY_PRODUCT]
+
+
+def test_cells_of_claims_are_not_shuffled(spark):
+    kinds = "case long, quote string, value double, conditions array<string>, unit string"
+    expected = spark.createDataFrame([(1, "a", 1.0, ["x"], "%"), (1, "a", 1.0, ["x"], "%"), (1, "a", 2.0, [], None), (2, "b", 3.0, None, "%"), (None, "c", 4.0, None, None), (3, None, 5.0, None, None)], kinds)
+    predicted = spark.createDataFrame([(1, "a", 2.0, ["x"], "g"), (2, "b", 3.0, ["y"], "%"), (None, "c", 4.0, None, None), (3, None, 5.0, None, None), (4, "d", None, None, None)], kinds).drop("conditions")
+    found = ev.field_f1(expected, predicted)
+    got = found.first()
+    assert (got["labels"], got["predicted"], got["matched"], round(got["f1"], 6)) == (11, 10, 5, round(10 / 21, 6))
+    text = plan(found)
+    assert "Join" not in text and text.count("Exchange hashpartitioning") == 1 and "field" not in text[text.index("Exchange hashpartitioning") :].split("\n")[0]
