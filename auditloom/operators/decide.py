@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
+from ..functions.text import let
 from ..sources.io import written
 from .evaluate import every
 
@@ -146,15 +147,19 @@ def with_matrix(traces: DataFrame, matrices: DataFrame) -> DataFrame:
 
 def skin_type(answers: Column) -> Column:
     """Type from 16 answers of 0 to 3 in four groups; unclear if a group has fewer than three."""
-    def mean(k: int) -> Column:
-        good = F.filter(F.slice(answers, 4 * k + 1, 4), lambda x: x.isNotNull() & (x >= 0) & (x <= 3))
-        return F.when(F.size(good) >= 3, F.aggregate(good, F.lit(0.0), lambda a, x: a + x) / F.size(good))
-
-    t_oil, c_oil, t_dry, c_dry = (mean(k) for k in range(4))
-    all_known = t_oil.isNotNull() & c_oil.isNotNull() & t_dry.isNotNull() & c_dry.isNotNull()
-    both = ((t_oil >= 2) & (t_dry >= 2)) | ((c_oil >= 2) & (c_dry >= 2))
-    calm = (t_oil <= 1) & (c_oil <= 1) & (t_dry <= 1) & (c_dry <= 1)
-    return F.when(~all_known | both, "unclear").when((t_oil >= 2) & (c_oil < 2) & (c_dry >= 2), "mixed").when((t_oil >= 2) & (c_oil >= 2), "oily").when((t_dry >= 2) & (c_dry >= 2), "dry").when(calm, "neutral").otherwise("unclear")
+    def mean(rows: Column, k: int) -> Column:
+        good = F.filter(F.slice(rows, 4 * k + 1, 4), lambda x: x.isNotNull() & (x >= 0) & (x <= 3))
+        return let(good, lambda xs: F.when(F.size(xs) >= 3, F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)))
+
+    def kind(means: Column) -> Column:
+        t_oil, c_oil, t_dry, c_dry = (means[k] for k in range(4))
+        all_known = t_oil.isNotNull() & c_oil.isNotNull() & t_dry.isNotNull() & c_dry.isNotNull()
+        both = ((t_oil >= 2) & (t_dry >= 2)) | ((c_oil >= 2) & (c_dry >= 2))
+        calm = (t_oil <= 1) & (c_oil <= 1) & (t_dry <= 1) & (c_dry <= 1)
+        return F.when(~all_known | both, "unclear").when((t_oil >= 2) & (c_oil < 2) & (c_dry >= 2), "mixed").when((t_oil >= 2) & (c_oil >= 2), "oily").when((t_dry >= 2) & (c_dry >= 2), "dry").when(calm, "neutral").otherwise("unclear")
+
+    # answers and means are each evaluated once
+    return let(answers, lambda rows: let(F.array(*(mean(rows, k) for k in range(4))), kind))
 
 
 def avoided_terms(lists: DataFrame, terms: DataFrame) -> DataFrame:
