@@ -1,13 +1,19 @@
 """What must hold when the tables grow: plans that stay bounded, and inputs that only large tables show."""
 
+import random
+
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from auditloom.functions import lexicons as lx
 from auditloom.functions import scan
+from auditloom.functions import text as tx
 from auditloom.operators import claims as cl
 from auditloom.operators import curate as cu
+from auditloom.operators import decide as dc
 from auditloom.operators import evaluate as ev
 from auditloom.operators import vectors as ve
+from auditloom.plans.comments import t5_style
 
 
 def plan(df):
@@ -58,3 +64,26 @@ def test_cells_of_claims_are_not_shuffled(spark):
     assert (got["labels"], got["predicted"], got["matched"], round(got["f1"], 6)) == (11, 10, 5, round(10 / 21, 6))
     text = plan(found)
     assert "Join" not in text and text.count("Exchange hashpartitioning") == 1 and "field" not in text[text.index("Exchange hashpartitioning") :].split("\n")[0]
+
+
+def test_answers_are_evaluated_once(spark):
+    rows = spark.createDataFrame([(1, [3, 3, 2, 9, 0, 1, 0, None, 1, 1, 1, 1, 2, 2, 2, 2]), (2, [0] * 16), (3, [5] * 16)], "i int, a array<int>")
+    skin = rows.select("i", dc.skin_type(F.transform("a", lambda x: x + 77 - 77)).alias("skin"))
+    assert [tuple(r) for r in skin.orderBy("i").collect()] == [(1, "mixed"), (2, "neutral"), (3, "unclear")]
+    assert skin._jdf.queryExecution().optimizedPlan().toString().count("+ 77") == 1
+
+
+def test_texts_are_split_once(spark, tmp_path):
+    spark.createDataFrame([(1, "ab. c。 \u3000；defgh！"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = t5_style(spark, str(tmp_path))
+    assert [tuple(r)[:5] for r in found.orderBy("doc_id").collect()] == [(1, 15, 2, 5.0, 0.0), (2, 0, 0, 0.0, 0.0), (3, None, None, 0.0, 0.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
+
+
+def test_quick_tests_of_style_agree_with_the_patterns(spark):
+    draw, parts = random.Random(3), ["a", "Z", "5", "12", "345", " ", "\n", "第", "天", "周", "小", "时", "小时", "分钟", "早上", "早", "上", "两周", "一个月", "个", "号", "色号", "色", "#", "_", "é", "。"]
+    texts = [("".join(draw.choice(parts) for _ in range(draw.randint(0, 7))),) for _ in range(4000)] + [(None,)]
+    cols = tx.style(F.col("t"))
+    t = F.col("t")
+    rows = spark.createDataFrame(texts, "t string").select(t, cols["has_time_detail"].eqNullSafe(t.rlike(lx.STYLE_TIME)).alias("time"), cols["has_shade_detail"].eqNullSafe(t.rlike(lx.STYLE_SHADE)).alias("shade"), cols["has_shade_detail"].alias("some"))
+    assert rows.filter("not time or not shade").collect() == [] and 500 < rows.filter("some").count() < 3500
