@@ -179,12 +179,18 @@ def label_gate(manifest: DataFrame) -> DataFrame:
 
 
 def rewritten_lineage(manifest: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Image and original digests replaced by mapping (old, new), review flags reset. mapping has one row a digest."""
-    m = mapping.dropDuplicates(["old"])
-    a = m.select(F.col("old").alias("sha256"), F.col("new").alias("_a"))
-    b = m.select(F.col("old").alias("original_sha256"), F.col("new").alias("_b"))
-    out = manifest.join(a, "sha256", "left").join(b, "original_sha256", "left")
-    return out.withColumn("sha256", F.coalesce("_a", "sha256")).withColumn("original_sha256", F.coalesce("_b", "original_sha256")).withColumn("reviewed", F.lit(False)).withColumn("label_present", F.lit(None).cast("boolean")).drop("_a", "_b")
+    """Image and original digests replaced by mapping (old, new), review flags reset. mapping has one row a digest.
+
+    Rows without a digest match nothing; a hash of their other digest spreads them over the tasks of the join.
+    """
+    m = mapping.filter("old is not null").dropDuplicates(["old"]).select(F.struct(F.col("old").alias("d"), F.lit(0).cast("long").alias("apart")).alias("_key"), F.col("new").alias("_new"))
+
+    def replaced(df: DataFrame, name: str, other: str) -> DataFrame:
+        key = F.struct(F.col(name).alias("d"), F.when(F.col(name).isNull(), F.xxhash64(other)).otherwise(0).cast("long").alias("apart"))
+        found = df.withColumn("_key", key).drop(name).join(m, "_key", "left")
+        return found.select(*(F.coalesce("_new", "_key.d").alias(c) if c == name else c for c in df.columns))
+
+    return replaced(replaced(manifest, "sha256", "original_sha256"), "original_sha256", "sha256").withColumn("reviewed", F.lit(False)).withColumn("label_present", F.lit(None).cast("boolean"))
 
 
 #: Truth, scene and source of a kind that the table of kinds lacks.
