@@ -87,3 +87,32 @@ def test_quick_tests_of_style_agree_with_the_patterns(spark):
     t = F.col("t")
     rows = spark.createDataFrame(texts, "t string").select(t, cols["has_time_detail"].eqNullSafe(t.rlike(lx.STYLE_TIME)).alias("time"), cols["has_shade_detail"].eqNullSafe(t.rlike(lx.STYLE_SHADE)).alias("shade"), cols["has_shade_detail"].alias("some"))
     assert rows.filter("not time or not shade").collect() == [] and 500 < rows.filter("some").count() < 3500
+
+
+def test_rows_without_an_original_are_spread(spark):
+    rows = [(f"h{i}", f"h{i - 2}" if i % 10 == 0 and i else None, True, False) for i in range(400)] + [(None, "h2", True, False), (None, None, True, False)]
+    manifest = spark.createDataFrame(rows, "sha256 string, original_sha256 string, reviewed boolean, label_present boolean")
+    mapping = spark.createDataFrame([(f"h{i}", f"n{i}") for i in range(0, 400, 2)] + [("h8", "n8")], "old string, new string")
+    found = cu.rewritten_lineage(manifest, mapping)
+    new = lambda d: "n" + d[1:] if d and int(d[1:]) % 2 == 0 else d
+    got = found.select("sha256", "original_sha256", "reviewed", "label_present").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((new(a), new(b), False, None)) for a, b, _, _ in rows)
+    keys = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        sizes = [len(part) for part in cu.rewritten_lineage(manifest, mapping).rdd.glom().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(sizes) < 200
+
+
+def test_verdicts_fold_before_the_registry(spark):
+    verdicts = spark.createDataFrame([("a", i, ["high_risk", None, "credible"][i % 3]) for i in range(9)] + [("b", 1, None), ("c", 1, "credible")], "dataset string, file long, level string")
+    found = ev.dataset_report(verdicts, spark.createDataFrame([("a", ["high_risk"]), ("b", ["credible"])], "dataset string, expect array<string>"))
+    got = sorted(tuple(r) for r in found.select("dataset", "n_total", "n", "n_hit", "high_risk", "credible", "hit_rate", "full").collect())
+    assert got == [("a", 9, 6, 3, 3, 3, 0.5, False), ("b", 1, 0, 0, 0, 0, None, False)]
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Aggregate [dataset") == 2 and text.index("Join") < text.rindex("Aggregate [dataset")
