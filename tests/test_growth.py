@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditloom.functions import lexicons as lx
 from auditloom.functions import scan
 from auditloom.functions import text as tx
+from auditloom.functions.shipping import ship
 from auditloom.operators import claims as cl
 from auditloom.operators import curate as cu
 from auditloom.operators import decide as dc
@@ -116,3 +117,11 @@ def test_verdicts_fold_before_the_registry(spark):
     assert got == [("a", 9, 6, 3, 3, 3, 0.5, False), ("b", 1, 0, 0, 0, 0, None, False)]
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Aggregate [dataset") == 2 and text.index("Join") < text.rindex("Aggregate [dataset")
+
+
+def test_grams_are_counted_by_parts_of_a_batch(spark):
+    ship(spark)
+    rows = spark.createDataFrame([(["a", "b", None][i % 3], f"text {i % 7}") for i in range(3000)], "thread string, text string").coalesce(1)
+    df = tx.gram_counts(rows, "thread", F.col("text"))
+    assert {r["thread"]: r["c"] for r in df.groupBy("thread").agg(F.max("c").alias("c")).collect()} == {"a": 1000, "b": 1000, None: 1000}
+    assert tx.COUNTED <= 1024
