@@ -16,7 +16,8 @@ def _rows(spark, sf_dir):
 
 def m1_knn(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    return rounded(ve.knn_margin(rows, 5, max(1, -(-rows.count() // ve.BLOCK))))
+    n = rows.count()
+    return rounded(ve.knn_margin(rows, 5, max(1, -(-n // ve.block_rows(n)))))
 
 
 M1_SQL = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label = 0 AS p FROM embeddings),
