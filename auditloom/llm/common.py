@@ -56,6 +56,16 @@ def python_ready(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join by sort and merge: never broadcast, however small Spark takes it for by its files' size."""
+    return side.hint("merge")
+
+
+def looked_up(side: DataFrame) -> DataFrame:
+    """A side of a join, broadcast if it was counted and has few rows, else merged."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else merged(side)
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

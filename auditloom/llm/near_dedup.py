@@ -16,6 +16,10 @@ there, and only there, a semi-join keeps the rows that have a partner in another
 these rows' pairs across components are compared. So every link that could join two components is
 tested; links inside a component aren't needed.
 
+Tables that grow with the corpus are joined by sort and merge, never left to Spark's choice: it
+goes by the size of written files, which packed columns, and lists that are exploded, make many
+times too low, so that rows of hundreds of megabytes would pass through the driver.
+
 Edge cases: null and empty texts, and texts without words, have an empty set and are linked with
 nothing. Texts with fewer words than a shingle are one shingle. Repeated rows, and a doc_id with
 several texts, are judged row by row; rows that repeat the smallest doc_id of a component are all
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, python_ready
+from .common import Scratch, looked_up, merged, python_ready
 
 COORDS, MATCHES = 48, 25
 PREFIX = COORDS - MATCHES + 1
@@ -199,24 +203,24 @@ def postings(classes: DataFrame) -> DataFrame:
     all_tokens = classes.select("cid", F.posexplode("sig").alias("pos", "value")).select("cid", token.alias("token"))
     shared = all_tokens.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1")
     # by class: tokens that others have, rarest first; the class's own tokens come before them in the prefix
-    own = all_tokens.join(shared, "token").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("ts"))
+    own = all_tokens.join(merged(shared), "token").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("ts"))
     own = own.filter(F.size("ts") >= MATCHES).select("cid", F.explode(F.slice("ts", 1, F.lit(PREFIX - COORDS) + F.size("ts"))).alias("t"))
     point = classes.select("cid", F.struct("cid", "n", *NIBBLES).alias("p"))
-    return own.select("cid", F.col("t.token").alias("token")).join(point, "cid").select("token", "p")
+    return own.select("cid", F.col("t.token").alias("token")).join(merged(point), "cid").select("token", "p")
 
 
 def hub_pairs(posts: DataFrame) -> DataFrame:
     """a, b: each posting with two classes of its token, the first in order of cid and the first in order of a hash of it."""
     first = [F.min(F.struct(order.alias("o"), "p"))["p"] for order in (F.col("p.cid"), F.xxhash64("p.cid"))]
     hubs = posts.groupBy("token").agg(F.array(*first).alias("hubs"))
-    pairs = posts.join(hubs, "token").select("p", F.explode("hubs").alias("hub")).filter((F.col("p.cid") != F.col("hub.cid")) & _near("p", "hub"))
+    pairs = posts.join(merged(hubs), "token").select("p", F.explode("hubs").alias("hub")).filter((F.col("p.cid") != F.col("hub.cid")) & _near("p", "hub"))
     return pairs.select(F.least("hub.cid", "p.cid").alias("a"), F.greatest("hub.cid", "p.cid").alias("b")).distinct()
 
 
 def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that their parity sketches don't rule out."""
     x, y = (classes.select(F.col("cid").alias(c), F.struct("n", *PARITY).alias(f"p{c}")) for c in "ab")
-    return pairs.join(x, "a").join(y, "b").filter(_may_link("pa", "pb")).select("a", "b")
+    return pairs.join(merged(x), "a").join(merged(y), "b").filter(_may_link("pa", "pb")).select("a", "b")
 
 
 def _verified(width: int, percent: int):
@@ -239,13 +243,12 @@ def _verified(width: int, percent: int):
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough; reads the texts of these classes' first rows."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    wanted = scratch.write(classes.select("cid", F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).join(wanted, "cid", "left_semi"), "near-wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    wanted = scratch.write(classes.select("cid", F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).join(merged(wanted), "cid", "left_semi"), "near-wanted")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), F.col("text").cast("binary").alias("raw"))
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))).select("cid", "raw")
+    found = rows.join(looked_up(wanted), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))).select("cid", "raw")
     texts = scratch.write(found.dropDuplicates(["cid"]), "near-texts")
     left, right = (texts.select(F.col("cid").alias(c), F.col("raw").alias(f"t{c}")) for c in "ab")
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    both = pairs.join(merged(right), "b").join(merged(left), "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(_verified(width, percent), "a long, b long")
 
 
@@ -256,17 +259,17 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
         # large-star: every larger neighbour goes to the smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(e.select("u", "v").join(low.select("u", "m"), "u").select("u", F.col("m").alias("v")))
+        large = both.filter("v > u").join(merged(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.unionByName(e.select("u", "v").join(merged(low.select("u", "m")), "u").select("u", F.col("m").alias("v")))
         large = scratch.write(large.filter("u <> v").distinct(), tag)
         # small-star: every smaller neighbour, and the vertex, to the smallest one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(least, "u")
+        star = large.join(merged(least), "u")
         small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v")))
         e = scratch.write(small.filter("u <> v").distinct(), tag)
         # done when every vertex points to one root only, and no root points further
         edges, tails = e.agg(F.count("*"), F.countDistinct("u")).first()
-        if edges == tails and not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
+        if edges == tails and not e.join(merged(e.select(F.col("u").alias("v"))), "v", "left_semi").limit(1).count():
             break
     roots = e.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("v"))
     return e.unionByName(roots).groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "v")
@@ -275,26 +278,26 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
 def _cross(posts: DataFrame, comps: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b: possible pairs of different components under a token. Rows outside a token's largest component meet all its rows."""
     label = comps.select(F.col("v").alias("cid"), "comp")  # a class without links is its own component
-    rows = posts.withColumn("cid", F.col("p.cid")).join(label, "cid", "left").select("token", "p", F.coalesce("comp", "cid").alias("comp"))
+    rows = posts.withColumn("cid", F.col("p.cid")).join(merged(label), "cid", "left").select("token", "p", F.coalesce("comp", "cid").alias("comp"))
     rows = scratch.write(rows, "near-labelled")
     sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("token", "main")
-    rows = rows.join(mixed, "token").select("token", "p", "comp", "main")
+    rows = rows.join(merged(mixed), "token").select("token", "p", "comp", "main")
 
     def meet(x: str, y: str) -> Column:
         return (F.col(f"{x}.comp") != F.col(f"{y}.comp")) & _near(f"{x}.p", f"{y}.p")
 
     # slim rows first: those without a partner in another component end here
-    live = rows.alias("x").join(rows.alias("y"), (F.col("x.token") == F.col("y.token")) & meet("x", "y"), "left_semi")
+    live = rows.alias("x").join(merged(rows.alias("y")), (F.col("x.token") == F.col("y.token")) & meet("x", "y"), "left_semi")
     live = scratch.write(live.select("token", F.col("p.cid").alias("cid"), "comp", "main"), "near-live")
     # a class has PREFIX tokens at most; a pair comes up under its smallest shared token only
     own = live.groupBy("cid").agg(F.collect_list("token").alias("ts"))
-    point = classes.join(own, "cid").select("cid", F.struct("cid", "n", "ts", *NIBBLES, *PARITY).alias("p"))
-    live = scratch.write(live.join(point, "cid").select("token", "p", "comp", "main"), "near-live")
+    point = classes.join(merged(own), "cid").select("cid", F.struct("cid", "n", "ts", *NIBBLES, *PARITY).alias("p"))
+    live = scratch.write(live.join(merged(point), "cid").select("token", "p", "comp", "main"), "near-live")
     once = F.array_min(F.array_intersect("x.p.ts", "y.p.ts")) == F.col("x.token")
     order = (F.col("y.comp") == F.col("y.main")) | (F.col("x.p.cid") < F.col("y.p.cid"))
     both = (F.col("x.token") == F.col("y.token")) & order & meet("x", "y") & _may_link("x.p", "y.p") & once
-    pairs = live.filter("comp <> main").alias("x").join(live.alias("y"), both)
+    pairs = live.filter("comp <> main").alias("x").join(merged(live.alias("y")), both)
     return pairs.select(F.least("x.p.cid", "y.p.cid").alias("a"), F.greatest("x.p.cid", "y.p.cid").alias("b")).distinct()
 
 
@@ -306,7 +309,7 @@ def near_rows(docs: DataFrame, width: int) -> DataFrame:
     by_set = full.groupBy("set_key").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low"))
     # the class's number is that of its first row, which stands for it
     first = full.select(F.col("rid").alias("cid"), "doc_id", "mark", F.col("n_shingles").alias("n"), "sig", *NIBBLES, *PARITY)
-    classes = scratch.write(by_set.join(first, "cid"), "near-classes")
+    classes = scratch.write(by_set.join(merged(first), "cid"), "near-classes")
     posts = scratch.write(postings(classes), "near-postings")
 
     hubs = scratch.write(possible(hub_pairs(posts), classes), "near-pairs")
@@ -316,10 +319,10 @@ def near_rows(docs: DataFrame, width: int) -> DataFrame:
     links = links.unionByName(scratch.write(verify(cross, docs, classes, width, scratch), "near-links"))
     comps = scratch.write(components(links, scratch), "near-comps")
 
-    label = classes.select("set_key", "low", F.col("cid").alias("v")).join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    label = classes.select("set_key", "low", F.col("cid").alias("v")).join(merged(comps), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     lowest = label.groupBy("comp").agg(F.min("low").alias("component_id"))
-    label = label.join(lowest, "comp").select("set_key", "component_id")
-    some = full.select("doc_id", "mark", "n_shingles", "set_key").join(label, "set_key").drop("set_key")
+    label = label.join(merged(lowest), "comp").select("set_key", "component_id")
+    some = full.select("doc_id", "mark", "n_shingles", "set_key").join(merged(label), "set_key").drop("set_key")
     none = keys.filter("set_key is null").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"))
     out = scratch.write(some.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-rows")
     scratch.clear(but=out)
@@ -334,5 +337,5 @@ def near_components(docs: DataFrame, width: int) -> DataFrame:
 def deduped_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     """docs with one document of each component, the one of the smallest doc_id."""
     gone = near_rows(docs, width).filter("not kept").select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    gone = looked_up(gone)
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_mark"]), "left_anti")

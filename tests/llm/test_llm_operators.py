@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.llm import exact_dedup, language, line_dedup, media, mixing, near_dedup, packing, sharding, substring, url_filter
+from auditloom.llm import common, exact_dedup, language, line_dedup, media, mixing, near_dedup, packing, sharding, substring, url_filter
+from auditloom.llm.common import Scratch
 from auditloom.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, size int, row string, nth int, start int"
@@ -124,6 +125,27 @@ def test_near_rows_without_or_with_repeated_ids(spark):
     assert out.columns == docs.columns and sorted(r["cid"] for r in out.collect()) == sorted(r[2] for r, w in zip(rows, want, strict=True) if w[1])
 
 
+def test_only_counted_rows_are_broadcast(spark, monkeypatch):
+    """Spark takes these small files for tables to broadcast, as it takes larger ones whose lists or packed columns it sizes too low."""
+    seen, write = [], Scratch.write
+
+    def spy(self, df, tag):
+        seen.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, df, tag)
+
+    monkeypatch.setattr(Scratch, "write", spy)
+    near = [" ".join(w if i != at else "other" for i, w in enumerate(BASE.split())) for at in range(0, 100, 10)]
+    docs = spark.createDataFrame(list(enumerate([*TEXTS, *near])), "doc_id long, text string")
+    ids = sorted(r["doc_id"] for r in near_dedup.deduped_documents(docs, 2).collect())
+    assert {tag for tag, plan in seen if "Broadcast" in plan} == {"near-texts"}  # what was counted
+    assert sum("SortMergeJoin" in plan for _, plan in seen) > 10
+    seen.clear()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    out = near_dedup.deduped_documents(docs, 2)
+    assert not any("Broadcast" in plan for _, plan in seen) and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] for r in out.collect()) == ids
+
+
 def test_word_hashes_do_not_depend_on_the_step(monkeypatch):
     text = (words(3000) + " " + "x" * 5000 + "\tAbc abc " + words(10)).encode()
     whole = near_dedup.word_hashes(text)
