@@ -86,7 +86,7 @@ def running(df: DataFrame, groups: list[str], bucket: str, order: list[Column],
     base = rows.groupBy(*keys).agg(F.sum("_v").alias("_t")).select(*keys, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys).orderBy(*order)
     rows = rows.withColumn("nth", F.row_number().over(inside)).withColumn("_in", F.sum("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v"))
-    return rows.join(base, keys).withColumn("start", F.col("_base") + F.col("_in")).drop("_v", "_base", "_in")
+    return rows.join(merged(base), keys).withColumn("start", F.col("_base") + F.col("_in")).drop("_v", "_base", "_in")
 
 
 def ascii_lower(x: Column) -> Column:

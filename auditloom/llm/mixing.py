@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, WS_CLASS, Scratch, n_words, root_buckets, running
+from .common import WORD, WS_CLASS, Scratch, looked_up, n_words, root_buckets, running
 
 GOLDEN = 0.6180339887498949
 #: Slots that a source of mean size has at least, unless a block would be under one word; blocks of at most so many words.
@@ -139,7 +139,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     placed, turns = planned(docs, Scratch(docs.sparkSession), carry=True, **options)
     size, blocks = F.col("source_size"), F.col("blocks")
     copies = placed.filter("size > 0 and goal > start").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("goal") - 1 - F.col("start")) / size))))
-    copies = copies.withColumn("block", block_at(F.col("start"), size, blocks)).join(turns.select("grp", "block", "epoch", "slot"), ["grp", "block", "epoch"])
+    copies = copies.withColumn("block", block_at(F.col("start"), size, blocks)).join(looked_up(turns.select("grp", "block", "epoch", "slot")), ["grp", "block", "epoch"])
     left = F.least(F.col("goal") - F.col("epoch") * size - F.col("start"), F.col("size")).cast("int")
     head = F.regexp_replace(F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD}{WS_CLASS}*)"), F.lit(1)), 1, F.greatest(left, F.lit(1))), ""), f"{WS_CLASS}+$", "")
     out = copies.withColumn("new_text", F.when(left < F.col("size"), head).otherwise(F.col("row.text")))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import root_buckets, running, python_ready, written
+from .common import merged, root_buckets, running, python_ready, written
 
 MAX_TOKENS, END_ID = 2048, 0
 #: Words whose ids a task keeps; it starts anew beyond that.
@@ -180,7 +180,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max
             at += length
         base += many
     where = spark.createDataFrame(cells, "length long, cell long, low long, high long, base long, at long")
-    where = F.broadcast(where) if len(cells) <= BROADCAST_ROWS else where
+    where = F.broadcast(where) if len(cells) <= BROADCAST_ROWS else merged(where)
     bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(root_buckets(n)))
     ranked = running(cut.withColumn("_b", bucket), ["length"], "_b", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], F.lit(1))
     placed = ranked.withColumn("cell", F.floor(F.col("start") / step)).join(where, ["length", "cell"]).filter("start >= low and start < high")

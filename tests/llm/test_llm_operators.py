@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -352,6 +353,18 @@ def test_packing(docs):
     assert len(by) <= -(-sum(w[3] for w in want) // 2048) + 1
 
 
+def test_ranks_of_pieces_and_slots_are_not_broadcast_uncounted(docs, monkeypatch):
+    """A length's buckets are as many rows as pieces at most, and slots grow with the words."""
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert plan(packing.pack(docs, tokenizer_path())).count("BroadcastHashJoin") == 1  # places, which are counted
+    want = [tuple(r) for r in mixing.mixed_documents(docs).collect()]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    mixed = mixing.mixed_documents(docs)
+    assert re.search(r"SortMergeJoin \[grp#\d+, block#\d+L, epoch#\d+L\]", plan(mixed)) and [tuple(r) for r in mixed.collect()] == want
+
+
 def test_word_ids_equal_the_tokenizer():
     import public_tokenizers
 
