@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import decide as dc
 from auditloom.operators import evaluate as ev
+from auditloom.plans import evaluate as plans
 
 GOOD = {
     "origin": dict(fp_n=100, recall_n=100, fp_rate=0.05, recall_rate=0.8, uncertain_rate=0.25, missing_real=0, missing_generated=0),
@@ -50,6 +51,15 @@ def test_each_fault_alone_closes_its_gates(spark):
     assert not gates(spark, families=[])["origin"] and not gates(spark, families=[GOOD["families"][1]])["origin"]
 
 
+def test_gates_of_the_query_rest_on_its_tables(spark):
+    """Every input counts what the tables hold: unsupported claims, wrong context pairs, tools that were not there."""
+    sf = "/root/testdata/sf0.001"
+    origin, _, editing, claims, pairs, context, tools = (t.first() for t in plans._release(spark, sf))
+    assert claims["unsupported"] == plans.a13_field_f1(spark, sf).first()["unsupported"] > 0
+    assert 0 < context["precision_count"] < context["precision_n"] and context["cases"] < pairs["cases"] and context["unavailable"] > 0
+    assert tools["origin_tool"] == origin["missing_real"] + origin["missing_generated"] > 0 and tools["editing_tool"] == editing["missing_scores"] > 0
+
+
 def test_packed_masks(spark):
     rng = random.Random(3)
     rows = [([rng.random() < 0.5 for _ in range(n)], [rng.random() < 0.5 for _ in range(n)]) for n in (1, 5, 63, 64, 65, 128, 300)] + [([], []), ([False] * 70, [False] * 70)]
